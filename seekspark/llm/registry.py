@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_duplicates
+from . import line_dedup, near_duplicates, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": line_dedup.query,
+    "op5_sharding": sharding.query,
     "op7_ngram_jaccard_join": near_duplicates.query,
+    "op9_packing": packing.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": line_dedup.ORACLE,
+}
