@@ -19,7 +19,8 @@ all documents from it.
 Defined results: a null or empty text (or one of white space only) has no n-grams and no partners;
 a text of fewer than n words has one n-gram, of all its words; rows with a null doc_id cannot be
 named in a pair and have no partners; rows that repeat a doc_id and text are one document, a
-doc_id with several texts takes part with each of them, and no pair joins a doc_id with itself.
+doc_id with several texts takes part with each of them, with a row for each pair of texts, and no
+pair joins a doc_id with itself.
 Other columns are not read. Empty tables give an empty result.
 """
 
@@ -39,6 +40,8 @@ from .common import documents, drop_path, new_path, only, pieces, written
 N, THRESHOLD, RECALL = 3, 0.6, 0.99
 #: n-grams of a block, and what a node adds to the weight besides its own.
 BLOCK_GRAMS, NODE_WEIGHT = 1 << 20, 512
+#: Up to these bytes of linked doc_ids are broadcast to the scan of the texts.
+BROADCAST_BYTES = 64 << 20
 _TEXT_BYTES = 4 << 20
 _CELLS = 1 << 22
 
@@ -196,7 +199,7 @@ def links(nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
 
 
 def node_pairs(docs: DataFrame, signed: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """Verified pairs (a, b, similarity) of different nodes; `signed` are the documents' signatures, written."""
+    """Verified pairs (doc_a, doc_b, similarity) of different nodes, by the smallest doc_id of each; `signed` are the written signatures."""
     nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("grams").alias("grams"), F.first("bands").alias("bands"), F.first("prints").alias("prints")), "nodes")
     found = components(links(nodes, threshold, recall))
     window = "OVER (PARTITION BY root ORDER BY node)"
@@ -210,34 +213,37 @@ def node_pairs(docs: DataFrame, signed: DataFrame, n: int = N, threshold: float
             for part, _, sets in _batches(batch, n):
                 yield part.filter(pa.array([x == y for x, y in zip(part.column("node").to_pylist(), _binary(_nodes(sets), 16).to_pylist())]))
 
-    texts = docs.select("doc_id", "text").filter("text IS NOT NULL").join(blocks, "doc_id").select("root", "block", "of", "node", "text").mapInArrow(right, "root binary, block int, of int, node binary, text string")
-    work = texts.select("root", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other"), "block", "node", "text")
-    work = work.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "text")
+    texts = docs.select("doc_id", "text").filter("text IS NOT NULL")
+    if blocks.count() * 16 <= BROADCAST_BYTES:  # else all texts are shuffled to meet the linked ones
+        texts = texts.join(F.broadcast(blocks.select("doc_id").distinct()), "doc_id", "left_semi")
+    texts = texts.join(blocks, "doc_id").select("root", "block", "of", "node", "doc_id", "text").mapInArrow(right, "root binary, block int, of int, node binary, doc_id long, text string")
+    work = texts.select("root", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other"), "block", "node", "doc_id", "text")
+    work = work.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "doc_id", "text")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), own in _groups(batches, 3):
             own = [x for x, before in zip(own, [None, *own]) if before is None or x[1] != before[1]]  # repeated rows
-            sets = [s for low, high in pieces([len(t) for *_, t in own], _TEXT_BYTES) for s in G.gram_sets([t for *_, t in own[low:high]], n)]
-            first = sum(block == i for block, *_ in own) if i != j else 0
+            sets = [s for low, high in pieces([len(x[3]) for x in own], _TEXT_BYTES) for s in G.gram_sets([x[3] for x in own[low:high]], n)]
+            first = sum(x[0] == i for x in own) if i != j else 0
             if len(own) > 1 and first < len(own):
                 a, b, similarity = _pairs(sets, first, threshold)
-                names = pa.array([x for _, x, _ in own], pa.binary())
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(a)), names.take(pa.array(b)), pa.array(similarity)], ["a", "b", "similarity"])
+                names = np.array([x[2] for x in own], np.int64)
+                a, b = names[a], names[b]
+                ok = a != b
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok]), pa.array(similarity[ok])], ["doc_a", "doc_b", "similarity"])
 
     work = work.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "block", "node")
-    return work.mapInArrow(verify, "a binary, b binary, similarity double")
+    return work.mapInArrow(verify, "doc_a long, doc_b long, similarity double")
 
 
 def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(doc_a, doc_b, similarity), doc_a < doc_b, as the module's text says."""
     docs = only(docs, ["doc_id", "text"])
     signed = written(signatures(docs, n, threshold, recall), "signatures")
-    found = node_pairs(docs, signed, n, threshold, recall)
-    names = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    pairs = found.join(names.select(F.col("node").alias("a"), F.col("doc_id").alias("x")), "a").join(names.select(F.col("node").alias("b"), F.col("doc_id").alias("y")), "b")
-    pairs = pairs.filter("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "similarity")
-    copies = signed.select("node", "doc_id").distinct().join(names.withColumnRenamed("doc_id", "doc_a"), "node").filter("doc_id <> doc_a").select("doc_a", F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("similarity"))
-    return pairs.union(copies).groupBy("doc_a", "doc_b").agg(F.max("similarity").alias("similarity"))
+    pairs = node_pairs(docs, signed, n, threshold, recall)
+    names = signed.groupBy("node").agg(F.min("doc_id").alias("doc_a"))
+    copies = signed.select("node", "doc_id").distinct().join(names, "node").filter("doc_id <> doc_a").select("doc_a", F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("similarity"))
+    return pairs.union(copies)
 
 
 def expand_copies(pairs: DataFrame) -> DataFrame:
