@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, near_duplicates, packing, sharding
+from . import line_dedup, near_duplicates, outliers, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": line_dedup.query,
     "op5_sharding": sharding.query,
     "op7_ngram_jaccard_join": near_duplicates.query,
     "op9_packing": packing.query,
+    "op10_robust_outliers": outliers.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
