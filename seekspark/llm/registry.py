@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, near_duplicates, outliers, packing, sharding
+from . import bpe, line_dedup, near_duplicates, outliers, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": bpe.query,
     "op2_line_dedup": line_dedup.query,
     "op5_sharding": sharding.query,
     "op7_ngram_jaccard_join": near_duplicates.query,
@@ -17,5 +18,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_bpe": bpe.query,
     "op2_line_dedup": line_dedup.ORACLE,
 }
