@@ -1,17 +1,47 @@
-"""The corpus pipeline: stages over the documents table, each written and reread."""
+"""The corpus pipeline: five stages over the documents table, each written as Parquet and reread as the next one's input.
+
+Every stage is one of the operators in seekspark.llm with its production parameters, on all that the
+stage before kept. The first four return the columns of documents; the last returns the packing:
+(pool, sequence, slot, doc_id, piece, n_tokens, cost). An empty table passes through all stages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seekspark.llm import near_duplicates
-from seekspark.llm.common import documents, written
+from seekspark.llm import line_dedup, near_duplicates, outliers, packing, pii
+from seekspark.llm.common import DOCUMENT_COLUMNS, documents, only, written
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return outliers.reject_outliers(only(docs, list(DOCUMENT_COLUMNS)))
+
+
+def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(docs)
+
+
+def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_duplicates.keep_one(docs)
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact_documents(docs)
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
+
 
 STAGES = [
-    ("ngram_jaccard_join", lambda spark, docs, sf_dir: near_duplicates.keep_one(docs)),
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_deduplication),
+    ("ngram_jaccard_join", near_deduplication),
+    ("pii", private_data),
+    ("packing", sequence_packing),
 ]
 
-#: SQL can't express the character model or the sequential packing.
+#: SQL can't express the outlier estimates, the character model or the packing; tests compare with brute force.
 ORACLE_SQL = None
 
 
