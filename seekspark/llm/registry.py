@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, near_duplicates, outliers, packing, pii, sharding
+from . import bpe, line_dedup, near_duplicates, outliers, packing, pii, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.query,
     "op2_line_dedup": line_dedup.query,
     "op3_pii": pii.query,
+    "op4_quality_classifier": quality.query,
     "op5_sharding": sharding.query,
     "op7_ngram_jaccard_join": near_duplicates.query,
     "op9_packing": packing.query,
