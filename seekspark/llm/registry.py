@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, near_duplicates, outliers, packing, pii, quality, sharding
+from . import bpe, flac, line_dedup, near_duplicates, outliers, packing, pii, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": pii.query,
     "op4_quality_classifier": quality.query,
     "op5_sharding": sharding.query,
+    "op6_flac_media": flac.query,
     "op7_ngram_jaccard_join": near_duplicates.query,
     "op9_packing": packing.query,
     "op10_robust_outliers": outliers.query,
@@ -22,4 +23,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_bpe": bpe.query,
     "op2_line_dedup": line_dedup.ORACLE,
+    "op6_flac_media": flac.ORACLE,
 }
