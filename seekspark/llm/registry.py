@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, flac, line_dedup, near_duplicates, outliers, packing, pii, quality, sharding
+from . import bpe, flac, html, line_dedup, near_duplicates, outliers, packing, pii, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": sharding.query,
     "op6_flac_media": flac.query,
     "op7_ngram_jaccard_join": near_duplicates.query,
+    "op8_html_extraction": html.query,
     "op9_packing": packing.query,
     "op10_robust_outliers": outliers.query,
 }
