@@ -1,10 +1,643 @@
-"""The registered queries of the retrieval operators, and DuckDB SQL with the same rows."""
+"""The registered queries of the retrieval operators, and DuckDB SQL with the same rows.
+
+Every query reads its whole tables. Scores are rounded on both sides.
+"""
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .functions import analyze, keys, text
+from .operators import chunk, embed, evaluate, federate, filters, fusion, graph, keyword, rank, vector
+from .plans import search
+from .plans.router import Config
+from .sources import corpus, store, synthetic
+from .sources.discovery import reconcile
+from .streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+K = 10
+
+
+def query(sql: str | None = None, base: bool = True):
+    """Registers a query under its function's name; `base` puts the canonical tables before the SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = f"WITH RECURSIVE {corpus.SQL}{', ' if sql.lstrip().startswith('+') else ''}{sql.lstrip().removeprefix('+')}" if base else sql
+        return f
+
+    return add
+
+
+# ---------------------------------------------------------------- identity and filters
+
+
+@query("SELECT doc_id, storage_key FROM records")
+def storage_key_build(spark, d):
+    return corpus.records(spark, d).select("doc_id", "storage_key")
+
+
+@query("SELECT storage_key, workspace_id, source_kind, source_id FROM records")
+def storage_key_parse(spark, d):
+    r = corpus.records(spark, d)
+    return r.select("storage_key", keys.parse_storage_key(F.col("storage_key")).alias("p")).select("storage_key", "p.*")
+
+
+def _filtered(name: str, where: str, spec: dict) -> None:
+    def run(spark, d):
+        return filters.apply(corpus.records(spark, d), spec).select("storage_key")
+
+    run.__name__ = f"filter_{name}"
+    query(f"SELECT storage_key FROM records WHERE {where}")(run)
+
+
+_ACTIVE = "status = 'active'"
+_filtered("status_default", _ACTIVE, {})
+_filtered("status_all", "true", {"include_inactive": True})
+_filtered("status_listed", "status IN ('stale', 'archived')", {"statuses": ["stale", "archived"]})
+_filtered("workspace_kind", f"{_ACTIVE} AND workspace_id = 'ws-1' AND source_kind IN ('en', 'fr')", {"workspace_id": "ws-1", "source_kinds": ["en", "fr"]})
+_filtered("empty_kinds", "false", {"source_kinds": []})
+_filtered("projects", f"{_ACTIVE} AND source IN ('src0', 'src3')", {"project_ids": ["src0", "src3"]})
+_filtered("excluded_projects", f"{_ACTIVE} AND source <> 'src0'", {"excluded_projects": ["src0"]})
+_filtered("paths", f"{_ACTIVE} AND doc_id IN (12, 13)", {"paths": ["docs/src12/12.md", "13"]})
+_filtered("excluded_paths", f"{_ACTIVE} AND doc_id NOT IN (12, 13)", {"excluded_paths": ["12.md", "docs/src13/13"]})
+_filtered("documents", f"{_ACTIVE} AND doc_id IN (2, 3)", {"document_ids": ["d2", "d3", "4"]})
+_filtered("excluded_documents", f"{_ACTIVE} AND doc_id NOT IN (2, 3)", {"excluded_documents": ["d2", "3"]})
+_filtered("metadata_equals", f"{_ACTIVE} AND source = 'src5'", {"metadata_equals": {"project_id": "src5"}})
+_filtered("metadata_in", f"{_ACTIVE} AND source IN ('src5', 'src6')", {"metadata_in": {"project_id": ["src5", "src6"]}})
+_filtered("source_scoped", f"{_ACTIVE} AND (source_kind <> 'en' OR (workspace_id IN ('ws-0', 'ws-1') AND source IN ('src1', 'src4')))", {"source_scoped_filters": {"en": {"workspace_ids": ["ws-0", "ws-1"], "metadata_non_empty": ["tags"], "metadata_contains_any": {"tags": ["src1", "src4"]}}}})
+
+
+@query("SELECT r.storage_key FROM records r SEMI JOIN vectors v ON r.storage_key = v.storage_key WHERE r.status = 'active'")
+def filter_candidates_semi(spark, d):
+    return filters.apply(corpus.records(spark, d), {}, candidates=corpus.vectors(spark, d)).select("storage_key")
+
+
+@query("SELECT r.storage_key FROM records r ANTI JOIN vectors v ON r.storage_key = v.storage_key WHERE r.status = 'active'")
+def filter_excluded_anti(spark, d):
+    return filters.apply(corpus.records(spark, d), {}, excluded=corpus.vectors(spark, d)).select("storage_key")
+
+
+# ---------------------------------------------------------------- query analysis (every document's first line is a query)
+
+_LINE = "split_part(text, chr(10), 1)"
+_FACT = "(NOT (contains(q, '[[') AND contains(q, ']]')) AND (" + " OR ".join(f"regexp_matches(q, '{p.replace(chr(39), chr(39) * 2)}')" for p in [*analyze.FACTUAL, analyze.QUOTED]) + "))"
+_WORDS = "regexp_split_to_array(lower(trim(q)), '[ \\t\\n\\r\\f\\v]+')"
+_NAVIGATES = f"(list_has_any({_WORDS}, [{', '.join(repr(w) for w in analyze.NAVIGATION)}]) OR regexp_matches(q, '(?i)\\bin\\s+the\\s+\\w+') OR regexp_matches(q, '\\[\\[.+?\\]\\]'))"
+_EXPLORES = f"(trim(q) <> '' AND (coalesce({_WORDS}[1] IN ({', '.join(repr(w) for w in analyze.QUESTIONS)}), false) OR ends_with(trim(q), '?')))"
+
+
+@query(f"SELECT doc_id, CASE WHEN {_FACT} THEN 'factual' WHEN {_NAVIGATES} THEN 'navigational' ELSE 'exploratory' END AS kind, {_EXPLORES} AS exploratory, regexp_matches(q, '{analyze.RELATION}') AS relationship FROM (SELECT doc_id, {_LINE} AS q FROM documents)", base=False)
+def query_classify(spark, d):
+    q = corpus.read(spark, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("q"))
+    c = F.col("q")
+    return q.select("doc_id", analyze.query_type(c).alias("kind"), analyze.is_exploratory(c).alias("exploratory"), c.rlike(analyze.RELATION).alias("relationship"))
+
+
+_ASKED = [("which pages link to ", ""), ("what links to the ", "?"), ("which files does ", " depend on?"), ("show me notes that embed ", "."), ("what documents are neighbors of ", ""), ("tell me about ", "")]
+
+
+@query("""SELECT p_partkey, form, CASE WHEN form = 5 THEN NULL ELSE p_name END AS target,
+  CASE form WHEN 4 THEN 'both' WHEN 2 THEN 'outgoing' WHEN 5 THEN NULL ELSE 'incoming' END AS direction
+  FROM part, (SELECT unnest(range(0, 6)) AS form)""", base=False)
+def relationship_intent(spark, d):
+    q = corpus.read(spark, d, "part").select("p_partkey", F.posexplode(F.array(*[F.concat(F.lit(a), "p_name", F.lit(b)) for a, b in _ASKED])).alias("form", "q"))
+    return q.select("p_partkey", "form", analyze.relationship_intent(F.col("q")).alias("i")).select("p_partkey", "form", "i.target", "i.direction")
+
+
+@query(f"""SELECT doc_id, round(CASE WHEN {_FACT} OR {_NAVIGATES} THEN 1.0e0 ELSE 1.3e0 END, 6) AS vector,
+  CASE WHEN {_FACT} THEN 1.5e0 ELSE 1.0e0 END AS keyword, CASE WHEN NOT {_FACT} AND {_NAVIGATES} THEN 1.5e0 ELSE 1.0e0 END AS graph
+  FROM (SELECT doc_id, {_LINE} AS q FROM documents)""", base=False)
+def adaptive_weights(spark, d):
+    q = corpus.read(spark, d, "documents").select("doc_id", analyze.adaptive_weights(analyze.query_type(F.substring_index("text", "\n", 1))).alias("w"))
+    return q.select("doc_id", F.round("w.vector", 6).alias("vector"), "w.keyword", "w.graph")
+
+
+# ---------------------------------------------------------------- keyword lane
+
+_POSTINGS = r"""+tokens AS (
+  SELECT storage_key, unnest(list_concat(
+    list_transform(regexp_extract_all(lower(title), '[\p{L}\p{N}]+'), x -> {'t': x, 'w': 5.0e0}), list_transform(regexp_extract_all(lower(body), '[\p{L}\p{N}]+'), x -> {'t': x, 'w': 1.0e0}),
+    list_transform(regexp_extract_all(lower(uri), '[\p{L}\p{N}]+'), x -> {'t': x, 'w': 4.0e0}), list_transform(regexp_extract_all(lower(keywords), '[\p{L}\p{N}]+'), x -> {'t': x, 'w': 2.0e0}))) AS s FROM records
+), postings AS (SELECT storage_key, s.t AS term, sum(s.w) AS f FROM tokens GROUP BY ALL
+), lengths AS (SELECT storage_key, count(*) AS len FROM tokens GROUP BY ALL
+), corpus AS (SELECT (SELECT count(*) FROM records) AS n, (SELECT count(*) FROM tokens) / (SELECT count(*)::DOUBLE FROM records) AS mean
+), terms AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark
+), dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY term
+), parts AS (
+  SELECT t.query_id, p.storage_key, CASE WHEN ln((n - df + 0.5e0) / (df + 0.5e0)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5e0) / (df + 0.5e0)) END * f * 2.2e0 / (f + 1.2e0 * (0.25e0 + 0.75e0 * len / mean)) AS part
+  FROM terms t JOIN postings p USING (term) JOIN dfs USING (term) JOIN lengths l ON l.storage_key = p.storage_key, corpus
+), scored AS (SELECT query_id, storage_key, sum(part) AS score, count(*) AS matched FROM parts GROUP BY ALL
+), needed AS (SELECT query_id, count(*) AS needed FROM terms GROUP BY 1
+), staged AS (SELECT s.*, needed, matched = needed AS whole, bool_or(matched = needed) OVER (PARTITION BY s.query_id) AS any_whole FROM scored s JOIN needed USING (query_id)
+), hits AS (SELECT query_id, storage_key, round(score, 6) AS score, CASE WHEN whole THEN 'and' ELSE 'or' END AS stage FROM staged WHERE whole OR (NOT any_whole AND needed >= 2)
+), keyword_lane AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, storage_key) AS rank FROM hits
+)"""
+
+
+def _passages(spark, d):
+    return corpus.passages(spark, d)
+
+
+@query(r"""SELECT doc_id, count(*) AS n_tokens, count(DISTINCT term) AS n_terms FROM
+  (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY 1""", base=False)
+def tokenize(spark, d):
+    t = corpus.read(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"))
+    return t.filter(F.size("t") > 0).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_terms"))
+
+
+@query(_POSTINGS + " SELECT storage_key, term, f FROM postings")
+def keyword_postings(spark, d):
+    return keyword.build(corpus.records(spark, d)).postings
+
+
+@query(_POSTINGS + f" SELECT query_id, storage_key, score, stage, rank FROM keyword_lane WHERE rank <= {K}")
+def keyword_search(spark, d):
+    r = corpus.records(spark, d)
+    hits = keyword.search(keyword.build(r), _passages(spark, d), None)
+    return keyword.ranked(hits.drop("rank"), K, 6).select("query_id", "storage_key", "score", "stage", "rank")
+
+
+@query(_POSTINGS + " SELECT query_id, storage_key, round(score, 6) AS score, matched FROM scored")
+def keyword_bm25_any(spark, d):
+    return keyword.bm25(keyword.build(corpus.records(spark, d)), keyword.query_terms(_passages(spark, d))).withColumn("score", F.round("score", 6))
+
+
+@query(_POSTINGS + " SELECT query_id, storage_key, round(CASE WHEN score <= 0 THEN 0 ELSE score / (score + 10) END, 6) AS confidence FROM scored")
+def keyword_confidence(spark, d):
+    s = keyword.bm25(keyword.build(corpus.records(spark, d)), keyword.query_terms(_passages(spark, d)))
+    return s.select("query_id", "storage_key", F.round(keyword.confidence(F.col("score")), 6).alias("confidence"))
+
+
+@query(_POSTINGS + ", vocabulary AS (SELECT DISTINCT term FROM postings) SELECT p_partkey, term FROM part, vocabulary WHERE starts_with(term, lower(substring(p_name, 1, 4)))")
+def keyword_prefix(spark, d):
+    q = corpus.read(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.substring("p_name", 1, 4).alias("prefix"))
+    return keyword.prefix_terms(keyword.build(corpus.records(spark, d)), q).withColumnRenamed("query_id", "p_partkey")
+
+
+@query(r"""SELECT query_id, storage_key, (length(hay) - length(replace(hay, needle, ''))) // length(needle) AS n FROM (
+  SELECT b.item_id AS query_id, r.storage_key, '|' || array_to_string(regexp_extract_all(lower(r.body), '[\p{L}\p{N}]+'), '||') || '|' AS hay, '|' || array_to_string(regexp_extract_all(lower(b.text), '[\p{L}\p{N}]+'), '||') || '|' AS needle
+  FROM records r, benchmark b) WHERE contains(hay, needle)""")
+def keyword_phrase(spark, d):
+    return keyword.phrase(corpus.records(spark, d), _passages(spark, d))
+
+
+@query("""SELECT storage_key, round(((length(h) - length(replace(h, 'the', ''))) / 3.0e0) + ((length(h) - length(replace(h, 'von', ''))) / 3.0e0), 6) AS score
+  FROM (SELECT storage_key, lower(title || ' ' || body || ' ' || uri || ' ' || keywords) AS h FROM records) WHERE contains(h, 'the') OR contains(h, 'von')""")
+def keyword_substring_scan(spark, d):
+    return keyword.substring_scan(corpus.records(spark, d), ["the", "von"]).withColumn("score", F.round("score", 6))
+
+
+@query()
+def keyword_fuzzy(spark, d):
+    q = corpus.records(spark, d).select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(F.filter(text.tokens(F.col("title")), lambda t: F.length(t) >= 4), 1, 2), " ").alias("text"))
+    r = corpus.records(spark, d)
+    return keyword.fuzzy(keyword.build(r), r, q, K)
+
+
+@query("""SELECT storage_key, 10.0e0 * (CASE WHEN true THEN 0 END) + 60.0e0 + 120.0e0 + CASE WHEN contains(lower(trim(regexp_replace(body, '\\s+', ' ', 'g'))), uri) THEN 4.0e0 ELSE 0.0e0 END AS score FROM records""")
+def keyword_artifact_own_path(spark, d):
+    r = corpus.records(spark, d)
+    return r.select("storage_key", text.artifact_score(F.col("uri"), F.lit(""), F.col("body"), F.lit(None).cast("string"), F.lit(""), F.col("uri")).alias("score"))
+
+
+# ---------------------------------------------------------------- vector lane
+
+_PAIRS = """+pairs AS (
+  SELECT q.vec_id AS query_id, v.vec_id, v.label = q.label AS same, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6) AS score
+  FROM embeddings q, embeddings v WHERE q.vec_id <> v.vec_id
+), neighbours AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)"""
+
+
+def _neighbours(spark, d, k=K):
+    e = corpus.read(spark, d, "embeddings")
+    return vector.top_k(e, e.select(F.col("vec_id").alias("query_id"), "embedding"), k, "vec_id", skip_self=True, digits=6)
+
+
+@query(_PAIRS + f" SELECT query_id, vec_id, score, rank FROM neighbours WHERE rank <= {K}")
+def vector_topk_all(spark, d):
+    return _neighbours(spark, d)
+
+
+@query("SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], list_transform(range(1, 65), i -> i::DOUBLE)) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(89440.0e0)), 6) AS score FROM embeddings ORDER BY list_dot_product(embedding::DOUBLE[], list_transform(range(1, 65), i -> i::DOUBLE)) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) DESC, vec_id LIMIT 10", base=False)
+def vector_topk_single(spark, d):
+    return vector.top_k_single(corpus.read(spark, d, "embeddings"), [float(i) for i in range(1, 65)], K, "vec_id").withColumn("score", F.round("score", 6))
+
+
+@query(_PAIRS + " SELECT query_id, vec_id, round(greatest(0, least(1, (score + 1) / 2)), 6) AS confidence FROM neighbours WHERE rank <= 10")
+def vector_confidence(spark, d):
+    return _neighbours(spark, d).select("query_id", "vec_id", F.round(vector.confidence(F.col("score")), 6).alias("confidence"))
+
+
+@query("SELECT label, CAST(len(embedding) AS INTEGER) AS dim, count(*) AS vectors, CAST(sum(len(embedding) * 4) AS BIGINT) AS bytes FROM embeddings GROUP BY 1, 2", base=False)
+def vector_stats(spark, d):
+    return vector.stats(corpus.read(spark, d, "embeddings"), "label")
+
+
+@query("SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings", base=False)
+def vector_codec(spark, d):
+    e = corpus.read(spark, d, "embeddings").select("vec_id", vector.encoded(F.col("embedding"), 64).alias("v"))
+    return e.select("vec_id", F.round(vector.norm(F.col("v")), 5).alias("norm"), F.size("v").alias("dim"))
+
+
+@query()
+def vector_approximate_recall(spark, d):
+    e = corpus.read(spark, d, "embeddings")
+    q = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    found = vector.approximate(e, q, K, "vec_id", skip_self=True)
+    return vector.recall(found, vector.top_k(e, q, K, "vec_id", skip_self=True), "vec_id")
+
+
+@query(_POSTINGS + """, q AS (SELECT item_id AS query_id, embedding FROM benchmark JOIN embeddings ON vec_id = item_id),
+  s AS (SELECT q.query_id, v.storage_key, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6) AS score
+    FROM q, vectors v SEMI JOIN hits h ON h.storage_key = v.storage_key AND h.query_id = q.query_id)
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, storage_key) AS rank FROM s) WHERE rank <= 10""")
+def vector_bounded_by_keyword(spark, d):
+    r, q = corpus.records(spark, d), _query_vectors(spark, d)
+    bound = keyword.search(keyword.build(r), q, None).select("query_id", "storage_key")
+    v = corpus.vectors(spark, d).select("storage_key", F.col("embedding").alias("v"))
+    s = bound.join(v, "storage_key").join(q.select("query_id", "embedding"), "query_id")
+    return keyword.ranked(s.select("query_id", "storage_key", vector.cosine(F.col("v"), F.col("embedding")).alias("score")), K, 6)
+
+
+def _query_vectors(spark, d):
+    e = corpus.read(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    return _passages(spark, d).join(e, "query_id")
+
+
+# ---------------------------------------------------------------- fusion and the whole search
+
+_LANES = _POSTINGS + """, q AS (SELECT item_id AS query_id, embedding FROM benchmark JOIN embeddings ON vec_id = item_id),
+  vs AS (SELECT q.query_id, v.storage_key, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6) AS score
+    FROM q, vectors v JOIN records r ON r.storage_key = v.storage_key WHERE r.status = 'active'),
+  vector_lane AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, storage_key) AS rank FROM vs),
+  ks AS (SELECT s.query_id, s.storage_key, score, matched, needed FROM scored s JOIN needed USING (query_id) JOIN records r ON r.storage_key = s.storage_key WHERE r.status = 'active'),
+  kw AS (SELECT *, bool_or(matched = needed) OVER (PARTITION BY query_id) AS any_whole FROM ks),
+  ka AS (SELECT query_id, storage_key, round(score, 6) AS score FROM kw WHERE matched = needed OR (NOT any_whole AND needed >= 2)),
+  kl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, storage_key) AS rank FROM ka),
+  lanes AS (SELECT query_id, 'keyword' AS lane, storage_key, rank, score FROM kl WHERE rank <= 50 UNION ALL SELECT query_id, 'vector', storage_key, rank, score FROM vector_lane WHERE rank <= 50)"""
+
+
+def _lanes(spark, d):
+    r, q = corpus.records(spark, d), _query_vectors(spark, d)
+    allowed = filters.apply(r, {}).select("storage_key")
+    kw = keyword.search(keyword.build(r), _passages(spark, d), None, allowed).drop("rank")
+    kw = keyword.ranked(kw, 50, 6)
+    own = corpus.vectors(spark, d).join(allowed, "storage_key", "left_semi")
+    return fusion.lane(kw, "keyword").unionByName(fusion.lane(vector.top_k(own, q, 50, digits=6), "vector"))
+
+
+@query(_LANES + " SELECT query_id, storage_key, round(sum(1 / (60.0e0 + rank)), 6) AS score FROM lanes GROUP BY 1, 2")
+def fuse_rrf(spark, d):
+    return fusion.reciprocal_rank(_lanes(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query(_LANES + " SELECT query_id, storage_key, round(sum(CASE lane WHEN 'keyword' THEN 1.5e0 ELSE 1.3e0 END / (60.0e0 + rank)), 6) AS score FROM lanes GROUP BY 1, 2")
+def fuse_rrf_weighted(spark, d):
+    return fusion.reciprocal_rank(_lanes(spark, d), {"keyword": 1.5, "vector": 1.3}).withColumn("score", F.round("score", 6))
+
+
+@query(_LANES + ", m AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM lanes WINDOW w AS (PARTITION BY query_id, lane)) SELECT query_id, storage_key, round(sum(CASE WHEN lo = hi THEN 0.5e0 ELSE (score - lo) / (hi - lo) END), 5) AS score FROM m GROUP BY 1, 2")
+def fuse_calibrated(spark, d):
+    return fusion.calibrated(_lanes(spark, d)).withColumn("score", F.round("score", 5))
+
+
+@query(_LANES + " SELECT query_id, CAST(sum(CASE WHEN c = 2 THEN 1 ELSE 0 END) AS BIGINT) AS overlap FROM (SELECT query_id, storage_key, count(DISTINCT lane) AS c FROM lanes GROUP BY 1, 2) GROUP BY 1")
+def lane_overlap(spark, d):
+    return fusion.overlap(_lanes(spark, d), 2)
+
+
+@query(_LANES + " SELECT query_id, storage_key, string_agg(lane || '#' || rank, ' ' ORDER BY lane) AS provenance FROM lanes GROUP BY 1, 2")
+def provenance(spark, d):
+    p = fusion.provenance(_lanes(spark, d))
+    return p.select("query_id", "storage_key", F.array_join(F.transform(F.map_entries("provenance"), lambda e: F.concat(e["key"], F.lit("#"), e["value"]["rank"].cast("string"))), " ").alias("provenance"))
+
+
+_FUSED = _LANES + """, fused AS (SELECT query_id, storage_key, round(sum(1 / (60.0e0 + rank)), 6) AS score FROM lanes GROUP BY 1, 2),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, storage_key) AS rank FROM fused)"""
+
+
+def _ranked(spark, d):
+    return rank.ordered(fusion.reciprocal_rank(_lanes(spark, d)).withColumn("score", F.round("score", 6)))
+
+
+@query(_FUSED + " SELECT query_id, storage_key, round(CASE WHEN min(score) OVER w = max(score) OVER w THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 4) AS normalized_score FROM ranked WINDOW w AS (PARTITION BY query_id)")
+def normalize_scores(spark, d):
+    return fusion.normalized(_ranked(spark, d)).select("query_id", "storage_key", F.round("normalized_score", 4).alias("normalized_score"))
+
+
+@query(_FUSED + f" SELECT k.query_id, k.rank, k.storage_key, k.score, r.title, r.status FROM ranked k JOIN records r USING (storage_key) WHERE rank <= {K}")
+def hybrid_search(spark, d):
+    r = corpus.records(spark, d)
+    q = _passages(spark, d).join(corpus.read(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
+    found = search.engine(r, corpus.vectors(spark, d)).search(q, K)
+    return found.select("query_id", "rank", "storage_key", F.round("score", 6).alias("score"), "title", "status")
+
+
+@query(_FUSED + """, f AS (SELECT *, first_value(score) OVER w AS top, lag(score) OVER w AS before FROM ranked WINDOW w AS (PARTITION BY query_id ORDER BY rank)),
+  e AS (SELECT *, min(CASE WHEN rank > 5 AND (score < top * 0.5e0 OR before - score > 0.01e0) THEN rank END) OVER (PARTITION BY query_id) AS stop FROM f)
+  SELECT query_id, storage_key, rank FROM e WHERE rank <= 50 AND rank < coalesce(stop, 51)""")
+def adaptive_limit(spark, d):
+    return rank.adaptive_limit(_ranked(spark, d), 5, 50, 0.5, 0.0, 0.01).select("query_id", "storage_key", "rank")
+
+
+@query(_FUSED + ", g AS (SELECT k.*, source_kind, row_number() OVER (PARTITION BY query_id, source_kind ORDER BY rank) AS n FROM ranked k JOIN records USING (storage_key)) SELECT query_id, storage_key, source_kind, rank FROM g WHERE n <= 2")
+def limit_per_group(spark, d):
+    hits = _ranked(spark, d).join(corpus.records(spark, d).select("storage_key", "source_kind"), "storage_key")
+    return filters.limit_per_group(hits, "source_kind", 2).select("query_id", "storage_key", "source_kind", "rank")
+
+
+@query(_FUSED + " SELECT query_id, storage_key, round(score * CASE status WHEN 'archived' THEN 0.5e0 WHEN 'stale' THEN 0.8e0 ELSE 1 END, 6) AS score FROM ranked JOIN records USING (storage_key)")
+def status_multiplier(spark, d):
+    h = _ranked(spark, d).join(corpus.records(spark, d).select("storage_key", "status"), "storage_key")
+    return h.select("query_id", "storage_key", F.round(F.col("score") * fusion.status_multiplier(F.col("status")), 6).alias("score"))
+
+
+@query("SELECT doc_id, storage_key, 1 AS priority FROM records")
+def identifier_priority(spark, d):
+    r = corpus.records(spark, d)
+    hits = r.select(F.col("doc_id").alias("query_id"), "storage_key", F.lit(0.1).alias("score"))
+    named = r.select(F.col("doc_id").alias("query_id"), F.concat_ws(":", F.upper("source_kind"), "source_id").alias("text"))
+    return rank.identifier_priority(hits, named, r).select(F.col("query_id").alias("doc_id"), "storage_key", "priority")
+
+
+@query()
+def mmr_diversity(spark, d):
+    return rank.mmr(rank.ordered(_ranked(spark, d), 20).select("query_id", "storage_key", "score", "rank"), corpus.vectors(spark, d))
+
+
+@query()
+def cascade_rerank(spark, d):
+    hits = rank.ordered(_ranked(spark, d), 30)
+    slow = rank.cosine_scores(hits, corpus.vectors(spark, d), _query_vectors(spark, d)).withColumnRenamed("new_score", "slow_score")
+    return rank.cascade_rerank(hits, slow)
+
+
+@query(_FUSED + """, c AS (SELECT k.query_id, k.storage_key, round((list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))) + 1) / 2, 6) AS new_score
+  FROM ranked k JOIN vectors v USING (storage_key) JOIN q USING (query_id)) SELECT * FROM c""")
+def cosine_rerank(spark, d):
+    return rank.cosine_scores(_ranked(spark, d), corpus.vectors(spark, d), _query_vectors(spark, d)).withColumn("new_score", F.round("new_score", 6))
+
+
+# ---------------------------------------------------------------- graph lane
+
+
+def _graph_seeds(spark, d):
+    e = corpus.edges(spark, d)
+    return e, e.select(F.col("src_key").alias("seed")).distinct()
+
+
+@query("+best AS (SELECT src_key AS seed, dst_key AS storage_key, round(weight, 6) AS weight, edge_type, row_number() OVER (PARTITION BY src_key, dst_key ORDER BY round(weight, 6) DESC, edge_type) AS n FROM edges) SELECT seed, storage_key, edge_type, weight FROM best WHERE n = 1")
+def graph_one_hop(spark, d):
+    e, s = _graph_seeds(spark, d)
+    return graph.neighbors(e, s, digits=6).select("seed", "storage_key", "edge_type", "weight")
+
+
+@query("+best AS (SELECT dst_key AS seed, src_key AS storage_key, round(weight, 6) AS weight, edge_type, row_number() OVER (PARTITION BY src_key, dst_key ORDER BY round(weight, 6) DESC, edge_type) AS n FROM edges), r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY weight DESC, storage_key, edge_type) AS rank FROM best WHERE n = 1) SELECT seed, storage_key, edge_type, weight, rank FROM r WHERE rank <= 5")
+def graph_incoming_limited(spark, d):
+    e = corpus.edges(spark, d)
+    return graph.neighbors(e, e.select(F.col("dst_key").alias("seed")), direction="incoming", limit=5, digits=6).select("seed", "storage_key", "edge_type", "weight", "rank")
+
+
+@query("""+walk AS (
+  SELECT src_key AS seed, dst_key AS at, weight, edge_type, [src_key, dst_key] AS path, 1 AS hops FROM edges
+  UNION ALL SELECT w.seed, e.dst_key, w.weight * e.weight, e.edge_type, list_append(w.path, e.dst_key), hops + 1 FROM walk w JOIN edges e ON e.src_key = w.at WHERE hops < 3 AND NOT list_contains(w.path, e.dst_key)
+), best AS (SELECT seed, at AS storage_key, edge_type, round(weight, 6) AS weight, row_number() OVER (PARTITION BY seed, at ORDER BY round(weight, 6) DESC, edge_type) AS n FROM walk)
+SELECT seed, storage_key, edge_type, weight FROM best WHERE n = 1""")
+def graph_multi_hop(spark, d):
+    e, s = _graph_seeds(spark, d)
+    return graph.neighbors(e, s, depth=3, digits=6).select("seed", "storage_key", "edge_type", "weight")
+
+
+_SEEDS = "seeds AS (SELECT 'customer:' || c_custkey AS query_id, 'order:' || o_orderkey AS seed, o_totalprice AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, 'order:' || o_orderkey) AS n FROM orders JOIN customer ON c_custkey = o_custkey)"
+
+
+def _order_hits(spark, d):
+    return corpus.read(spark, d, "orders").select(F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("query_id"), F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("storage_key"), F.col("o_totalprice").alias("score"))
+
+
+@query(f"""+{_SEEDS}, near AS (SELECT query_id, s.seed, n, dst_key, edge_type, round(s * weight, 4) AS c, row_number() OVER (PARTITION BY query_id, s.seed ORDER BY weight DESC, dst_key, edge_type) AS m FROM seeds s JOIN edges e ON e.src_key = s.seed WHERE n <= 3),
+  best AS (SELECT *, row_number() OVER (PARTITION BY query_id, dst_key ORDER BY c DESC, n, m) AS b FROM near WHERE m <= 4)
+  SELECT query_id, dst_key AS storage_key, c AS score, seed, edge_type FROM best WHERE b = 1""")
+def graph_bounded_expand(spark, d):
+    return graph.expand(corpus.edges(spark, d), _order_hits(spark, d), 3, 4, digits=4)
+
+
+@query(f"""+fan AS (SELECT * FROM (SELECT src_key, dst_key, edge_type, d, row_number() OVER (PARTITION BY src_key ORDER BY d DESC, dst_key, edge_type) AS m FROM (SELECT *, CASE edge_type WHEN 'implements' THEN 1.0e0 WHEN 'links_to' THEN 0.85e0 WHEN 'related' THEN 0.7e0 ELSE 0.55e0 END AS d FROM edges)) WHERE m <= 10),
+  {_SEEDS}, m0 AS (SELECT query_id, seed, seed AS at, NULL::VARCHAR AS first, s / sum(s) OVER (PARTITION BY query_id) AS mass FROM seeds WHERE n <= 10),
+  n0 AS (SELECT query_id, at FROM m0 GROUP BY 1, 2 HAVING sum(mass) >= 1e-4),
+  m1 AS (SELECT m.query_id, seed, dst_key AS at, coalesce(first, edge_type) AS first, sum(mass * 0.85e0 * d) AS mass FROM m0 m SEMI JOIN n0 ON n0.query_id = m.query_id AND n0.at = m.at JOIN fan ON src_key = m.at GROUP BY 1, 2, 3, 4),
+  n1 AS (SELECT query_id, at FROM m1 GROUP BY 1, 2 HAVING sum(mass) >= 1e-4),
+  m2 AS (SELECT m.query_id, seed, dst_key AS at, coalesce(first, edge_type) AS first, sum(mass * 0.85e0 * d) AS mass FROM m1 m SEMI JOIN n1 ON n1.query_id = m.query_id AND n1.at = m.at JOIN fan ON src_key = m.at GROUP BY 1, 2, 3, 4),
+  n2 AS (SELECT query_id, at FROM m2 GROUP BY 1, 2 HAVING sum(mass) >= 1e-4),
+  m3 AS (SELECT m.query_id, seed, dst_key AS at, coalesce(first, edge_type) AS first, sum(mass * 0.85e0 * d) AS mass FROM m2 m SEMI JOIN n2 ON n2.query_id = m.query_id AND n2.at = m.at JOIN fan ON src_key = m.at GROUP BY 1, 2, 3, 4)
+  SELECT query_id, at AS storage_key, round(sum(mass), 6) AS score FROM (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3) GROUP BY 1, 2""")
+def graph_pagerank(spark, d):
+    return graph.pagerank(corpus.edges(spark, d), _order_hits(spark, d)).select("query_id", "storage_key", F.round("score", 6).alias("score"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'tests' WHEN l_returnflag = 'A' THEN 'implements' ELSE 'links_to' END AS edge_type FROM lineitem", base=False)
+def edge_type_infer(spark, d):
+    line = corpus.read(spark, d, "lineitem")
+    header = F.when(F.col("l_returnflag") == "R", "Unit Testing").when(F.col("l_returnflag") == "A", "Source code").otherwise("Notes")
+    return line.select("l_orderkey", "l_linenumber", graph.inferred_type(header, F.lit("x")).alias("edge_type"))
+
+
+@query("+k AS (SELECT src_key AS key FROM edges UNION SELECT dst_key FROM edges) SELECT key, 'not canonical' AS error FROM k UNION ALL SELECT key, 'no such record' FROM k")
+def graph_integrity(spark, d):
+    return graph.integrity_errors(corpus.edges(spark, d), corpus.records(spark, d))
+
+
+# ---------------------------------------------------------------- chunks and texts
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash, CASE WHEN length(text) <= 40 THEN text ELSE rtrim(substring(text, 1, 40)) || '...' END AS short, CAST(greatest(len(string_split(text, chr(10))) - 3, 0) AS INTEGER) AS omitted FROM documents", base=False)
+def text_functions(spark, d):
+    t = F.col("text")
+    return corpus.read(spark, d, "documents").select("doc_id", F.sha2(t, 256).alias("content_hash"), text.truncated(t, 40).alias("short"), text.first_lines(t, 3)["omitted"].alias("omitted"))
+
+
+@query(r"""SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)) || regexp_replace(regexp_extract(substring(url, length(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)) + 1), '^([^?#]*)', 1), '/+$', '')
+  || substring(url, length(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^?#]*)', 1)) + 1) AS uri FROM pages""", base=False)
+def uri_normalize(spark, d):
+    return corpus.read(spark, d, "pages").select("page_id", text.uri_key(F.col("url")).alias("uri"))
+
+
+@query()
+def chunk_documents(spark, d):
+    return chunk.chunk_records(corpus.records(spark, d)).select("parent_key", "chunk_id", "chunk_index", "start_pos", "end_pos", "content_hash")
+
+
+@query("""+chunks AS (SELECT conv_id, 'conv:' || conv_id AS parent_key, 'conv:' || conv_id || '#' || turn AS chunk_key, turn, text FROM conversations),
+  s AS (SELECT role, parent_key, c.turn, round(length(c.text) / 100.0e0, 4) AS score FROM chunks c JOIN conversations v ON v.conv_id = c.conv_id AND v.turn = c.turn),
+  m AS (SELECT *, row_number() OVER (PARTITION BY role, parent_key ORDER BY score DESC, turn, turn::VARCHAR) AS n FROM s)
+  SELECT role AS query_id, parent_key AS storage_key, max(score) AS score, string_agg(turn::VARCHAR, ',' ORDER BY n) FILTER (WHERE n <= 3) AS chunks FROM m GROUP BY 1, 2""")
+def chunk_rollup(spark, d):
+    c = corpus.read(spark, d, "conversations").withColumns({"parent_key": F.concat(F.lit("conv:"), F.col("conv_id").cast("string")), "chunk_id": F.col("turn").cast("string")})
+    c = c.withColumn("chunk_key", F.concat("parent_key", F.lit("#"), "chunk_id"))
+    hits = c.select(F.col("role").alias("query_id"), F.col("chunk_key").alias("storage_key"), F.round(F.length("text") / 100.0, 4).alias("score"))
+    out = rank.roll_up(hits, c.select("chunk_key", "parent_key", "chunk_id", F.col("turn").alias("start_pos"), F.col("text").alias("content")))
+    return out.select("query_id", "storage_key", "score", F.array_join(F.transform("chunk_matches", lambda m: m["chunk_id"]), ",").alias("chunks"))
+
+
+@query("""+h AS (SELECT role, 'conv:' || conv_id AS storage_key, row_number() OVER (PARTITION BY role ORDER BY length(text) DESC, conv_id, turn) AS rank FROM conversations)
+  SELECT role AS query_id, storage_key, min(rank) AS rank FROM h GROUP BY 1, 2""")
+def parent_expand(spark, d):
+    c = corpus.read(spark, d, "conversations")
+    w = Window.partitionBy("role").orderBy(F.desc(F.length("text")), "conv_id", "turn")
+    key = F.concat(F.lit("conv:"), F.col("conv_id").cast("string"))
+    c = c.select(F.col("role").alias("query_id"), F.concat(key, F.lit("#"), F.col("turn").cast("string")).alias("storage_key"), key.alias("parent_key"), F.row_number().over(w).cast("long").alias("rank"))
+    return rank.expand_parents(c.drop("parent_key"), c.select("storage_key", "parent_key").distinct()).select("query_id", "storage_key", "rank")
+
+
+# ---------------------------------------------------------------- evaluation
+
+_JUDGED = _PAIRS + f""", results AS (SELECT query_id, vec_id AS item, rank FROM neighbours WHERE rank <= {K}),
+  gains AS (SELECT query_id, vec_id AS item FROM pairs WHERE same),
+  n AS (SELECT query_id, count(*) AS n FROM gains GROUP BY 1),
+  h AS (SELECT r.*, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS h FROM results r SEMI JOIN gains g ON g.query_id = r.query_id AND g.item = r.item),
+  p AS (SELECT query_id, count(*) AS found, sum(1 / log2(rank + 1.0e0)) AS dcg, min(rank) AS best, sum(h / rank::DOUBLE) AS ps FROM h GROUP BY 1),
+  i AS (SELECT k AS n, sum(1 / log2(j + 1.0e0)) AS idcg FROM (SELECT unnest(range(1, 11)) AS k) a, (SELECT unnest(range(1, 11)) AS j) b WHERE j <= k GROUP BY 1),
+  scores AS (SELECT e.vec_id AS query_id, e.label, round(coalesce(found / n.n::DOUBLE, 0), 6) AS recall, round(coalesce(dcg / idcg, 0), 6) AS ndcg, round(coalesce(1.0e0 / best, 0), 6) AS mrr, round(coalesce(ps / n.n, 0), 6) AS ap
+    FROM embeddings e LEFT JOIN n ON n.query_id = e.vec_id LEFT JOIN p ON p.query_id = e.vec_id LEFT JOIN i ON i.n = least(n.n, 10))"""
+
+
+def _scores(spark, d):
+    e = corpus.read(spark, d, "embeddings")
+    results = _neighbours(spark, d).select("query_id", F.col("vec_id").alias("item"), "rank")
+    a, b = e.select(F.col("vec_id").alias("query_id"), "label"), e.select(F.col("vec_id").alias("item"), "label")
+    gains = a.join(b, "label").filter("query_id <> item").select("query_id", "item", F.lit(1.0).alias("gain"))
+    return evaluate.metrics(results, gains, a, K, 6), a
+
+
+@query(_JUDGED + " SELECT query_id, recall, ndcg, mrr, ap FROM scores")
+def eval_metrics(spark, d):
+    return _scores(spark, d)[0]
+
+
+@query(_JUDGED + """ SELECT dimension, value, count(*) AS queries, round(avg(recall), 5) AS mean_recall, round(avg(ndcg), 5) AS mean_ndcg, round(avg(mrr), 5) AS mean_mrr, round(avg(ap), 5) AS mean_ap,
+  round(quantile_cont(recall, 0.5), 5) AS recall_p50, round(quantile_cont(recall, 0.95), 5) AS recall_p95, round(quantile_cont(recall, 0.99), 5) AS recall_p99
+  FROM (SELECT 'overall' AS dimension, 'all' AS value, * FROM scores UNION ALL SELECT 'label', label::VARCHAR, * FROM scores) GROUP BY 1, 2""")
+def eval_slices(spark, d):
+    s, q = _scores(spark, d)
+    return evaluate.slices(s, q.select("query_id", F.lit("label").alias("dimension"), F.col("label").cast("string").alias("value")), 5)
+
+
+@query(_FUSED + f""", seen AS (SELECT DISTINCT query_id, source_kind AS kind FROM ranked JOIN records USING (storage_key) WHERE rank <= {K}), expected AS (SELECT item_id AS query_id, kind FROM benchmark, (SELECT unnest(['en', 'fr', 'de', 'es']) AS kind))
+  SELECT e.query_id, round(count(s.kind) / 4.0e0, 6) AS coverage FROM expected e LEFT JOIN seen s USING (query_id, kind) GROUP BY 1""")
+def eval_source_coverage(spark, d):
+    r = _ranked(spark, d).join(corpus.records(spark, d).select("storage_key", "source_kind"), "storage_key")
+    expected = _passages(spark, d).select("query_id", F.explode(F.array(*map(F.lit, ["en", "fr", "de", "es"]))).alias("kind"))
+    return evaluate.source_coverage(r, expected, K).withColumn("coverage", F.round("coverage", 6))
+
+
+# ---------------------------------------------------------------- federation, ingestion, reconciliation
+
+
+def _federated(spark, d):
+    doc = corpus.read(spark, d, "documents")
+    w = Window.partitionBy("lang", "source").orderBy(F.desc("n_chars"), "doc_id")
+    uri = F.concat(F.lit("HTTP://Host/"), F.md5("text"), F.lit("/"))
+    return doc.select(F.col("lang").alias("query_id"), "source", F.concat(F.lit("id:"), F.col("doc_id").cast("string")).alias("identity"), uri.alias("uri"), F.row_number().over(w).alias("rank"))
+
+
+@query("""+h AS (SELECT lang AS query_id, source, 'id:' || min(doc_id::VARCHAR) OVER (PARTITION BY lang, md5(text)) AS entity, row_number() OVER (PARTITION BY lang, source ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
+  b AS (SELECT query_id, source, entity, min(rank) AS rank FROM h GROUP BY 1, 2, 3),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank, entity) AS r FROM b)
+  SELECT query_id, entity, round(sum(1 / (60.0e0 + r)), 6) AS score, count(*) AS n_sources FROM r GROUP BY 1, 2""")
+def federate_rrf(spark, d):
+    out = federate.fuse(_federated(spark, d), digits=6)
+    return out.select("query_id", "entity", "score", F.size("sources").cast("long").alias("n_sources"))
+
+
+@query("SELECT storage_key, CASE WHEN doc_id % 3 = 0 THEN 'insert' WHEN doc_id % 3 = 1 THEN 'update' ELSE 'none' END AS change, doc_id % 3 <> 2 AS keyword_changed, doc_id % 3 <> 2 AS vector_changed FROM records")
+def upsert_diff(spark, d):
+    r = corpus.records(spark, d)
+    old = r.filter("doc_id % 3 <> 0").withColumn("body", F.when(F.col("doc_id") % 3 == 1, F.concat("body", F.lit("!"))).otherwise(F.col("body")))
+    return store.diff(old, r)
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1", base=False)
+def upsert_dedupe_last(spark, d):
+    return store.latest(corpus.read(spark, d, "events"), "event_id", "user_id").select("user_id", "event_id", "event_type")
+
+
+@query("SELECT 'records' AS tab, count(*) AS n FROM records WHERE status <> 'archived' UNION ALL SELECT 'vectors', count(*) FROM vectors WHERE vec_id % 10 <> 0 UNION ALL SELECT 'chunks', count(*) FROM records WHERE status <> 'archived' UNION ALL SELECT 'edges', count(*) FROM records WHERE status <> 'archived' AND (doc_id + 1) % 10 <> 0")
+def delete_cascade(spark, d):
+    r = corpus.records(spark, d)
+    nxt = keys.storage_key(F.concat(F.lit("ws-"), ((F.col("doc_id") + 1) % 4).cast("string")), F.lit("x"), (F.col("doc_id") + 1).cast("string"))
+    e = r.select(F.col("storage_key").alias("src_key"), nxt.alias("dst_key"), F.lit("links_to").alias("edge_type"), F.lit(1.0).alias("weight"))
+    gone = r.filter("status = 'archived'").select("storage_key").union(r.filter("(doc_id + 1) % 10 = 0").select(nxt.alias("storage_key")))
+    chunks = r.select(F.concat("storage_key", F.lit("#0")).alias("chunk_key"), F.col("storage_key").alias("parent_key"))
+    left = store.delete(gone, r, corpus.vectors(spark, d), e, chunks)
+    out = None
+    for name in ("records", "vectors", "chunks", "edges"):
+        one = left[name].agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("tab"), "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("SELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 5 = 0 THEN 'add' ELSE 'remove' END AS action FROM documents WHERE doc_id % 5 = 0 OR (doc_id % 7 = 0 AND doc_id % 5 <> 0)", base=False)
+def reconcile_index(spark, d):
+    doc = corpus.read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 7 == 0, F.when(F.col("doc_id") % 5 == 0, ".md").otherwise(".tmp")).otherwise(".md")).alias("path"), (F.col("doc_id") % 5).alias("m"))
+    return reconcile(doc, doc.filter("m <> 0"), ["*.md"])
+
+
+@query("SELECT count(*) AS misses, CAST(sum(c) AS BIGINT) AS inputs FROM (SELECT text, count(*) AS c FROM documents GROUP BY text)", base=False)
+def embed_plan_dedupe(spark, d):
+    doc = corpus.read(spark, d, "documents").select(F.col("doc_id").alias("storage_key"), "text", F.lit(1).alias("priority"), F.lit("fine").alias("tier"))
+    _, misses = embed.plan(doc, None, "ns")
+    return misses.agg(F.count(F.lit(1)).alias("misses"), F.sum("sources").alias("inputs"))
+
+
+@query()
+def embed_deterministic(spark, d):
+    return corpus.read(spark, d, "benchmark").select("item_id", embed.encoder()("text").alias("embedding"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2", base=False)
+def event_windows(spark, d):
+    return ingest.counts_by_window(corpus.read(spark, d, "events"), "ts", "1 hour", "1 hour", "event_type")
+
+
+@query("SELECT user_id::VARCHAR AS storage_key, max(event_id) AS last_event FROM events GROUP BY 1", base=False)
+def ingest_stream(spark, d):
+    """The events as a stream of micro-batches, upserted by user."""
+    base = tempfile.mkdtemp(prefix="seekspark-stream-") if not spark.conf.get("spark.checkpoint.dir", None) else None
+    root = f"file://{base}" if base else spark.conf.get("spark.checkpoint.dir").rstrip("/") + "/seekspark-stream-" + spark.sparkContext.applicationId
+    tables = store.Tables(spark, root + "/tables")
+    schema = corpus.read(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet" if not d.endswith(".parquet") else d)
+
+    def write(batch: DataFrame, _: int) -> None:
+        rows = batch.groupBy(F.col("user_id").cast("string").alias("storage_key")).agg(F.max("event_id").alias("last_event"))
+        tables.upsert("last", rows)
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", root + "/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = tables.read("last")
+    if base:
+        out = spark.createDataFrame(out.collect(), out.schema)  # a test's folder goes
+        shutil.rmtree(base, ignore_errors=True)
+    return out
+
+
+@query("SELECT 'topic' || lpad(((i + 3) % 16)::VARCHAR, 2, '0') AS query, count(*) AS n FROM (SELECT unnest(range(0, 1000)) AS i) GROUP BY 1", base=False)
+def synthetic_corpus(spark, d):
+    return synthetic.corpus(spark, 1000, 3)[1].select("query", F.size("relevant_ids").cast("long").alias("n"))
+
+
+@query()
+def hybrid_search_calibrated(spark, d):
+    q = _query_vectors(spark, d)
+    e = search.engine(corpus.records(spark, d), corpus.vectors(spark, d), config=Config(fusion="calibrated", weighted=True, adaptive_limit=True, keyword_weight=1.5))
+    return e.search(q, K).select("query_id", "rank", "storage_key", "score", "normalized_score")
