@@ -43,7 +43,7 @@ _WS = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 
 #: Fragments that a worker remembers: at most twice as many.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 _BATCH = 2 << 20
 _MARK = 255  # in no UTF-8 text
 
@@ -194,11 +194,13 @@ def decoder(vocabulary: Vocabulary):
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = get()
         for column in batches:
-            ids, at = column.flatten().to_numpy(zero_copy_only=False).tolist(), 0
             out: list[str | None] = []
-            for n in column.value_lengths().to_pylist():
-                out.append(None if n is None else own.decode(ids[at : at + n]))
-                at += n or 0
+            for low, high in pieces([n or 0 for n in column.value_lengths().to_pylist()], _BATCH // 8):
+                part = column.slice(low, high - low)
+                ids, at = part.flatten().to_numpy(zero_copy_only=False).tolist(), 0
+                for n in part.value_lengths().to_pylist():
+                    out.append(None if n is None else own.decode(ids[at : at + n]))
+                    at += n or 0
             yield pa.array(out, pa.string())
 
     decode.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
@@ -211,9 +213,31 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     return only(docs, ["doc_id", "text"]).withColumn("token_ids", encoder(vocabulary)("text"))
 
 
+def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, token_ids, n_tokens, round_trip) of each document: its ids, and whether they decode to the text.
+
+    One pass and one worker for each task, in parts of bounded size: texts go to Python once and don't come back.
+    """
+    get = _remembered(Vocabulary.load(path or f"{TOKENIZERS}/{VOCABULARY}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = get()
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for low, high in pieces([len(t or "") for t in texts], _BATCH):
+                part = texts[low:high]
+                ids, counts = own.encode([t or "" for t in part])
+                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                plain, bounds = ids.tolist(), offsets.tolist()
+                back = [t is None or own.decode(plain[a:b]) == t for t, a, b in zip(part, bounds, bounds[1:])]
+                nulls = np.array([t is None for t in part] + [False])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, mask=nulls), pa.array(ids))
+                n = pa.array(counts.astype(np.int32), mask=nulls[:-1])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), lists, n, pa.array(back)], ["doc_id", "token_ids", "n_tokens", "round_trip"])
+
+    return only(docs, ["doc_id", "text"]).mapInArrow(run, "doc_id long, token_ids array<int>, n_tokens int, round_trip boolean")
+
+
 def query(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Encodes all documents, decodes the ids, and tells whether the text came back."""
-    vocabulary = Vocabulary.load(path or f"{TOKENIZERS}/{VOCABULARY}")
-    encoded = encode_documents(documents(spark, sf_dir), path)
-    back = encoded.withColumn("back", decoder(vocabulary)("token_ids"))
-    return back.select("doc_id", "token_ids", F.size("token_ids").alias("n_tokens"), F.col("back").eqNullSafe(F.col("text")).alias("round_trip"))
+    return round_trip(documents(spark, sf_dir), path)
