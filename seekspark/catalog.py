@@ -127,8 +127,8 @@ def adaptive_weights(spark, d):
 
 _POSTINGS = r"""+tokens AS (
   SELECT storage_key, unnest(list_concat(
-    list_transform(regexp_extract_all(lower(title), '[\p{L}\p{N}]+'), x -> {'t': x, 'w': 5.0e0}), list_transform(regexp_extract_all(lower(body), '[\p{L}\p{N}]+'), x -> {'t': x, 'w': 1.0e0}),
-    list_transform(regexp_extract_all(lower(uri), '[\p{L}\p{N}]+'), x -> {'t': x, 'w': 4.0e0}), list_transform(regexp_extract_all(lower(keywords), '[\p{L}\p{N}]+'), x -> {'t': x, 'w': 2.0e0}))) AS s FROM records
+    list_transform(regexp_extract_all(lower(title), '[\p{L}\p{N}]+'), lambda x: {'t': x, 'w': 5.0e0}), list_transform(regexp_extract_all(lower(body), '[\p{L}\p{N}]+'), lambda x: {'t': x, 'w': 1.0e0}),
+    list_transform(regexp_extract_all(lower(uri), '[\p{L}\p{N}]+'), lambda x: {'t': x, 'w': 4.0e0}), list_transform(regexp_extract_all(lower(keywords), '[\p{L}\p{N}]+'), lambda x: {'t': x, 'w': 2.0e0}))) AS s FROM records
 ), postings AS (SELECT storage_key, s.t AS term, sum(s.w) AS f FROM tokens GROUP BY ALL
 ), lengths AS (SELECT storage_key, count(*) AS len FROM tokens GROUP BY ALL
 ), corpus AS (SELECT (SELECT count(*) FROM records) AS n, (SELECT count(*) FROM tokens) / (SELECT count(*)::DOUBLE FROM records) AS mean
@@ -229,14 +229,14 @@ def vector_topk_all(spark, d):
     return _neighbours(spark, d)
 
 
-@query("SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], list_transform(range(1, 65), i -> i::DOUBLE)) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(89440.0e0)), 6) AS score FROM embeddings ORDER BY list_dot_product(embedding::DOUBLE[], list_transform(range(1, 65), i -> i::DOUBLE)) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) DESC, vec_id LIMIT 10", base=False)
+@query("SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], list_transform(range(1, 65), lambda i: i::DOUBLE)) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(89440.0e0)), 6) AS score FROM embeddings ORDER BY list_dot_product(embedding::DOUBLE[], list_transform(range(1, 65), lambda i: i::DOUBLE)) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) DESC, vec_id LIMIT 10", base=False)
 def vector_topk_single(spark, d):
     return vector.top_k_single(corpus.read(spark, d, "embeddings"), [float(i) for i in range(1, 65)], K, "vec_id").withColumn("score", F.round("score", 6))
 
 
-@query(_PAIRS + " SELECT query_id, vec_id, round(greatest(0, least(1, (score + 1) / 2)), 6) AS confidence FROM neighbours WHERE rank <= 10")
+@query(_PAIRS + " SELECT query_id, vec_id, round(greatest(0, least(1, (score + 1) / 2)), 7) AS confidence FROM neighbours WHERE rank <= 10")
 def vector_confidence(spark, d):
-    return _neighbours(spark, d).select("query_id", "vec_id", F.round(vector.confidence(F.col("score")), 6).alias("confidence"))
+    return _neighbours(spark, d).select("query_id", "vec_id", F.round(vector.confidence(F.col("score")), 7).alias("confidence"))
 
 
 @query("SELECT label, CAST(len(embedding) AS INTEGER) AS dim, count(*) AS vectors, CAST(sum(len(embedding) * 4) AS BIGINT) AS bytes FROM embeddings GROUP BY 1, 2", base=False)
@@ -336,7 +336,7 @@ def normalize_scores(spark, d):
     return fusion.normalized(_ranked(spark, d)).select("query_id", "storage_key", F.round("normalized_score", 4).alias("normalized_score"))
 
 
-@query(_FUSED + f" SELECT k.query_id, k.rank, k.storage_key, k.score, r.title, r.status FROM ranked k JOIN records r USING (storage_key) WHERE rank <= {K}")
+@query(_FUSED.replace(", 6) AS score", ", 9) AS score") + f" SELECT k.query_id, k.rank, k.storage_key, round(k.score, 6) AS score, r.title, r.status FROM ranked k JOIN records r USING (storage_key) WHERE rank <= {K}")
 def hybrid_search(spark, d):
     r = corpus.records(spark, d)
     q = _passages(spark, d).join(corpus.read(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
@@ -386,7 +386,7 @@ def cascade_rerank(spark, d):
 @query(_FUSED + """, c AS (SELECT k.query_id, k.storage_key, round((list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))) + 1) / 2, 6) AS new_score
   FROM ranked k JOIN vectors v USING (storage_key) JOIN q USING (query_id)) SELECT * FROM c""")
 def cosine_rerank(spark, d):
-    return rank.cosine_scores(_ranked(spark, d), corpus.vectors(spark, d), _query_vectors(spark, d)).withColumn("new_score", F.round("new_score", 6))
+    return rank.cosine_scores(_ranked(spark, d), corpus.vectors(spark, d), _query_vectors(spark, d), 6)
 
 
 # ---------------------------------------------------------------- graph lane
@@ -410,9 +410,9 @@ def graph_incoming_limited(spark, d):
 
 
 @query("""+walk AS (
-  SELECT src_key AS seed, dst_key AS at, weight, edge_type, [src_key, dst_key] AS path, 1 AS hops FROM edges
-  UNION ALL SELECT w.seed, e.dst_key, w.weight * e.weight, e.edge_type, list_append(w.path, e.dst_key), hops + 1 FROM walk w JOIN edges e ON e.src_key = w.at WHERE hops < 3 AND NOT list_contains(w.path, e.dst_key)
-), best AS (SELECT seed, at AS storage_key, edge_type, round(weight, 6) AS weight, row_number() OVER (PARTITION BY seed, at ORDER BY round(weight, 6) DESC, edge_type) AS n FROM walk)
+  SELECT src_key AS seed, dst_key AS here, weight, edge_type, [src_key, dst_key] AS path, 1 AS hops FROM edges
+  UNION ALL SELECT w.seed, e.dst_key, w.weight * e.weight, e.edge_type, list_append(w.path, e.dst_key), hops + 1 FROM walk w JOIN edges e ON e.src_key = w.here WHERE hops < 3 AND NOT list_contains(w.path, e.dst_key)
+), best AS (SELECT seed, here AS storage_key, edge_type, round(weight, 6) AS weight, row_number() OVER (PARTITION BY seed, here ORDER BY round(weight, 6) DESC, edge_type) AS n FROM walk)
 SELECT seed, storage_key, edge_type, weight FROM best WHERE n = 1""")
 def graph_multi_hop(spark, d):
     e, s = _graph_seeds(spark, d)
@@ -434,16 +434,16 @@ def graph_bounded_expand(spark, d):
 
 
 @query(f"""+fan AS (SELECT * FROM (SELECT src_key, dst_key, edge_type, d, row_number() OVER (PARTITION BY src_key ORDER BY d DESC, dst_key, edge_type) AS m FROM (SELECT *, CASE edge_type WHEN 'implements' THEN 1.0e0 WHEN 'links_to' THEN 0.85e0 WHEN 'related' THEN 0.7e0 ELSE 0.55e0 END AS d FROM edges)) WHERE m <= 10),
-  {_SEEDS}, m0 AS (SELECT query_id, seed, seed AS at, NULL::VARCHAR AS first, s / sum(s) OVER (PARTITION BY query_id) AS mass FROM seeds WHERE n <= 10),
-  n0 AS (SELECT query_id, at FROM m0 GROUP BY 1, 2 HAVING sum(mass) >= 1e-4),
-  m1 AS (SELECT m.query_id, seed, dst_key AS at, coalesce(first, edge_type) AS first, sum(mass * 0.85e0 * d) AS mass FROM m0 m SEMI JOIN n0 ON n0.query_id = m.query_id AND n0.at = m.at JOIN fan ON src_key = m.at GROUP BY 1, 2, 3, 4),
-  n1 AS (SELECT query_id, at FROM m1 GROUP BY 1, 2 HAVING sum(mass) >= 1e-4),
-  m2 AS (SELECT m.query_id, seed, dst_key AS at, coalesce(first, edge_type) AS first, sum(mass * 0.85e0 * d) AS mass FROM m1 m SEMI JOIN n1 ON n1.query_id = m.query_id AND n1.at = m.at JOIN fan ON src_key = m.at GROUP BY 1, 2, 3, 4),
-  n2 AS (SELECT query_id, at FROM m2 GROUP BY 1, 2 HAVING sum(mass) >= 1e-4),
-  m3 AS (SELECT m.query_id, seed, dst_key AS at, coalesce(first, edge_type) AS first, sum(mass * 0.85e0 * d) AS mass FROM m2 m SEMI JOIN n2 ON n2.query_id = m.query_id AND n2.at = m.at JOIN fan ON src_key = m.at GROUP BY 1, 2, 3, 4)
-  SELECT query_id, at AS storage_key, round(sum(mass), 6) AS score FROM (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3) GROUP BY 1, 2""")
+  {_SEEDS}, m0 AS (SELECT query_id, seed, seed AS here, NULL::VARCHAR AS first, s / sum(s) OVER (PARTITION BY query_id) AS mass FROM seeds WHERE n <= 10),
+  n0 AS (SELECT query_id, here FROM m0 GROUP BY 1, 2 HAVING sum(mass) >= 1e-4),
+  m1 AS (SELECT m.query_id, seed, dst_key AS here, coalesce(first, edge_type) AS first, sum(mass * 0.85e0 * d) AS mass FROM m0 m SEMI JOIN n0 ON n0.query_id = m.query_id AND n0.here = m.here JOIN fan ON src_key = m.here GROUP BY 1, 2, 3, 4),
+  n1 AS (SELECT query_id, here FROM m1 GROUP BY 1, 2 HAVING sum(mass) >= 1e-4),
+  m2 AS (SELECT m.query_id, seed, dst_key AS here, coalesce(first, edge_type) AS first, sum(mass * 0.85e0 * d) AS mass FROM m1 m SEMI JOIN n1 ON n1.query_id = m.query_id AND n1.here = m.here JOIN fan ON src_key = m.here GROUP BY 1, 2, 3, 4),
+  n2 AS (SELECT query_id, here FROM m2 GROUP BY 1, 2 HAVING sum(mass) >= 1e-4),
+  m3 AS (SELECT m.query_id, seed, dst_key AS here, coalesce(first, edge_type) AS first, sum(mass * 0.85e0 * d) AS mass FROM m2 m SEMI JOIN n2 ON n2.query_id = m.query_id AND n2.here = m.here JOIN fan ON src_key = m.here GROUP BY 1, 2, 3, 4)
+  SELECT query_id, here AS storage_key, round(sum(mass), 8) AS score FROM (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3) GROUP BY 1, 2""")
 def graph_pagerank(spark, d):
-    return graph.pagerank(corpus.edges(spark, d), _order_hits(spark, d)).select("query_id", "storage_key", F.round("score", 6).alias("score"))
+    return graph.pagerank(corpus.edges(spark, d), _order_hits(spark, d), digits=8).select("query_id", "storage_key", "score")
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'tests' WHEN l_returnflag = 'A' THEN 'implements' ELSE 'links_to' END AS edge_type FROM lineitem", base=False)
@@ -526,11 +526,12 @@ def eval_metrics(spark, d):
 
 
 @query(_JUDGED + """ SELECT dimension, value, count(*) AS queries, round(avg(recall), 5) AS mean_recall, round(avg(ndcg), 5) AS mean_ndcg, round(avg(mrr), 5) AS mean_mrr, round(avg(ap), 5) AS mean_ap,
-  round(quantile_cont(recall, 0.5), 5) AS recall_p50, round(quantile_cont(recall, 0.95), 5) AS recall_p95, round(quantile_cont(recall, 0.99), 5) AS recall_p99
+  round(quantile_cont(recall, 0.5), 4) AS recall_p50, round(quantile_cont(recall, 0.95), 4) AS recall_p95, round(quantile_cont(recall, 0.99), 4) AS recall_p99
   FROM (SELECT 'overall' AS dimension, 'all' AS value, * FROM scores UNION ALL SELECT 'label', label::VARCHAR, * FROM scores) GROUP BY 1, 2""")
 def eval_slices(spark, d):
     s, q = _scores(spark, d)
-    return evaluate.slices(s, q.select("query_id", F.lit("label").alias("dimension"), F.col("label").cast("string").alias("value")), 5)
+    out = evaluate.slices(s, q.select("query_id", F.lit("label").alias("dimension"), F.col("label").cast("string").alias("value")), 9)
+    return out.withColumns({c: F.round(c, 5 if c.startswith("mean") else 4) for c in out.columns[3:]})
 
 
 @query(_FUSED + f""", seen AS (SELECT DISTINCT query_id, source_kind AS kind FROM ranked JOIN records USING (storage_key) WHERE rank <= {K}), expected AS (SELECT item_id AS query_id, kind FROM benchmark, (SELECT unnest(['en', 'fr', 'de', 'es']) AS kind))
@@ -617,7 +618,10 @@ def ingest_stream(spark, d):
     root = f"file://{base}" if base else spark.conf.get("spark.checkpoint.dir").rstrip("/") + "/seekspark-stream-" + spark.sparkContext.applicationId
     tables = store.Tables(spark, root + "/tables")
     schema = corpus.read(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet" if not d.endswith(".parquet") else d)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
+    single = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile()
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4)
+    stream = reader.option("pathGlobFilter", "events.parquet").parquet(d) if single else reader.parquet(f"{d}/events.parquet")
 
     def write(batch: DataFrame, _: int) -> None:
         rows = batch.groupBy(F.col("user_id").cast("string").alias("storage_key")).agg(F.max("event_id").alias("last_event"))

@@ -102,10 +102,10 @@ def reranked(hits: DataFrame, scores: DataFrame, budget: int) -> DataFrame:
     return moved.select(*hits.columns).union(out.filter("NOT _in").select(*hits.columns))
 
 
-def cosine_scores(hits: DataFrame, vectors: DataFrame, query_vectors: DataFrame) -> DataFrame:
+def cosine_scores(hits: DataFrame, vectors: DataFrame, query_vectors: DataFrame, digits: int = 9) -> DataFrame:
     """(query_id, storage_key, new_score): (cosine + 1) / 2 of the stored vectors."""
     q = query_vectors.select("query_id", F.col("embedding").alias("q"))
-    return hits.join(vectors.select("storage_key", "embedding"), "storage_key").join(q, "query_id").select("query_id", "storage_key", F.round((cosine(F.col("embedding"), F.col("q")) + 1) / 2, 9).alias("new_score"))
+    return hits.join(vectors.select("storage_key", "embedding"), "storage_key").join(q, "query_id").select("query_id", "storage_key", F.round((cosine(F.col("embedding"), F.col("q")) + 1) / 2, digits).alias("new_score"))
 
 
 def cascade(fast: pd.DataFrame, slow: Callable[[pd.DataFrame], np.ndarray], escalated: int = 15, gap: float = 0.1) -> pd.DataFrame:
