@@ -1,0 +1,551 @@
+"""Each operator against brute force, an exact round trip or held-out rows, and the cases of its docstring."""
+
+import itertools
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from seekspark.llm import bpe, flac, grams, html, line_dedup, near_duplicates, outliers, packing, pii, quality, sharding
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = [f"w{i}" for i in range(400)]
+
+
+def table(spark, rows, schema=DOCS):
+    return spark.createDataFrame(rows, schema)
+
+
+def doc(i, text, lang="en", source="s"):
+    return (i, text, lang, source, None if text is None else len(text))
+
+
+def odd_rows():
+    """Nulls in any column, empty and long texts, repeated rows."""
+    long = " ".join(WORDS * 60)
+    return [doc(1, "one two three four"), doc(1, "one two three four"), doc(2, None), doc(None, "one two three four"), doc(3, ""), doc(4, long), (5, "x y", None, None, None), doc(6, "  \n \n"), (None, None, None, None, None)]
+
+
+def clashing(df):
+    """With extra columns of the names that operators use inside."""
+    for c in ("k0", "kept", "node", "root", "block", "pii_spans", "distance", "band", "h", "n", "new"):
+        df = df.withColumn(c, df.doc_id.cast("string"))
+    return df
+
+
+# ---- 1
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return bpe.Vocabulary.load(f"{bpe.TOKENIZERS}/{bpe.VOCABULARY}")
+
+
+@pytest.fixture(scope="module")
+def reference(vocabulary):
+    import tiktoken
+
+    import sys
+
+    sys.path.insert(0, "/opt/py313/lib/python3.13/site-packages")
+    import public_tokenizers as P
+
+    return tiktoken.Encoding("test", pat_str=P.PATTERN, mergeable_ranks=vocabulary.ranks, special_tokens={})
+
+
+PARTS = ["'", "s", "re", " ", "  ", "\n", "\t", "a", "é", " ", " ", "　", "1", "!", "'ll", "ß", "中", "😀", "\x1c", "$$$", "the", "\r", "''", "Ê", "<|endoftext|>"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=30).map("".join), max_size=5))
+def test_bpe_equals_the_usual_encoder(vocabulary, reference, texts):
+    ids, counts = vocabulary.encode(texts)
+    at = 0
+    for t, n in zip(texts, counts.tolist()):
+        own = ids[at : at + n].tolist()
+        assert own == reference.encode_ordinary(t)
+        assert vocabulary.decode(own) == t
+        at += n
+
+
+def test_bpe_long_and_whole_table(spark, sf, vocabulary, reference):
+    for t in ("a" * 5000, "$" * 3000, " " * 999 + "x", "é" * 500):
+        assert vocabulary.encode([t])[0].tolist() == reference.encode_ordinary(t)
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = bpe.query(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r["round_trip"] and r["token_ids"] == reference.encode_ordinary(texts[r["doc_id"]]) and r["n_tokens"] == len(r["token_ids"])
+
+
+def test_bpe_odd_rows(spark, vocabulary):
+    rows = bpe.round_trip(clashing(table(spark, odd_rows()))).collect()
+    assert len(rows) == len(odd_rows()) and all(r["round_trip"] for r in rows)
+    assert {r["doc_id"]: r["token_ids"] for r in rows}[3] == []
+    assert bpe.round_trip(table(spark, [])).count() == 0
+    df = table(spark, odd_rows()).withColumn("ids", bpe.encoder(vocabulary)("text"))
+    assert [r["text"] for r in df.collect()] == [r["b"] for r in df.withColumn("b", bpe.decoder(vocabulary)("ids")).collect()]
+    with pytest.raises(ValueError):
+        vocabulary.decode([10**6])
+
+
+# ---- 2
+
+
+def brute_lines(rows):
+    """Of equal lines the first stays, by (doc_id, null last; text hash is irrelevant here), then place."""
+    seen, out = set(), []
+    for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        if text is None:
+            out.append((i, None))
+            continue
+        stay, had, kept = [], False, False
+        for line in text.split("\n"):
+            key = line.strip(" ")
+            if not key:
+                stay.append(line)
+                continue
+            had = True
+            if key not in seen:
+                seen.add(key)
+                stay.append(line)
+                kept = True
+        if kept or not had:
+            out.append((i, "\n".join(stay)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("batches,fanout", [(1, 2), (5, 2), (4, 3)])
+def test_line_dedup_equals_brute_force(spark, batches, fanout):
+    r = random.Random(batches)
+    rows = [(i, "\n".join(r.choice(["a", "b", " a", "", "c d", "e", "f g h", str(r.randint(0, 40))]) for _ in range(r.randint(0, 8)))) for i in range(60)]
+    got = line_dedup.dedup_lines(table(spark, [doc(*x) for x in rows]), batches, fanout).collect()
+    assert sorted([(x["doc_id"], x["text"]) for x in got], key=str) == brute_lines(rows)
+    assert all(x["n_chars"] == len(x["text"]) for x in got)
+
+
+def test_line_dedup_odd_rows(spark):
+    out = line_dedup.dedup_lines(clashing(table(spark, odd_rows())))
+    assert out.columns == clashing(table(spark, odd_rows())).columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.select("doc_id", "text").collect()), key=str)
+    assert got == sorted([(1, "one two three four"), (2, None), (3, ""), (4, " ".join(WORDS * 60)), (5, "x y"), (6, "  \n \n"), (None, None)], key=str)
+    assert line_dedup.dedup_lines(table(spark, [])).count() == 0
+
+
+# ---- 7
+
+
+def brute_pairs(rows, n, threshold):
+    def of(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
+
+    sets = [(i, of(t)) for i, t in rows if i is not None]
+    out = {}
+    for (a, x), (b, y) in itertools.combinations(sets, 2):
+        if a != b and x and y and (s := len(x & y) / len(x | y)) >= threshold:
+            out[min(a, b), max(a, b)] = max(s, out.get((min(a, b), max(a, b)), 0))
+    return out
+
+
+def near_rows(seed, groups=25):
+    r, rows = random.Random(seed), []
+    for _ in range(groups):
+        base = [r.choice(WORDS) for _ in range(r.randint(3, 90))]
+        for _ in range(r.randint(1, 7)):
+            own = list(base)
+            for _ in range(r.choice([0, 0, 1, 2, 4])):
+                own[r.randrange(len(own))] = r.choice(WORDS)
+            rows.append((len(rows), " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("block", [1 << 20, 600])
+def test_jaccard_join_recall_and_precision(spark, monkeypatch, block):
+    monkeypatch.setattr(near_duplicates, "BLOCK_GRAMS", block)  # small blocks: components of many block pairs
+    rows = near_rows(3)
+    want = brute_pairs(rows, near_duplicates.N, near_duplicates.THRESHOLD)
+    pairs = near_duplicates.similar_pairs(table(spark, [doc(*x) for x in rows]))
+    got = {(x["doc_a"], x["doc_b"]): x["similarity"] for x in near_duplicates.expand_copies(pairs).collect()}
+    assert set(got) <= set(want)
+    assert all(abs(want[p] - s) < 1e-12 for p, s in got.items())
+    assert len(got) >= 0.95 * len(want)
+
+
+def test_jaccard_keeps_one_of_each_group(spark):
+    rows = near_rows(5)
+    want = brute_pairs(rows, near_duplicates.N, near_duplicates.THRESHOLD)
+    root = {i: i for i, _ in rows}
+    for _ in rows:
+        for a, b in want:
+            root[a] = root[b] = min(root[a], root[b])
+    kept = {r["doc_id"] for r in near_duplicates.keep_one(table(spark, [doc(*x) for x in rows])).collect()}
+    assert kept == {i for i in root if root[i] == i}
+
+
+def test_jaccard_odd_rows(spark):
+    df = clashing(table(spark, odd_rows() + [doc(9, "one  TWO three\nfour")]))
+    assert [tuple(r) for r in near_duplicates.similar_pairs(df).collect()] == [(1, 9, 1.0)]
+    kept = near_duplicates.keep_one(df)
+    assert kept.columns == df.columns and kept.count() == df.count() - 1
+    assert near_duplicates.similar_pairs(table(spark, [])).count() == 0
+
+
+def test_banding():
+    for t, r in ((0.6, 0.99), (0.8, 0.95), (0.9, 0.999)):
+        b, k = grams.bands_and_rows(t, r, 256)
+        assert 1 - (1 - t**k) ** b >= r and b * k <= 256
+
+
+# ---- 10
+
+
+def test_outliers_equal_brute_force(spark):
+    """The distributed estimate finds the same outliers as plain numpy concentration steps on all rows."""
+    g = np.random.default_rng(1)
+    a = g.normal(size=(6, 6)) * 0.02
+    x = g.normal(size=(1200, 6)) @ a + 0.3
+    x[:120] += 0.6
+    df = spark.createDataFrame([(0, *map(float, v)) for v in x], "unit long, " + ", ".join(f"x{i} double" for i in range(6)))
+    c, cov = outliers.estimate(df)[0]
+    d = np.einsum("ij,jk,ik->i", x - c, np.linalg.inv(cov), x - c)
+    cut = outliers.chi2_quantile(6, 0.999)
+    ridge = np.diag(outliers.FLOORS**2)
+    m, s = np.median(x, 0), np.diag((1.4826 * np.median(abs(x - np.median(x, 0)), 0)) ** 2) + ridge
+    for _ in range(50):
+        e = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
+        near = x[np.argsort(e)[:900]]
+        m, s = near.mean(0), np.cov(near.T, bias=True) * outliers.consistency(6, 0.75) + ridge
+    near = x[np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m) <= outliers.chi2_quantile(6, 0.975)]
+    m, s = near.mean(0), np.cov(near.T, bias=True) * outliers.consistency(6, 0.975) + ridge
+    e = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
+    assert (d > cut)[:120].all() and ((d > cut) != (e > cut)).sum() <= 2
+    assert abs(outliers.chi2_quantile(6, 0.999) - 22.4577) < 1e-3
+
+
+def test_outliers_reject_junk_and_keep_prose(spark):
+    r = random.Random(2)
+    prose = [doc(i, " ".join(r.choice(WORDS[:200]) + r.choice(["", "", ",", "."]) for _ in range(r.randint(40, 400))), r.choice(["en", "fr"]), r.choice(["a", "b"])) for i in range(300)]
+    junk = [doc(1000 + i, "%%% $$$ ### &&& " * 60) for i in range(5)] + [doc(2000 + i, "BUY NOW!! " * 80) for i in range(5)]
+    kept = {x["doc_id"] for x in outliers.reject_outliers(table(spark, prose + junk)).collect()}
+    assert not kept & {x[0] for x in junk}
+    assert len(kept) >= 295
+
+
+def test_outliers_odd_rows(spark):
+    df = clashing(table(spark, odd_rows()))
+    out = outliers.reject_outliers(df)
+    assert out.columns == df.columns
+    assert {2, 3, 6} <= {r["doc_id"] for r in out.collect()}
+    assert outliers.reject_outliers(table(spark, [])).count() == 0
+
+
+# ---- 3
+
+
+@pytest.fixture(scope="module")
+def tagger(spark, sf):
+    from seekspark.llm.common import documents
+
+    return pii.train(documents(spark, sf))
+
+
+def test_tagger_gradients():
+    m = pii.Tagger.new(hidden=4, embed=3)
+    m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    x, y = pii.examples(["some words of a line"], 6, 20)
+    _, grad = m.loss(x, y)
+    for k in m.p:
+        i = np.unravel_index(np.abs(grad[k]).argmax(), grad[k].shape)
+        v, e = m.p[k][i], 1e-4
+        m.p[k][i] = v + e
+        up = m.loss(x, y)[0]
+        m.p[k][i] = v - e
+        down = m.loss(x, y)[0]
+        m.p[k][i] = v
+        assert abs((up - down) / (2 * e) - grad[k][i]) < 1e-3 * max(1, abs(grad[k][i]))
+
+
+def full_viterbi(m, e):
+    """Plain decoding of one window's emissions (length, tags)."""
+    tr, score, back = m.p["T"], e[0].copy(), []
+    score[2::2] = -1e4
+    for k in range(1, len(e)):
+        ways = score[:, None] + tr
+        back.append(ways.argmax(0))
+        score = ways.max(0) + e[k]
+    path = [int(score.argmax())]
+    for b in back[::-1]:
+        path.append(int(b[path[-1]]))
+    return path[::-1]
+
+
+def test_cropped_decoding_is_exact(tagger):
+    r = random.Random(4)
+    texts = ["".join(r.choice(["word ", "the ", pii._made(r, r.choice(pii.KINDS)) + " ", pii._alike(r) + " "]) for _ in range(30))[:500] for _ in range(60)]
+    x = np.zeros((len(texts), 500), np.int64)
+    sizes = np.array([len(t) for t in texts])
+    for i, t in enumerate(texts):
+        x[i, : len(t)] = pii.char_classes(t)
+    e = tagger.emissions(x, sizes)
+    got = {i: np.zeros(n, np.int64) for i, n in enumerate(sizes.tolist())}
+    found = list(tagger.crops(e, sizes))
+    for (w, low, part, _, _), tags in zip(found, tagger.decoded([(p, a, b) for _, _, p, a, b in found])):
+        got[w][low : low + len(tags)] = tags
+    for i, n in enumerate(sizes.tolist()):
+        assert got[i].tolist() == full_viterbi(tagger, e[:, :n, i].T)
+
+
+def test_tagger_on_held_out_spans(tagger):
+    r = random.Random(99)
+    found = planted = wrong = 0
+    for _ in range(200):
+        before, after = (" ".join(r.choice(["of", "then", "tion", "rere", "le", "und", "ing"]) for _ in range(25)) for _ in range(2))
+        kind = r.choice(["EMAIL", "IP", "CARD", "PHONE", "SECRET"])
+        span = pii._made(r, kind)
+        text = f"{before} {span} {after}"
+        spans = tagger.spans([text])[0]
+        planted += 1
+        found += any(s <= len(before) + 1 and e >= len(before) + 1 + len(span) for s, e, _ in spans)
+        wrong += len(tagger.spans([f"{before} {after}"])[0])
+    assert found >= 0.9 * planted and wrong <= 4
+
+
+def test_reconciled_is_the_best_set():
+    r = random.Random(1)
+    for _ in range(200):
+        spans = [(r.uniform(5, 30), s := r.randrange(20), s + r.randint(1, 8), r.randrange(3)) for _ in range(r.randint(0, 7))]
+        best = max((sum(c[0] for c in some) for n in range(len(spans) + 1) for some in itertools.combinations(spans, n) if all(a[2] <= b[1] or b[2] <= a[1] for a, b in itertools.combinations(some, 2))), default=0)
+        margin = {(s, e, pii.KINDS[k]): max(m for m, a, b, c in spans if (a, b, c) == (s, e, k)) for _, s, e, k in spans}
+        assert abs(sum(margin[x] for x in pii.reconciled(spans)) - best) < 1e-9
+
+
+def test_redaction_odd_rows(spark, tagger):
+    secret = "write to jo.doe42@mail.example.com or password=0123456789abcdef01 now"
+    long = "plain words of a text " * 400 + secret + " and more plain words" * 300
+    df = clashing(table(spark, odd_rows() + [doc(7, secret), doc(8, long)]))
+    rows = pii.redact(df, tagger).collect()
+    by_id = {r["doc_id"]: r for r in rows}
+    for i in (7, 8):
+        assert "jo.doe42" not in by_id[i]["text"] and "0123456789abcdef01" not in by_id[i]["text"] and "[EMAIL]" in by_id[i]["text"]
+        assert by_id[i]["n_chars"] == len(by_id[i]["text"])
+    assert by_id[2]["text"] is None and by_id[3]["text"] == "" and by_id[1]["text"] == "one two three four"
+    assert len(rows) == df.count() and pii.redact(table(spark, []), tagger).count() == 0
+
+
+# ---- 4
+
+
+def test_quality_held_out(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.1")
+    rows = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").orderBy("doc_id").collect()
+    train, test = [r for r in rows if r["doc_id"] % 4], [r for r in rows if r["doc_id"] % 4 == 0]
+    m = quality.Model.fitted(quality.features([r["text"] for r in train]), [[r["quality"] for r in train], [r["toxic"] for r in train]])
+    scores = m.scores([r["text"] for r in test])
+    assert np.mean([(s[0] >= 0) == (r["quality"] == 1) for s, r in zip(scores, test)]) > 0.96
+    assert np.mean([(s[1] >= 0) == (r["toxic"] == 1) for s, r in zip(scores, test)]) > 0.93
+
+
+def test_dual_descent_reaches_the_optimum():
+    """The primal objective at the result is that of a fine subgradient search, near enough."""
+    g = np.random.default_rng(0)
+    rows = [np.sort(g.choice(12, 4, replace=False)).astype(np.int32) for _ in range(60)]
+    values = g.normal(size=12)
+    y = np.sign(np.array([values[r].sum() for r in rows]) + g.normal(size=60) * 0.3)
+    w, b = quality.dual_descent(rows, values, y, cost=0.5, epochs=2000)
+    cost = np.where(y > 0, 0.5 * 60 / (2 * (y > 0).sum()), 0.5 * 60 / (2 * (y < 0).sum()))
+    x = np.zeros((60, 13))
+    for i, r in enumerate(rows):
+        x[i, r] = values[r]
+        x[i, 12] = 1
+
+    def primal(v):
+        return v @ v / 2 + (cost * np.maximum(0, 1 - y * (x @ v))).sum()
+
+    v = np.append(w, b)
+    best, u = primal(v), np.zeros(13)
+    for t in range(1, 20001):
+        u -= (u - x.T @ (cost * y * (y * (x @ u) < 1))) / t
+        best = min(best, primal(u))
+    assert primal(v) <= best + 1e-2
+
+
+def test_quality_odd_rows(spark):
+    labels = table(spark, [(1, 1, 0), (4, 0, 0), (4, 1, 1), (None, 1, 1), (77, 0, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    out = quality.keep_good(clashing(table(spark, odd_rows())), labels).collect()
+    assert all(r["quality_score"] is not None for r in out) and not {2, 3, 6} & {r["doc_id"] for r in out}
+    assert quality.keep_good(table(spark, []), labels).count() == 0
+    assert quality.keep_good(table(spark, odd_rows()), labels.limit(0)).count() == 5
+
+
+# ---- 5
+
+
+def test_sharding_balances_and_keeps_groups(spark, sf):
+    from seekspark.llm.common import documents
+
+    rows = sharding.shard_documents(documents(spark, sf.replace("sf0.001", "sf0.1")), shards=8).collect()
+    where: dict = {}
+    load = np.zeros((8, 3))
+    for r in rows:
+        assert where.setdefault(r["group_id"], r["shard"]) == r["shard"]
+        load[r["shard"]] += r["n_bytes"], r["n_tokens"], 1
+    assert (load / load.mean(0)).max() < 1.05
+    assert len(rows) == 10_000
+
+
+def brute_place(sizes, shards, slack):
+    total = sizes.sum(0)
+    left = [[1 + slack] * sizes.shape[1] for _ in range(shards)]
+    out = []
+    for v in sizes / np.where(total > 0, total, 1) * shards:
+        fits = [s for s in range(shards) if all(a >= b - 1e-12 for a, b in zip(left[s], v))]
+        at = max(fits, key=lambda s: (float(np.dot(left[s], v)), -s)) if fits else min(range(shards), key=lambda s: (max(b - a for a, b in zip(left[s], v)), s))
+        out.append(at)
+        left[at] = [a - b for a, b in zip(left[at], v)]
+    return out
+
+
+def test_placement_equals_brute_force():
+    g = np.random.default_rng(3)
+    for _ in range(20):
+        sizes = np.round(g.pareto(1.5, size=(80, 3)) * 100)
+        sizes = sizes[sharding.order(sizes)]
+        assert sharding.place(sizes, 5, 0.02).tolist() == brute_place(sizes, 5, 0.02)
+
+
+def test_sharding_odd_rows(spark):
+    rows = sharding.shard_documents(clashing(table(spark, odd_rows())), shards=3).collect()
+    assert len(rows) == len(odd_rows()) and all(r["shard"] in (0, 1, 2) for r in rows)
+    assert sharding.shard_documents(table(spark, [])).count() == 0
+
+
+# ---- 9
+
+
+def brute_pack(lengths, capacity, fill):
+    n = max(1, int(np.ceil(sum(lengths) / (capacity * fill)))) if lengths else 0
+    bins, out = [[0.0, capacity] for _ in range(n)], []
+    for k in lengths:
+        fits = [i for i, b in enumerate(bins) if b[1] >= k]
+        if not fits:
+            bins.append([0.0, capacity])
+            fits = [len(bins) - 1]
+        at = min(fits, key=lambda i: (bins[i][0], i))
+        bins[at][0] += packing.LINEAR * k + packing.QUADRATIC * k * k
+        bins[at][1] -= k
+        out.append(at)
+    return out
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=60))
+def test_packing_equals_brute_force(lengths):
+    lengths.sort(reverse=True)
+    assert packing.pack(np.array(lengths, np.int64), 64, 0.9).tolist() == brute_pack(lengths, 64, 0.9)
+
+
+def test_packing_holds_every_token_once(spark):
+    df = clashing(table(spark, odd_rows()))
+    rows = packing.pack_documents(df, capacity=100, pool_tokens=5000).collect()
+    load: dict = {}
+    for r in rows:
+        load.setdefault((r["pool"], r["sequence"]), []).append((r["slot"], r["n_tokens"]))
+    for own in load.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(own, own[1:])) and sum(n for _, n in own) <= 100
+    total = sum(len((t or "").split()) for _, t, *_ in odd_rows())
+    assert sum(r["n_tokens"] for r in rows) == total
+    again = packing.pack_documents(df.repartition(7), capacity=100, pool_tokens=5000).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
+    assert packing.pack_documents(table(spark, [])).count() == 0
+
+
+# ---- 6
+
+
+def test_flac_round_trips():
+    g = np.random.default_rng(1)
+    walk = np.cumsum(g.integers(-50, 50, (3000, 2)), 0)
+
+    def check(x, depth=16, **k):
+        data = flac.encode(x, depth=depth, **k)
+        rows = flac.decode(data)
+        assert all(b["status"] == "ok" and b["stream_ok"] for b in rows)
+        assert b"".join(b["pcm"] for b in rows) == flac.pcm_bytes(x, depth)
+        assert [b["first_sample"] for b in rows] == list(range(0, len(x), k.get("block", 4096)))
+        return data
+
+    for stereo, method, escape, variable in itertools.product((None, 8, 9, 10), (0, 1), (False, True), (False, True)):
+        check(walk, stereo=stereo, method=method, escape=escape, variable=variable, power=3, block=512)
+    check(walk, coefficients=([1900, -950, 20], 10), block=576)
+    check(walk[:, :1] * 8)
+    check(np.full((300, 1), 7))
+    check(g.integers(-(2**23), 2**23, (500, 3)), depth=24)
+    check(g.integers(-128, 128, (500, 1)), depth=8, coefficients=([1], 0), block=100)
+    data = bytearray(check(walk, block=512))
+    data[len(data) // 2] ^= 0x10
+    rows = flac.decode(bytes(data))
+    assert [b["status"] for b in rows].count("corrupt") == 1 and len(rows) == 6 and rows[0]["stream_ok"] is False
+    assert [b["status"] for b in flac.decode(bytes(data[:-40]))][-1] == "corrupt"
+
+
+def test_crc_against_the_bitwise_sum():
+    def slow(data):
+        c = 0
+        for b in data:
+            c ^= b << 8
+            for _ in range(8):
+                c = (c << 1 ^ 0x8005) & 0xFFFF if c & 0x8000 else c << 1 & 0xFFFF
+        return c
+
+    r = random.Random(1)
+    for n in (0, 1, 2, 100, 2047, 2048, 2049, 5000):
+        data = r.randbytes(n)
+        assert flac.crc16(data) == slow(data)
+
+
+def test_flac_odd_rows_and_seek(spark, tmp_path):
+    x = np.arange(100)[:, None] * 3
+    media = spark.createDataFrame([(1, bytearray(flac.encode(x, block=32))), (2, None), (3, bytearray(b"")), (4, bytearray(b"nonsense")), (1, bytearray(flac.encode(x, block=32)))], "media_id long, flac binary").withColumn("block", flac.F.lit("clash"))
+    rows = flac.decode_media(media).collect()
+    assert sorted((r["media_id"], r["status"]) for r in rows) == [(1, "ok")] * 8 + [(3, "not_flac"), (4, "not_flac")]
+    flac.write_blocks(flac.decode_media(media.limit(1)), str(tmp_path / "pcm"))
+    [hit] = flac.seek(spark.read.parquet(str(tmp_path / "pcm")), 1, 70).collect()
+    assert (hit["first_sample"], hit["skip"]) == (64, 6) and int.from_bytes(hit["pcm"][12:14], "little") == 210
+    assert flac.decode_media(media.limit(0)).count() == 0
+
+
+# ---- 8
+
+
+def test_html_held_out(spark, sf):
+    pages = [r["html"] for r in spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/pages.parquet").orderBy("page_id").collect()]
+    e = html.Extractor.trained(pages[:150])
+    right = 0
+    for p, (text, _, _) in zip(pages[150:], e.extract(pages[150:])):
+        page = html.Page(p)
+        right += text == page.text(page.labels() & ~page.dropped())
+    assert right >= 0.9 * len(pages[150:])
+
+
+def test_html_decoding_is_the_best_consistent_labelling():
+    r = random.Random(2)
+    for _ in range(150):
+        n = r.randint(1, 8)
+        parent = [-1] + [r.randrange(i) for i in range(1, n)]
+        p = np.array([r.random() for _ in range(n)])
+        got = html.decoded(parent, p)
+        value = lambda k: sum(np.log(p[i]) if k[i] else np.log(1 - p[i]) for i in range(1, n))
+        best = max(value((True, *k)) for k in itertools.product([False, True], repeat=n - 1) if all((True, *k)[parent[i]] or not (True, *k)[i] for i in range(1, n)))
+        assert all(got[parent[i]] or not got[i] for i in range(1, n)) and abs(value(got) - best) < 1e-9
+
+
+def test_html_odd_pages(spark):
+    rows = [(1, "u", "<p>one<p>two<script>x</script><ul><li>a<li>b</ul>"), (2, None, None), (3, "u", ""), (4, "u", "<div class=x><b>open &amp; <br>never"), (5, "u", "no tags"), (1, "u", "<<>><!-- x --><table><tr><td>1<td>2</table>" + "<div>" * 3000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", flac.F.lit("clash"))
+    out = sorted(((r["page_id"], r["text"]) for r in html.extract_pages(df).collect()), key=str)
+    assert (2, None) in out and (3, "") in out and (1, "one\ntwo\na\nb") in out and (4, "open &\nnever") in out and (5, "no tags") in out
+    assert html.extract_pages(df.limit(0)).count() == 0
