@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +72,15 @@ def written(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataF
     return out
 
 
+def trim() -> None:
+    """Gives the memory that a Python worker has freed back to the system; workers stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def pieces(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges that cover all rows in order, each of about `most` bytes at most (a larger row is a range of its own)."""
     at = total = 0

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, new_path, spare_name
+from .common import documents, new_path, spare_name, trim
 
 #: Production parameters: batches of a corpus, and runs of a level that are compacted.
 BATCHES, FANOUT = 4, 2
@@ -117,7 +117,9 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -
             stay = [x for i, x in enumerate(lines) if i in kept or not x.strip(" ")]
             return "\n".join(stay) if kept or len(stay) == len(lines) else None
 
-        return pd.Series([one(*x) for x in zip(text, kept, nth)], dtype=object)
+        out = pd.Series([one(*x) for x in zip(text, kept, nth)], dtype=object)
+        trim()
+        return out
 
     new = names["new"]
     out = out.withColumn(new, rebuild("text", names["kept"], names["nth"])).filter(F.col("text").isNull() | F.col(new).isNotNull())

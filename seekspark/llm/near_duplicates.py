@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import grams as G
-from .common import documents, drop_path, new_path, only, pieces, written
+from .common import documents, drop_path, only, pieces, trim, written
 
 #: Production parameters.
 N, THRESHOLD, RECALL = 3, 0.6, 0.99
@@ -71,6 +71,8 @@ def _batches(batch: pa.RecordBatch, n: int) -> Iterator[tuple[pa.RecordBatch, li
         kept = [i for i, s in enumerate(sets) if len(s)]
         if kept:
             yield part.take(pa.array(kept)), [texts[i] for i in kept], [sets[i] for i in kept]
+    del column
+    trim()
 
 
 def signatures(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -231,6 +233,7 @@ def node_pairs(docs: DataFrame, signed: DataFrame, n: int = N, threshold: float
                 a, b = names[a], names[b]
                 ok = a != b
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok]), pa.array(similarity[ok])], ["doc_a", "doc_b", "similarity"])
+        trim()
 
     work = work.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "block", "node")
     return work.mapInArrow(verify, "doc_a long, doc_b long, similarity double")

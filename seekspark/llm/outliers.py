@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, spare_name, written
+from .common import documents, spare_name, trim, written
 
 #: Production parameters.
 QUANTILE, SUBSET, MIN_ROWS, PRIOR = 0.999, 0.75, 60, 400
@@ -97,7 +97,9 @@ def count_text(text: str | None) -> tuple | None:
 
 @F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in _COUNTS]))
 def counts(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([count_text(t) or (None,) * len(_COUNTS) for t in text], columns=_COUNTS, dtype=float)
+    out = pd.DataFrame([count_text(t) or (None,) * len(_COUNTS) for t in text], columns=_COUNTS, dtype=float)
+    trim()
+    return out
 
 
 def vector(c: Column, medians: Column) -> list[Column]:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, pieces, spare_name
+from .common import documents, pieces, spare_name, trim
 
 KINDS = ["EMAIL", "PHONE", "IP", "CARD", "ID", "KEY", "SECRET"]
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
@@ -418,6 +418,7 @@ def find_spans(model: Tagger):
             out: list = []
             for low, high in pieces([len(t or "") for t in texts], _TEXT_CHARS):
                 out += own.spans([t or "" for t in texts[low:high]])
+            trim()
             yield pa.array([None if t is None else [{"start": s, "end": e, "kind": k} for s, e, k in own] for t, own in zip(texts, out)], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])))
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

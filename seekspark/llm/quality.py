@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import grams as G
-from .common import documents, only, pieces
+from .common import documents, only, pieces, trim
 
 #: Production parameters.
 BITS, PREFIX, MAX_ROWS, MIN_DF, SMOOTHING, COST, EPOCHS, SEED = 20, 4, 12000, 5, 1.0, 0.01, 20, 1
@@ -165,6 +165,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             found: list = []
             for low, high in pieces([len(t) for t in texts], _TEXT_CHARS):
                 found += own.scores(texts[low:high])
+            trim()
             yield pa.array([{"quality": None, "toxicity": None} if s is None else {"quality": s[0], "toxicity": s[1]} for s in found], pa.struct([("quality", pa.float64()), ("toxicity", pa.float64())]))
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
