@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, only, pieces
+from .common import documents, lean, only, pieces
 
 #: Default vocabulary; TOKENIZERS is the folder with the public files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -218,6 +218,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     One pass and one worker for each task, in parts of bounded size: texts go to Python once and don't come back.
     """
+    lean(docs.sparkSession)
     get = _remembered(Vocabulary.load(path or f"{TOKENIZERS}/{VOCABULARY}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -72,6 +72,17 @@ def written(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataF
     return out
 
 
+#: Rows that Spark sends to a Python worker at once; its default of 10,000 is meant for numbers, not for texts.
+BATCH_ROWS = 2000
+
+
+def lean(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS, unless they are smaller already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def trim() -> None:
     """Gives the memory that a Python worker has freed back to the system; workers stay for later tasks."""
     pa.default_memory_pool().release_unused()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, new_path, spare_name, trim
+from .common import documents, lean, new_path, spare_name, trim
 
 #: Production parameters: batches of a corpus, and runs of a level that are compacted.
 BATCHES, FANOUT = 4, 2
@@ -81,6 +81,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """`docs` (with doc_id and text) after line deduplication, as the module's text says."""
     spark = docs.sparkSession
+    lean(spark)
     keyed = docs.select(F.col("doc_id").isNull().alias("k0"), F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("k1"), F.xxhash64("text").alias("th"), "text").filter("text IS NOT NULL")
     bounds = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [0.5], 1000).alias("q")).first()["q"] or []
     bounds = [None, *(bounds if batches > 1 else []), None]

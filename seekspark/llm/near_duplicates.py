@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import grams as G
-from .common import documents, drop_path, only, pieces, trim, written
+from .common import documents, drop_path, lean, only, pieces, trim, written
 
 #: Production parameters.
 N, THRESHOLD, RECALL = 3, 0.6, 0.99
@@ -241,6 +241,7 @@ def node_pairs(docs: DataFrame, signed: DataFrame, n: int = N, threshold: float
 
 def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(doc_a, doc_b, similarity), doc_a < doc_b, as the module's text says."""
+    lean(docs.sparkSession)
     docs = only(docs, ["doc_id", "text"])
     signed = written(signatures(docs, n, threshold, recall), "signatures")
     pairs = node_pairs(docs, signed, n, threshold, recall)

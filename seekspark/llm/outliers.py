@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, spare_name, trim, written
+from .common import documents, lean, spare_name, trim, written
 
 #: Production parameters.
 QUANTILE, SUBSET, MIN_ROWS, PRIOR = 0.999, 0.75, 60, 400
@@ -214,6 +214,7 @@ def estimate(vectors: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 def scored(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     """`docs` with a last column, the squared distance (null without statistics), named distance or, if that is taken, _distance."""
     spark = docs.sparkSession
+    lean(spark)
     lang, source = F.coalesce(F.col("lang").cast("string"), F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit(""))
     rows = written(docs.select(lang.alias("l"), source.alias("s"), counts("text").alias("k")).filter("k.words IS NOT NULL"), "counts")
     shares = rows.select("l", F.posexplode(F.array(*[F.coalesce(F.col(f"k.{a}") / F.nullif(F.col(f"k.{b}"), F.lit(0.0)), F.lit(0.0)) for a, b in _SHARES])).alias("i", "v"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, pieces, spare_name, trim
+from .common import documents, lean, pieces, spare_name, trim
 
 KINDS = ["EMAIL", "PHONE", "IP", "CARD", "ID", "KEY", "SECRET"]
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
@@ -428,6 +428,7 @@ def find_spans(model: Tagger):
 
 def redact(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
     """`docs` with each span in text replaced by its kind in brackets; a last column, pii_spans, has the spans in the old text."""
+    lean(docs.sparkSession)
     model = model or train(docs)
     spans = spare_name(docs, "pii_spans")
     out = docs.withColumn(spans, find_spans(model)("text"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import grams as G
-from .common import documents, only, pieces, trim
+from .common import documents, lean, only, pieces, trim
 
 #: Production parameters.
 BITS, PREFIX, MAX_ROWS, MIN_DF, SMOOTHING, COST, EPOCHS, SEED = 20, 4, 12000, 5, 1.0, 0.01, 20, 1
@@ -156,6 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang, source, n_chars, quality_score, toxicity_score) of each document."""
+    lean(docs.sparkSession)
     weights, bias = model.weights, model.bias
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
