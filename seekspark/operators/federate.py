@@ -24,14 +24,14 @@ def entities(hits: DataFrame, rounds: int = 20) -> DataFrame:
     """
     out = hits.withColumns({"u": uri_key("uri"), "entity": F.coalesce("identity", F.concat(F.lit("uri:"), uri_key("uri")))})
     for _ in range(rounds):
-        step = out
+        step = out.withColumn("before", F.col("entity"))
         for by in ("identity", "u"):
             label = F.min("entity").over(Window.partitionBy("query_id", by))
             step = step.withColumn("entity", F.when(F.col(by).isNotNull() & (F.col(by) != ""), label).otherwise(F.col("entity")))
-        changed = step.select("query_id", "entity").distinct().count()
-        if changed == out.select("query_id", "entity").distinct().count():
-            return step
-        out = step
+        done = step.filter("entity <> before").isEmpty()
+        out = step.drop("before")
+        if done:
+            break
     return out
 
 
