@@ -92,6 +92,19 @@ def trim() -> None:
         pass
 
 
+def least_hashes(df: DataFrame, column: str, n: int) -> DataFrame:
+    """The n rows of least hash of the column: a sample that doesn't depend on partitioning.
+
+    A top-n takes n rows of every partition to the driver, so rows that can't be among the n are dropped
+    before, by a bound on the hash that about 2 n rows pass.
+    """
+    total = df.count()
+    h = F.xxhash64(column)
+    if total > 4 * n:
+        df = df.filter(h < F.lit(int(-(2**63) + 2**64 * (2 * n / total))))
+    return df.orderBy(h, column).limit(n)
+
+
 def pieces(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges that cover all rows in order, each of about `most` bytes at most (a larger row is a range of its own)."""
     at = total = 0

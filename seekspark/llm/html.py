@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean, least_hashes, trim
+
 #: Production parameters. SAMPLE bounds the pages that train.
 SAMPLE, TREES, DEPTH, RATE, BINS, LEAST = 400, 40, 4, 0.2, 64, 20
 
@@ -298,12 +300,13 @@ class Extractor:
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> Extractor:
     """An extractor from at most `sample` pages, those of least hash."""
-    picked = pages.select("html", F.xxhash64("html").alias("h")).filter("html IS NOT NULL").orderBy("h").limit(sample).collect()
+    picked = least_hashes(pages.select("html").filter("html IS NOT NULL"), "html", sample).collect()
     return Extractor.trained([r["html"] for r in picked])
 
 
 def extract_pages(pages: DataFrame, extractor: Extractor | None = None) -> DataFrame:
     """(page_id, url, text, n_kept, n_elements) of each page."""
+    lean(pages.sparkSession)
     extractor = extractor or train(pages)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -312,6 +315,7 @@ def extract_pages(pages: DataFrame, extractor: Extractor | None = None) -> DataF
             found: list = []
             for low in range(0, len(pages), 500):
                 found += extractor.extract([p or "" for p in pages[low : low + 500]])
+            trim()
             kinds = [("text", pa.string()), ("n_kept", pa.int32()), ("n_elements", pa.int32())]
             yield pa.array([None if p is None else dict(zip(("text", "n_kept", "n_elements"), f)) for p, f in zip(pages, found)], pa.struct(kinds))
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, lean, pieces, spare_name, trim
+from .common import documents, lean, least_hashes, pieces, spare_name, trim
 
 KINDS = ["EMAIL", "PHONE", "IP", "CARD", "ID", "KEY", "SECRET"]
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
@@ -402,8 +402,8 @@ def reconciled(found: list[tuple[float, int, int, int]]) -> list[tuple[int, int,
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Tagger:
     """A tagger with lines of at most `sample` documents, those of least hash, as background."""
-    picked = docs.select("text", F.xxhash64("doc_id").alias("h")).filter("text IS NOT NULL").orderBy("h", F.xxhash64("text")).limit(sample).collect()
-    lines = [x[:2000] for r in picked for x in r["text"].split("\n")]
+    picked = least_hashes(docs.select("doc_id", "text").filter("text IS NOT NULL"), "doc_id", sample).collect()
+    lines = [x for text in sorted(r["text"] for r in picked) for x in text.split("\n")]
     return Tagger.trained(*examples(lines))
 
 

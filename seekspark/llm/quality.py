@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import grams as G
-from .common import documents, lean, only, pieces, trim
+from .common import documents, lean, least_hashes, only, pieces, trim
 
 #: Production parameters.
 BITS, PREFIX, MAX_ROWS, MIN_DF, SMOOTHING, COST, EPOCHS, SEED = 20, 4, 12000, 5, 1.0, 0.01, 20, 1
@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     spark = docs.sparkSession
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
     one = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("toxic").alias("toxic"))
-    picked = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).collect()
+    picked = least_hashes(one, "doc_id", max_rows).collect()
     table = F.broadcast(spark.createDataFrame([tuple(r) for r in picked], "doc_id long, quality int, toxic int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
