@@ -255,3 +255,21 @@ def test_nothing_else_imports_the_llm_subpackage():
             for f in files:
                 if f.endswith(".py"):
                     assert "seekspark.llm" not in (t := open(os.path.join(folder, f)).read()) and "from .llm" not in t and "..llm" not in t
+
+
+def test_synonyms_and_golden_sets(spark, tmp_path):
+    from seekspark.functions.expand import synonyms
+    from seekspark.operators import golden
+
+    q = spark.createDataFrame([(1, "fast car"), (2, "plain")], "query_id int, text string")
+    t = spark.createDataFrame([("car", ["auto", "Fast", "vehicle"]), ("fast", ["quick", "auto"])], "term string, synonyms array<string>")
+    assert {r["query_id"]: r["expanded"] for r in synonyms(q, t).collect()} == {1: "fast car quick auto vehicle", 2: "plain"}
+    assert {r["query_id"]: r["expanded"] for r in synonyms(q, t, 1).collect()}[1] == "fast car quick"
+    path = tmp_path / "golden.json"
+    path.write_text('{"entries": [{"query": "a", "relevant_ids": ["x", "y", "x"]}, {"query": "b", "relevant_ids": ["z"], "relevance": {"p": 2.0, "n": 0.0}}]}')
+    g = golden.load(spark, str(path))
+    want = [("a", "x", 1.0), ("a", "y", 1.0), ("b", "p", 2.0)]
+    assert sorted(tuple(r) for r in golden.gains(g).collect()) == want
+    golden.save(g, str(path))
+    assert sorted(tuple(r) for r in golden.gains(golden.load(spark, str(path))).collect()) == want
+    assert golden.compatible({"k": 3}, {"k": 5}) and golden.regressions({"metrics": {"recall": 0.5}}, {"metrics": {"recall": 0.8}}, {})
