@@ -22,7 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op1_bpe": bpe.query,
     "op2_line_dedup": line_dedup.ORACLE,
     "op6_flac_media": flac.ORACLE,
 }

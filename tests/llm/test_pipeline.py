@@ -1,7 +1,7 @@
 """The pipeline's stages against the operators' own decisions, and its odd cases."""
 
 import corpus_pipeline
-from seekspark.llm import packing
+from seekspark.llm import packing, pii
 from seekspark.llm.common import DOCUMENT_COLUMNS, documents, written
 
 from .test_operators import DOCS, odd_rows
@@ -26,7 +26,9 @@ def test_stages_hold_and_chain(spark, sf):
     assert {r[0]: r[1] for r in packed} == want
 
 
-def test_empty_and_odd_documents(spark, tmp_path):
+def test_empty_and_odd_documents(spark, tmp_path, monkeypatch):
+    small = pii.Tagger.trained(*pii.examples(["some plain words of a text"], 400), epochs=2)  # its training has its own tests
+    monkeypatch.setattr(pii, "train", lambda docs: small)
     for n, rows in enumerate(([], odd_rows())):
         spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/{n}/documents.parquet")
         out = corpus_pipeline.run(spark, f"{tmp_path}/{n}")
