@@ -8,10 +8,10 @@ CRF transitions and their Viterbi path decide.
 
 A whole text is covered by windows of WINDOW characters that overlap by OVERLAP. A window goes
 through Viterbi unless a bound on all other paths shows that the path of O alone is best, so the
-result is that of decoding every window. The spans of all windows of a text are then reconciled globally:
-of spans that overlap, the set of greatest total margin over O stays (weighted interval
-scheduling), so a span cut by a window's end yields to the whole one of its neighbour; spans whose
-margin is below MARGIN, all of a few characters, are dismissed.
+result is that of decoding every window. Parts of one span that neighbouring windows saw, cut by
+their ends, are joined first, whatever the span's length. The spans of all windows of a text are then
+reconciled globally: of spans that overlap, the set of greatest total margin over O stays (weighted
+interval scheduling); spans whose margin is below MARGIN, all of a few characters, are dismissed.
 
 Defined results: a null text stays null without spans; an empty one has none. n_chars is the
 length of the new text. Equal texts give equal spans, whatever the partitioning. All columns, extra ones
@@ -365,17 +365,68 @@ class Tagger:
             for k, (i, s, n) in enumerate(own):
                 x[k, :n] = coded[i][s : s + n]
             for k, start, e, before, after in self.crops(self.emissions(x, sizes), sizes):
-                places.append((own[k][0], own[k][1] + start))
+                places.append((own[k][0], own[k][1], own[k][1] + start))
                 crops.append((e, before, after))
-        found: list[list[tuple[float, int, int, int]]] = [[] for _ in texts]
-        for (i, s), (e, _, _), tags in zip(places, crops, self.decoded(crops)):
+        found: list[list[Piece]] = [[] for _ in texts]
+        for (i, window, s), (e, _, _), tags in zip(places, crops, self.decoded(crops)):
             for b in np.flatnonzero(tags % 2 == 1).tolist():
                 end = b + 1
                 while end < len(tags) and tags[end] == tags[b] + 1:
                     end += 1
-                margin = float((e[np.arange(b, end), tags[b:end]] - e[b:end, 0]).sum())
-                found[i].append((margin, s + b, s + end, int(tags[b]) // 2))
-        return [reconciled(f) for f in found]
+                found[i].append((window, s + b, s + end, int(tags[b]) // 2, e[np.arange(b, end), tags[b:end]] - e[b:end, 0]))
+        return [reconciled(joined(f, len(c))) for f, c in zip(found, coded)]
+
+
+#: Start of the window, start, end, kind, and the margin over O of each character.
+Piece = tuple[int, int, int, int, np.ndarray]
+
+
+def joined(found: list[Piece], length: int) -> list[tuple[float, int, int, int]]:
+    """(margin, start, end, kind) of the spans of a text of `length`, with the parts of one span in neighbouring windows made one.
+
+    Overlapping pieces of two neighbours are parts of one span if one of them is cut by its window's end
+    and they are of one kind, or the other window can't hold the cut one. A joined span reaches from the
+    first character of its parts to the last, has the kind of the greatest margin, and counts a
+    character that two windows saw once, by the greater margin.
+    """
+    by_window: dict[int, list[int]] = {}
+    for i, f in enumerate(found):
+        by_window.setdefault(f[0], []).append(i)
+    group = list(range(len(found)))
+
+    def root(i: int) -> int:
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for window in sorted(by_window):
+        after = window + WINDOW - OVERLAP
+        end = min(window + WINDOW, length)
+        for i in by_window[window]:
+            if found[i][2] <= after:
+                continue
+            for j in by_window.get(after, ()):
+                (_, s, e, kind, _), (_, t, u, other, _) = found[i], found[j]
+                if s < u and t < e:
+                    left, right = e == end < length, t == after
+                    if (left or right) and kind == other or left and s < after or right and u > end:
+                        group[root(j)] = root(i)
+    parts: dict[int, list[Piece]] = {}
+    for i, f in enumerate(found):
+        parts.setdefault(root(i), []).append(f)
+    out = []
+    for own in parts.values():
+        if len(own) == 1:
+            _, s, e, kind, gains = own[0]
+            out.append((float(gains.sum()), s, e, kind))
+            continue
+        start, end = min(f[1] for f in own), max(f[2] for f in own)
+        best, kinds = np.full(end - start, -np.inf), np.zeros(len(KINDS))
+        for _, s, e, kind, gains in own:
+            best[s - start : e - start] = np.maximum(best[s - start : e - start], gains)
+            kinds[kind] += gains.sum()
+        out.append((float(best.sum()), start, end, int(kinds.argmax())))
+    return out
 
 
 def reconciled(found: list[tuple[float, int, int, int]]) -> list[tuple[int, int, str]]:

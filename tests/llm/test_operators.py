@@ -322,6 +322,58 @@ def test_reconciled_is_the_best_set():
         assert abs(sum(margin[x] for x in pii.reconciled(spans)) - best) < 1e-9
 
 
+class DigitTagger(pii.Tagger):
+    """Tags runs of digits by `kind` of each window, whatever the window holds of them."""
+
+    kind = staticmethod(lambda window: pii.KINDS.index("KEY"))
+
+    def emissions(self, x, sizes):
+        e = np.zeros((pii.TAGS, x.shape[1], len(x)), np.float32)
+        for w, row in enumerate(x == 16):
+            tag = 1 + 2 * self.kind(w)
+            e[0, ~row, w], e[tag, row, w], e[tag + 1, row, w] = 3, 1, 2
+        return e
+
+
+def digit_tagger():
+    p = {k: np.zeros_like(v) for k, v in pii.Tagger.new().p.items()}
+    for b in range(2, pii.TAGS, 2):
+        p["T"][[a for a in range(pii.TAGS) if a not in (b - 1, b)], b] = -1e4
+    return DigitTagger(p)
+
+
+def at_every_offset(size):
+    step = pii.WINDOW - pii.OVERLAP
+    return [("x" * k + "1" * size + "y" * 700, k, k + size) for k in range(step, 2 * step, 1 if size in (97, 600) else 13)]
+
+
+@pytest.mark.parametrize("size", [20, 95, 96, 97, 98, 200, 415, 416, 417, 511, 512, 513, 600, 1344, 2000])
+def test_long_spans_are_whole_at_every_offset_to_the_windows(size):
+    cases = at_every_offset(size)
+    for (_, s, e), got in zip(cases, digit_tagger().spans([t for t, _, _ in cases])):
+        assert got == [(s, e, "KEY")], (size, s % (pii.WINDOW - pii.OVERLAP))
+    for text, s, e in (("1" * size, 0, size), ("1" * size + "x" * 900, 0, size), ("x" * 900 + "1" * size, 900, 900 + size)):
+        assert digit_tagger().spans([text]) == [[(s, e, "KEY")]]
+
+
+@pytest.mark.parametrize("size", [97, 600, 1344, 2000])
+def test_long_spans_are_covered_though_windows_differ_in_kind(size):
+    tagger = digit_tagger()
+    tagger.kind = lambda window: window % len(pii.KINDS)
+    for text, s, e in at_every_offset(size)[::7]:
+        assert [x[:2] for x in tagger.spans([text])[0]] == [(s, e)]
+
+
+def test_pieces_of_different_spans_stay_apart():
+    ones = lambda n: np.full(n, 2.0)
+    # an e-mail cut by the first window's end, next to a number that both windows hold
+    found = [(0, 430, 440, 1, ones(10)), (0, 450, 512, 0, ones(62)), (416, 430, 440, 1, ones(10)), (416, 450, 530, 0, ones(80))]
+    assert pii.reconciled(pii.joined(found, 900)) == [(430, 440, "PHONE"), (450, 530, "EMAIL")]
+    # a kind that the cut window mistook yields to the whole span of its neighbour
+    found = [(0, 450, 512, 1, ones(62)), (416, 452, 530, 0, ones(78))]
+    assert pii.reconciled(pii.joined(found, 900)) == [(452, 530, "EMAIL")]
+
+
 def test_redaction_odd_rows(spark, tagger):
     secret = "write to jo.doe42@mail.example.com or password=0123456789abcdef01 now"
     long = "plain words of a text " * 400 + secret + " and more plain words" * 300
