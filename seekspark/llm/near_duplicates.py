@@ -12,8 +12,10 @@
    task's work, and all pairs in it are verified on the full n-gram sets (blocked 0/1 matrix
    products). No bucket, partner list or component is capped: a large one is only more blocks.
 
-The result has one row for each verified pair of nodes, named by the smallest doc_id of each, and
-one row of similarity 1.0 from that doc_id to each further copy. `expand_copies` gives the pairs of
+`document_pairs`, the registered query, has one row for each pair of documents: its size is quadratic
+in a group's, as the number of pairs is. `similar_pairs`, for what needs groups only, has one row for
+each verified pair of nodes, named by the smallest doc_id of each, and one row of similarity 1.0 from
+that doc_id to each further copy; where each doc_id has one text, `expand_copies` gives the pairs of
 all documents from it.
 
 Defined results: a null or empty text (or one of white space only) has no n-grams and no partners;
@@ -201,7 +203,7 @@ def links(nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
 
 
 def node_pairs(docs: DataFrame, signed: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """Verified pairs (doc_a, doc_b, similarity) of different nodes, by the smallest doc_id of each; `signed` are the written signatures."""
+    """Verified pairs (node_a, node_b, doc_a, doc_b, similarity) of different nodes, with the smallest doc_id of each; `signed` are the written signatures."""
     nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("grams").alias("grams"), F.first("bands").alias("bands"), F.first("prints").alias("prints")), "nodes")
     found = components(links(nodes, threshold, recall))
     window = "OVER (PARTITION BY root ORDER BY node)"
@@ -229,27 +231,42 @@ def node_pairs(docs: DataFrame, signed: DataFrame, n: int = N, threshold: float
             first = sum(x[0] == i for x in own) if i != j else 0
             if len(own) > 1 and first < len(own):
                 a, b, similarity = _pairs(sets, first, threshold)
-                names = np.array([x[2] for x in own], np.int64)
-                a, b = names[a], names[b]
-                ok = a != b
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok]), pa.array(similarity[ok])], ["doc_a", "doc_b", "similarity"])
+                names, nodes = np.array([x[2] for x in own], np.int64), pa.array([x[1] for x in own], pa.binary())
+                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(a)), nodes.take(pa.array(b)), pa.array(names[a]), pa.array(names[b]), pa.array(similarity)], ["node_a", "node_b", "doc_a", "doc_b", "similarity"])
         trim()
 
     work = work.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "block", "node")
-    return work.mapInArrow(verify, "doc_a long, doc_b long, similarity double")
+    return work.mapInArrow(verify, "node_a binary, node_b binary, doc_a long, doc_b long, similarity double")
 
 
 def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_a, doc_b, similarity), doc_a < doc_b, as the module's text says."""
+    """(doc_a, doc_b, similarity), doc_a < doc_b: the pairs of nodes and the stars of copies, as the module's text says."""
     lean(docs.sparkSession)
     docs = only(docs, ["doc_id", "text"])
     signed = written(signatures(docs, n, threshold, recall), "signatures")
-    pairs = node_pairs(docs, signed, n, threshold, recall)
+    pairs = node_pairs(docs, signed, n, threshold, recall).filter("doc_a <> doc_b").select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "similarity")
     names = signed.groupBy("node").agg(F.min("doc_id").alias("doc_a"))
     copies = signed.select("node", "doc_id").distinct().join(names, "node").filter("doc_id <> doc_a").select("doc_a", F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("similarity"))
     return pairs.union(copies)
 
 
+def document_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(doc_a, doc_b, similarity), doc_a < doc_b, for all pairs of documents, exact copies and copies of near ones included.
+
+    The joins are by node, so a doc_id with several texts meets the partners of each.
+    """
+    lean(docs.sparkSession)
+    docs = only(docs, ["doc_id", "text"])
+    signed = written(signatures(docs, n, threshold, recall), "signatures")
+    members = written(signed.select("node", "doc_id").distinct(), "members")
+    left, right = members.select(F.col("node").alias("node_a"), F.col("doc_id").alias("x")), members.select(F.col("node").alias("node_b"), F.col("doc_id").alias("y"))
+    near = node_pairs(docs, signed, n, threshold, recall).select("node_a", "node_b", "similarity").join(left, "node_a").join(right, "node_b").filter("x <> y")
+    near = near.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "similarity")
+    several = members.join(members.groupBy("node").count().filter("count > 1").select("node"), "node", "left_semi")
+    exact = several.select("node", F.col("doc_id").alias("doc_a")).join(several.select("node", F.col("doc_id").alias("doc_b")), "node").filter("doc_a < doc_b")
+    return near.union(exact.select("doc_a", "doc_b", F.lit(1.0).alias("similarity")))
+
+
 def expand_copies(pairs: DataFrame) -> DataFrame:
     """The pairs of all documents: copies (similarity 1.0) stand in for the doc_id that names them."""
     same = pairs.filter("similarity = 1.0").select("doc_a", "doc_b")
@@ -276,4 +293,4 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_pairs(documents(spark, sf_dir))
+    return document_pairs(documents(spark, sf_dir))

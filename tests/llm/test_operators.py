@@ -174,6 +174,30 @@ def test_jaccard_join_recall_and_precision(spark, monkeypatch, block):
     assert len(got) >= 0.95 * len(want)
 
 
+def test_jaccard_query_has_the_pairs_of_all_documents(spark, tmp_path):
+    rows = near_rows(3)
+    rows += [(len(rows) + k, t) for k, (_, t) in enumerate(rows[:40] + rows[:20])]  # further copies, some of texts with near copies
+    rows += [(0, rows[30][1]), (1, rows[35][1])]  # doc_ids with two texts
+    spark.createDataFrame([doc(*x) for x in rows], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_pairs(rows, near_duplicates.N, near_duplicates.THRESHOLD)
+    got = near_duplicates.query(spark, str(tmp_path)).collect()
+    best = {}
+    for x in got:
+        assert x["doc_a"] < x["doc_b"]
+        best[x["doc_a"], x["doc_b"]] = max(x["similarity"], best.get((x["doc_a"], x["doc_b"]), 0))
+    assert set(best) <= set(want) and all(abs(want[p] - s) < 1e-12 for p, s in best.items())
+    assert {p for p, s in want.items() if s == 1} <= set(best)
+    assert len(best) >= 0.95 * len(want)
+
+
+def test_jaccard_near_texts_of_one_doc_id_name_their_other_documents(spark):
+    words = [f"v{i}" for i in range(60)]
+    x, y = " ".join(words), " ".join([*words[:-1], "other"])
+    pairs = near_duplicates.document_pairs(table(spark, [doc(1, x), doc(1, y), doc(2, x), doc(3, y)])).collect()
+    similar = 57 / 59
+    assert sorted((r["doc_a"], r["doc_b"], round(r["similarity"], 9)) for r in pairs) == sorted([(1, 2, 1.0), (1, 3, 1.0), (1, 2, round(similar, 9)), (1, 3, round(similar, 9)), (2, 3, round(similar, 9))])
+
+
 def test_jaccard_keeps_one_of_each_group(spark):
     rows = near_rows(5)
     want = brute_pairs(rows, near_duplicates.N, near_duplicates.THRESHOLD)
