@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -611,9 +612,9 @@ def event_windows(spark, d):
 
 @query("SELECT user_id::VARCHAR AS storage_key, max(event_id) AS last_event FROM events GROUP BY 1", base=False)
 def ingest_stream(spark, d):
-    """The events as a stream of micro-batches, upserted by user."""
+    """The events as a stream of micro-batches; the stored row of a user has the greatest event of all batches, in whatever order they come."""
     base = tempfile.mkdtemp(prefix="seekspark-stream-") if not spark.conf.get("spark.checkpoint.dir", None) else None
-    root = f"file://{base}" if base else spark.conf.get("spark.checkpoint.dir").rstrip("/") + "/seekspark-stream-" + spark.sparkContext.applicationId
+    root = f"file://{base}" if base else spark.conf.get("spark.checkpoint.dir").rstrip("/") + "/seekspark-stream-" + uuid.uuid4().hex  # one run's own: the rows of another would stay
     tables = store.Tables(spark, root + "/tables")
     schema = corpus.read(spark, d, "events").schema
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
@@ -623,7 +624,9 @@ def ingest_stream(spark, d):
 
     def write(batch: DataFrame, _: int) -> None:
         rows = batch.groupBy(F.col("user_id").cast("string").alias("storage_key")).agg(F.max("event_id").alias("last_event"))
-        tables.upsert("last", rows)
+        if tables.exists("last"):
+            rows = tables.read("last").unionByName(rows).groupBy("storage_key").agg(F.max("last_event").alias("last_event"))
+        tables.replace(last=rows)
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", root + "/checkpoint").trigger(availableNow=True).start().awaitTermination()
     out = tables.read("last")

@@ -207,6 +207,21 @@ def test_tables_stream_and_reindex(spark, tmp_path):
         r.flip("other")
 
 
+def test_ingest_stream_keeps_the_greatest_event_over_batches(spark, tmp_path):
+    folder, want = tmp_path / "events.parquet", {}
+    folder.mkdir()
+    for n in range(10):  # more files than two triggers take, with ids that fall from file to file, then a late high one
+        ids = range(900 - 100 * n, 910 - 100 * n) if n != 8 else range(2000, 2003)
+        rows = [(e, None if e % 7 == 0 else e % 5) for e in ids]
+        spark.createDataFrame(rows, "event_id long, user_id long").coalesce(1).write.parquet(str(tmp_path / f"part{n}"))
+        (part,) = (tmp_path / f"part{n}").glob("*.parquet")
+        os.utime(part.rename(folder / f"{n}.parquet"), (1_700_000_000 + 60 * n,) * 2)
+        for e, u in rows:
+            key = None if u is None else str(u)
+            want[key] = max(e, want.get(key, e))
+    assert sorted(map(tuple, catalog.QUERIES["ingest_stream"](spark, str(tmp_path)).collect()), key=str) == sorted(want.items(), key=str)
+
+
 def test_discovery(spark, tmp_path):
     for p in ("a.md", "b/c.txt", "b/d.py", ".hidden/e.md", "b/skip/f.md"):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
