@@ -222,6 +222,22 @@ def test_ingest_stream_keeps_the_greatest_event_over_batches(spark, tmp_path):
     assert sorted(map(tuple, catalog.QUERIES["ingest_stream"](spark, str(tmp_path)).collect()), key=str) == sorted(want.items(), key=str)
 
 
+def test_search_of_misspelt_terms_is_fuzzy(spark):
+    schema = "storage_key string, title string, body string, uri string, keywords string"
+    r = spark.createDataFrame([(f"k{i}", f"note {i}", b, "", "") for i, b in enumerate(["distributed database systems", "distributed ledger", "garden flowers", "distributed database systems"])], schema)
+    asked = {1: "distributde databse", 2: '"distributde databse"', 3: "distributed databse", 4: "databse", 5: "distributde databse.py", 6: "gardne flowres", 7: "garden flowers"}
+    q = spark.createDataFrame(list(asked.items()), "query_id long, text string")
+    got = {}
+    for x in keyword.search(keyword.build(r), q, 5).collect():
+        got.setdefault(x["query_id"], set()).add((x["storage_key"], x["stage"]))
+    both = {("k0", "fuzzy"), ("k3", "fuzzy")}
+    assert got == {1: both, 3: {("k0", "or"), ("k1", "or"), ("k3", "or")}, 6: {("k2", "fuzzy")}, 7: {("k2", "and")}}
+    own = keyword.search(keyword.build(r), q.filter("query_id = 1"), 1, r.filter("storage_key = 'k3'"))
+    assert [(x["storage_key"], x["rank"]) for x in own.collect()] == [("k3", 1)]
+    lanes = search.engine(r.withColumn("status", F.lit("active"))).lanes(q.filter("query_id = 1"), 10)
+    assert {(x["lane"], x["storage_key"]) for x in lanes.collect()} == {("keyword", "k0"), ("keyword", "k3")}
+
+
 def test_discovery(spark, tmp_path):
     for p in ("a.md", "b/c.txt", "b/d.py", ".hidden/e.md", "b/skip/f.md"):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
