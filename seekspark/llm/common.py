@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -39,11 +40,13 @@ def spare_name(df: DataFrame, wanted: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; a temporary one where that is unset, if the session is a local one, as in tests."""
     global _local_dir
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _local_dir is None:
         _local_dir = "file://" + tempfile.mkdtemp(prefix="seekspark-")
     return _local_dir
@@ -92,17 +95,22 @@ def trim() -> None:
         pass
 
 
-def least_hashes(df: DataFrame, column: str, n: int) -> DataFrame:
-    """The n rows of least hash of the column: a sample that doesn't depend on partitioning.
+def least_hashes(df: DataFrame, n: int) -> DataFrame:
+    """The n distinct rows of least hash of all columns, in that order: a sample that doesn't depend on partitioning.
 
-    A top-n takes n rows of every partition to the driver, so rows that can't be among the n are dropped
-    before, by a bound on the hash that about 2 n rows pass.
+    All of them where there are fewer. Nulls are values like others, and repeated rows count once. Only hashes
+    are compared for the n-th least one; a first bound on them, which about 2 n rows pass, spares most of the shuffle,
+    and where repeated rows leave fewer than n below it all hashes take part.
     """
-    total = df.count()
-    h = F.xxhash64(column)
-    if total > 4 * n:
-        df = df.filter(h < F.lit(int(-(2**63) + 2**64 * (2 * n / total))))
-    return df.orderBy(h, column).limit(n)
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    nulls = [c.isNull() for c in columns]  # the hash skips nulls
+    h = F.xxhash64(*columns, *nulls)
+    hashes, total = df.select(h.alias("h")), df.count()
+    least = lambda found: [r["h"] for r in found.distinct().orderBy("h").limit(n).collect()]
+    found = least(hashes.filter(F.col("h") < int(-(2**63) + 2**64 * (2 * n / total)))) if total > 4 * n else []
+    if len(found) < n:
+        found = least(hashes)
+    return df.filter(h <= F.lit(found[-1] if found else 0)).dropDuplicates().orderBy(h, *columns).limit(n)
 
 
 def pieces(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:

@@ -29,10 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, least_hashes, trim
+from .common import lean, least_hashes, pieces, trim
 
 #: Production parameters. SAMPLE bounds the pages that train.
 SAMPLE, TREES, DEPTH, RATE, BINS, LEAST = 400, 40, 4, 0.2, 64, 20
+_PAGE_CHARS = 2 << 20
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|$)""", re.S)
 _ATTRIBUTE = re.compile(r"""([\w:-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
@@ -299,8 +300,8 @@ class Extractor:
 
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> Extractor:
-    """An extractor from at most `sample` pages, those of least hash."""
-    picked = least_hashes(pages.select("html").filter("html IS NOT NULL"), "html", sample).collect()
+    """An extractor from at most `sample` different pages, those of least hash."""
+    picked = least_hashes(pages.select("html").filter("html IS NOT NULL"), sample).collect()
     return Extractor.trained([r["html"] for r in picked])
 
 
@@ -313,8 +314,8 @@ def extract_pages(pages: DataFrame, extractor: Extractor | None = None) -> DataF
         for column in batches:
             pages = column.to_pylist()
             found: list = []
-            for low in range(0, len(pages), 500):
-                found += extractor.extract([p or "" for p in pages[low : low + 500]])
+            for low, high in pieces([len(p or "") for p in pages], _PAGE_CHARS):
+                found += extractor.extract([p or "" for p in pages[low:high]])
             trim()
             kinds = [("text", pa.string()), ("n_kept", pa.int32()), ("n_elements", pa.int32())]
             yield pa.array([None if p is None else dict(zip(("text", "n_kept", "n_elements"), f)) for p, f in zip(pages, found)], pa.struct(kinds))

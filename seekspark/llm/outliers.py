@@ -7,8 +7,8 @@ whose Mahalanobis distance to them is beyond a chi-squared quantile are rejected
 Statistics, all independent of a text's length but for chance: share of symbols; square roots of
 the shares of punctuation, of upper case among letters, and of words for each character; share of
 characters in lines that repeat a line above; Herdan's measure log(distinct words) / log(words).
-A share is shrunk towards its language's median share by a weight of PRIOR characters, so that a
-short text isn't extreme by chance. FLOORS are the least standard deviations that matter; their
+A share is shrunk towards the median share of the language (of all documents, where those judge) by
+a weight of PRIOR characters, so that a short text isn't extreme by chance. FLOORS are the least standard deviations that matter; their
 squares are added to each covariance, which so is never singular.
 
 The estimate is deterministic and distributed. Two starts (medians with scaled absolute deviations;
@@ -16,25 +16,34 @@ spatial signs) are each improved by concentration steps until the determinants s
 is one aggregation: distances fall into bins of about 3 %, with count, sums and sums of products
 in each, and the bins that hold the nearest `SUBSET` of the rows give the next centre and
 covariance. The start with the smaller determinant is reweighted once (97.5 % quantile).
-All rows take part; nothing is sampled, and only sums for each group reach the driver.
+All rows take part; nothing is sampled. Estimates are tables, a row for each group, whose matrices
+are inverted in batches; the driver only asks whether any group is still improving, so sources may be
+as many as hosts are. They meet the rows in a broadcast up to BROADCAST_BYTES, in a shuffle join beyond.
 
 A group of fewer than MIN_ROWS rows has too few for six dimensions: it is judged by the estimate of
-its language, and where that has too few by that of all documents.
+its language, and where that has too few by that of all documents, with shares shrunk to the
+medians of the same. Where even those are too few, none is judged and all stay.
+
+Texts are counted twice, for the estimate and for the decision: that costs less than to write the
+corpus with its counts or to shuffle it to them.
 
 Defined results: a null text, or one without words, has no statistics and stays; null and empty
-lang or source are one group; repeated rows count as often as they occur; all columns, extra ones
-included, are passed through. An empty table gives an empty table.
+lang or source are one group; repeated rows count as often as they occur; texts are counted whole, however
+long; distances at the cut, and equal ones, are decided alike; all columns, extra ones included, are
+passed through. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import documents, lean, spare_name, trim, written
 
@@ -103,22 +112,23 @@ def counts(text: pd.Series) -> pd.DataFrame:
 
 
 def vector(c: Column, medians: Column) -> list[Column]:
-    """The statistics from a struct of counts and the language's array of median shares."""
+    """The statistics from a struct of counts and the array of median shares that they are shrunk to."""
     shares = [(c[k] + PRIOR * medians[i]) / (c[of] + PRIOR) for i, (k, of) in enumerate(_SHARES)]
     return [shares[0], F.sqrt(shares[1]), F.sqrt(shares[2]), F.sqrt(shares[3]), shares[4], F.log(c["distinct"] + 20) / F.log(c["words"] + 20)]
 
 
-def _medians(values: DataFrame, keys: list[str], width: float) -> DataFrame:
-    """The lower median of `v` for each key, by counts in bins of `width`: the same in any partitioning."""
-    binned = values.filter("v IS NOT NULL").groupBy(*keys, F.floor(F.col("v") / width).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
-    by = ", ".join(keys)
-    binned = binned.selectExpr(*keys, "bin", f"sum(c) OVER (PARTITION BY {by} ORDER BY bin) AS upto", f"sum(c) OVER (PARTITION BY {by}) AS n")
-    return binned.filter("2 * upto >= n").groupBy(*keys).agg((F.min("bin") * width).alias("m"))
+def _medians(values: list[Column], rows: DataFrame, key: str, width: float) -> DataFrame:
+    """(key, m): the lower medians of the values, by counts in bins of `width`: the same in any partitioning."""
+    long = rows.select(key, F.posexplode(F.array(*values)).alias("i", "v")).filter("v IS NOT NULL")
+    binned = long.groupBy(key, "i", F.floor(F.col("v") / width).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    binned = binned.selectExpr(key, "i", "bin", f"sum(c) OVER (PARTITION BY {key}, i ORDER BY bin) AS upto", f"sum(c) OVER (PARTITION BY {key}, i) AS n")
+    middle = binned.filter("2 * upto >= n").groupBy(key, "i").agg((F.min("bin") * width).alias("m"))
+    return middle.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("m"))
 
 
-def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    df = spark.createDataFrame(rows, schema)
-    return F.broadcast(df) if len(rows) * _GROUP_BYTES <= BROADCAST_BYTES else df
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """`df` of so many rows for a join: broadcast up to BROADCAST_BYTES."""
+    return F.broadcast(df) if rows * _GROUP_BYTES <= BROADCAST_BYTES else df
 
 
 def _sums(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -126,11 +136,12 @@ def _sums(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(x[i]).alias(f"s{i}") for i in range(D)], *[F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i in range(D) for j in range(i, D)])
 
 
-def _moments(row: dict) -> tuple[int, np.ndarray, np.ndarray]:
-    n = row["n"]
-    mean = np.array([row[f"s{i}"] for i in range(D)]) / n
-    cov = np.array([[row[f"p{min(i, j)}_{max(i, j)}"] / n for j in range(D)] for i in range(D)]) - np.outer(mean, mean)
-    return n, mean, cov
+def _moments(sums: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Means (rows, D) and covariances (rows, D, D)."""
+    n = sums["n"].to_numpy(float)
+    mean = sums[[f"s{i}" for i in range(D)]].to_numpy(float) / n[:, None]
+    cov = np.stack([np.stack([sums[f"p{min(i, j)}_{max(i, j)}"].to_numpy(float) / n for j in range(D)], 1) for i in range(D)], 1)
+    return mean, cov - mean[:, :, None] * mean[:, None, :]
 
 
 def distance(x: list[Column], centre: Column, precision: Column) -> Column:
@@ -143,100 +154,110 @@ def distance(x: list[Column], centre: Column, precision: Column) -> Column:
     return out
 
 
-def _packed(cov: np.ndarray) -> list[float]:
-    p = np.linalg.inv(cov)
-    return [float(p[i, j] * (1 if i == j else 2)) for i in range(D) for j in range(i, D)]
-
-
-def estimate(vectors: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Centre and covariance of each `unit` of (unit, x0, ..., x5), a written table."""
-    spark, ridge = vectors.sparkSession, np.diag(FLOORS**2)
-    long = vectors.select("unit", F.posexplode(F.array(*[F.col(f"x{i}") / F.lit(float(FLOORS[i])) for i in range(D)])).alias("i", "v"))
-    middle: dict[int, np.ndarray] = {}
-    for r in _medians(long, ["unit", "i"], 0.125).collect():
-        middle.setdefault(r["unit"], np.zeros(D))[r["i"]] = r["m"] * FLOORS[r["i"]]
-    if not middle:
-        return {}
-    centres = _table(spark, [(u, m.tolist()) for u, m in middle.items()], "unit long, m array<double>")
-    away = vectors.join(centres, "unit")
-    long = away.select("unit", F.posexplode(F.array(*[F.abs(F.col(f"x{i}") - F.col("m")[i]) / F.lit(float(FLOORS[i])) for i in range(D)])).alias("i", "v"))
-    scale = {u: np.zeros(D) for u in middle}
-    for r in _medians(long, ["unit", "i"], 0.125).collect():
-        scale[r["unit"]][r["i"]] = 1.4826 * r["m"] * FLOORS[r["i"]]
-    first = {u: np.diag(scale[u] ** 2) + ridge for u in middle}
-    signs = vectors.join(_table(spark, [(u, middle[u].tolist(), np.sqrt(np.diag(first[u])).tolist()) for u in middle], "unit long, m array<double>, d array<double>"), "unit")
-    z = [(F.col(f"x{i}") - F.col("m")[i]) / F.col("d")[i] for i in range(D)]
-    norm = F.sqrt(sum((a * a for a in z), F.lit(1e-12)))
-    now = {(u, 0): (middle[u], first[u]) for u in middle}
-    for r in _sums(signs.select("unit", *[(a / norm).alias(f"x{i}") for i, a in enumerate(z)]), ["unit"]).collect():
-        n, mean, cov = _moments(r.asDict())
-        d = np.sqrt(np.diag(first[r["unit"]]))
-        now[r["unit"], 1] = middle[r["unit"]], D * (cov + np.outer(mean, mean)) * np.outer(d, d) + ridge
+_UPPER = np.triu_indices(D)
+_TWICE = np.where(_UPPER[0] == _UPPER[1], 1.0, 2.0)
+#: An estimate: centre, covariance by rows, precision as `distance` wants it, logarithm of the determinant.
+_ESTIMATE = "start int, c array<double>, cov array<double>, p array<double>, det double"
+
 
-    def step(now: dict, share: float | None) -> dict:
+def _estimates(unit: pd.Series, start: np.ndarray, centre: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
+    p = np.linalg.inv(cov)[:, _UPPER[0], _UPPER[1]] * _TWICE
+    return pd.DataFrame({"unit": unit, "start": start.astype(np.int32), "c": list(centre), "cov": list(cov.reshape(-1, D * D)), "p": list(p), "det": np.linalg.slogdet(cov)[1]})
+
+
+def estimate(vectors: DataFrame) -> DataFrame:
+    """(unit, start, c, cov, p, det): the estimate of each `unit` of (unit, x0, ..., x5), a written table."""
+    ridge, x = np.diag(FLOORS**2), [F.col(f"x{i}") for i in range(D)]
+    schema = f"unit {vectors.schema['unit'].dataType.simpleString()}, {_ESTIMATE}"
+    middle = written(_medians([x[i] / float(FLOORS[i]) for i in range(D)], vectors, "unit", 0.125).select("unit", F.array(*[F.col("m")[i] * float(FLOORS[i]) for i in range(D)]).alias("centre")), "middle")
+    units = middle.count()
+    away = vectors.join(_small(middle, units), "unit")
+    spread = _medians([F.abs(x[i] - F.col("centre")[i]) / float(FLOORS[i]) for i in range(D)], away, "unit", 0.125)
+    d = [F.sqrt(F.pow(1.4826 * F.col("m")[i] * float(FLOORS[i]), F.lit(2)) + float(FLOORS[i] ** 2)) for i in range(D)]
+    first = written(spread.join(middle, "unit").select("unit", "centre", F.array(*d).alias("d")), "first")
+    signs = vectors.join(_small(first, units), "unit")
+    z = [(x[i] - F.col("centre")[i]) / F.col("d")[i] for i in range(D)]
+    norm = F.sqrt(sum((a * a for a in z), F.lit(1e-12)))
+    signs = _sums(signs.select("unit", *[(a / norm).alias(f"x{i}") for i, a in enumerate(z)]), ["unit"]).join(first, "unit")
+
+    def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            centre, d = (np.array(b[k].tolist(), float).reshape(len(b), D) for k in ("centre", "d"))
+            mean, cov = _moments(b)
+            diagonal = np.zeros((len(b), D, D))
+            diagonal[:, range(D), range(D)] = d**2
+            yield _estimates(b["unit"], np.zeros(len(b)), centre, diagonal)
+            yield _estimates(b["unit"], np.ones(len(b)), centre, D * (cov + mean[:, :, None] * mean[:, None, :]) * d[:, :, None] * d[:, None, :] + ridge)
+
+    def step(now: DataFrame, share: float | None) -> DataFrame:
         """The estimates from the nearest `share` of each unit's rows; from those within the 97.5 % quantile if None."""
-        table = _table(spark, [(u, s, c.tolist(), _packed(cov)) for (u, s), (c, cov) in now.items()], "unit long, start int, c array<double>, p array<double>")
-        x = [F.col(f"x{i}") for i in range(D)]
-        rows = vectors.join(table, "unit").withColumn("d2", distance(x, F.col("c"), F.col("p")))
+        rows = vectors.join(_small(now.select("unit", "start", "c", "p"), 2 * units), "unit").withColumn("d2", distance(x, F.col("c"), F.col("p")))
         if share is None:
-            share, sums = 0.975, _sums(rows.filter(F.col("d2") <= chi2_quantile(D, 0.975)), ["unit", "start"])
+            sums = _sums(rows.filter(F.col("d2") <= chi2_quantile(D, 0.975)), ["unit", "start"]).withColumn("held", F.lit(0.975))
         else:
             binned = _sums(rows.withColumn("bin", F.floor(F.log(F.col("d2") + 1e-9) * 32)), ["unit", "start", "bin"])
             before = "sum(n) OVER (PARTITION BY unit, start ORDER BY bin) - n"
             total = "sum(n) OVER (PARTITION BY unit, start)"
             near = binned.withColumns({"before": F.expr(before), "total": F.expr(total)}).filter(F.col("before") < F.ceil(F.col("total") * share))
             sums = near.groupBy("unit", "start").agg(*[F.sum(k).alias(k) for k in binned.columns if k not in ("unit", "start", "bin")], F.max("total").alias("total"))
-        out = {}
-        for r in sums.collect():
-            n, mean, cov = _moments(r.asDict())
-            held = min(1.0, n / r["total"]) if "total" in r else share  # the subset has all of its last bin
-            out[r["unit"], r["start"]] = mean, cov * (consistency(D, held) if held < 1 else 1) + ridge
-        return out
-
-    done: dict = {}
-    for _ in range(_STEPS):
-        after = step(now, SUBSET)
-        for key, (c, cov) in list(after.items()):
-            if np.linalg.slogdet(cov)[1] >= np.linalg.slogdet(now[key][1])[1] - 1e-3 and key in done:
-                done[key] = min(done[key], (c, cov), key=lambda e: np.linalg.slogdet(e[1])[1])
-                del after[key]
-            else:
-                done[key] = c, cov
-        now = after
-        if not now:
+            sums = sums.withColumn("held", F.least(F.lit(1.0), F.col("n") / F.col("total")))  # the subset has all of its last bin
+
+        def after(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                mean, cov = _moments(b)
+                grow = np.array([consistency(D, h) if h < 1 else 1.0 for h in b["held"]])
+                yield _estimates(b["unit"], b["start"].to_numpy(), mean, cov * grow[:, None, None] + ridge)
+
+        return sums.mapInPandas(after, schema)
+
+    now, done = written(signs.mapInPandas(starts, schema), "starts"), None
+    for k in range(_STEPS):
+        old = now.select("unit", "start", *[F.col(n).alias(f"old_{n}") for n in ("c", "cov", "p", "det")])
+        both = step(now, SUBSET).join(old, ["unit", "start"])
+        ended = F.lit(k > 0) & (F.col("det") >= F.col("old_det") - 1e-3)
+        keeps = ended & (F.col("old_det") <= F.col("det"))
+        both = written(both.select("unit", "start", *[F.when(keeps, F.col(f"old_{n}")).otherwise(F.col(n)).alias(n) for n in ("c", "cov", "p", "det")], ended.alias("ended")), "step")
+        own = both.filter("ended").drop("ended")
+        done, now = own if done is None else done.union(own), both.filter("NOT ended").drop("ended")
+        if now.isEmpty():
             break
-    best = {u: min((k for k in done if k[0] == u), key=lambda k: np.linalg.slogdet(done[k][1])[1]) for u in middle}
-    chosen = {(u, 0): done[k] for u, k in best.items()}
-    final = step(chosen, None)
-    return {u: final.get((u, 0), chosen[u, 0]) for u in middle}
+    done = done.union(now)
+    best = done.groupBy("unit").agg(F.min_by(F.struct("c", "cov", "p", "det"), F.struct("det", "start")).alias("e"))
+    chosen = written(best.select("unit", F.lit(0).alias("start"), "e.*"), "chosen")
+    final = step(chosen, None).select("unit", *[F.col(n).alias(f"new_{n}") for n in ("c", "cov", "p", "det")])
+    return chosen.join(final, "unit", "left").select("unit", "start", *[F.coalesce(f"new_{n}", n).alias(n) for n in ("c", "cov", "p", "det")])
 
 
 def scored(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     """`docs` with a last column, the squared distance (null without statistics), named distance or, if that is taken, _distance."""
-    spark = docs.sparkSession
-    lean(spark)
+    lean(docs.sparkSession)
     lang, source = F.coalesce(F.col("lang").cast("string"), F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit(""))
+    names = {n: spare_name(docs, n) for n in ("l", "s", "k", "own", "c", "p", "distance")}
     rows = written(docs.select(lang.alias("l"), source.alias("s"), counts("text").alias("k")).filter("k.words IS NOT NULL"), "counts")
-    shares = rows.select("l", F.posexplode(F.array(*[F.coalesce(F.col(f"k.{a}") / F.nullif(F.col(f"k.{b}"), F.lit(0.0)), F.lit(0.0)) for a, b in _SHARES])).alias("i", "v"))
-    medians: dict[str, list[float]] = {}
-    for r in _medians(shares, ["l", "i"], 1 / 4096).collect():
-        medians.setdefault(r["l"], [0.0] * len(_SHARES))[r["i"]] = float(r["m"])
-    sizes = {(r["l"], r["s"]): r["count"] for r in rows.groupBy("l", "s").count().collect()}
-    by_lang: dict[str, int] = {}
-    for (l, _), n in sizes.items():
-        by_lang[l] = by_lang.get(l, 0) + n
-    judge = {(l, s): (l, s) if n >= min_rows else (l, None) if by_lang[l] >= min_rows else (None, None) for (l, s), n in sizes.items()}
-    unit = {k: i for i, k in enumerate(sorted(set(judge.values()), key=lambda k: (k[0] is None, k[0] or "", k[1] is None, k[1] or "")))}
-    members = [(l, s, [unit[k] for k in ((l, s), (l, None), (None, None)) if k in unit], medians[l]) for l, s in sizes]
-    groups = _table(spark, members, "l string, s string, units array<long>, medians array<double>")
-    x = vector(F.col("k"), F.col("medians"))
-    vectors = rows.join(groups, ["l", "s"]).select(F.explode("units").alias("unit"), *[a.alias(f"x{i}") for i, a in enumerate(x)])
-    found = estimate(written(vectors, "vectors")) if sizes else {}
-    names = {n: spare_name(docs, n) for n in ("l", "s", "k", "medians", "c", "p", "distance")}
-    params = [(l, s, medians[l], found[unit[k]][0].tolist(), _packed(found[unit[k]][1])) for (l, s), k in judge.items()]
-    params = _table(spark, params, f"{names['l']} string, {names['s']} string, {names['medians']} array<double>, {names['c']} array<double>, {names['p']} array<double>")
-    out = docs.withColumns({names["l"]: lang, names["s"]: source, names["k"]: counts("text")}).join(params, [names["l"], names["s"]], "left")
-    x = vector(F.col(names["k"]), F.col(names["medians"]))
+    sizes = rows.groupBy("l", "s").agg(F.count(F.lit(1)).alias("n"))
+    by_lang = Window.partitionBy("l")
+    sizes = written(sizes.withColumns({"of": F.sum("n").over(by_lang), "mixed": F.min("n").over(by_lang) < min_rows}), "groups")
+    groups, total = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if total < min_rows:  # no estimate of anything
+        return docs.withColumn(names["distance"], F.lit(None).cast("double"))
+    shares = [F.coalesce(F.col(f"k.{a}") / F.nullif(F.col(f"k.{b}"), F.lit(0.0)), F.lit(0.0)) for a, b in _SHARES]
+    whole = F.array(*map(F.lit, _medians(shares, rows.withColumn("every", F.lit(0)), "every", 1 / 4096).first()["m"]))
+    langs = _medians(shares, rows, "l", 1 / 4096)
+    rare = not sizes.filter(F.col("of") < min_rows).isEmpty()  # a language too small for an estimate of its own
+    shrink = F.when(F.col("of") >= min_rows, F.col("m")).otherwise(whole)
+    units = [
+        F.when(F.col("n") >= min_rows, F.struct(F.to_json(F.array("l", "s")).alias("unit"), shrink.alias("m"))),
+        F.when((F.col("of") >= min_rows) & F.col("mixed"), F.struct(F.to_json(F.array("l")).alias("unit"), shrink.alias("m"))),
+        F.when(F.lit(rare), F.struct(F.lit("[]").alias("unit"), whole.alias("m"))),
+    ]
+    members = written(sizes.join(langs, "l").select("l", "s", F.filter(F.array(*units), lambda u: u.isNotNull()).alias("units")), "members")
+    x = vector(F.col("k"), F.col("u.m"))
+    vectors = rows.join(_small(members, groups), ["l", "s"]).select("k", F.explode("units").alias("u")).select("u.unit", *[a.alias(f"x{i}") for i, a in enumerate(x)])
+    found = estimate(written(vectors, "vectors")).select("unit", "c", "p")
+    judges = members.select("l", "s", F.col("units")[0].alias("u")).select("l", "s", F.col("u.m").alias("own"), "u.unit").join(found, "unit")
+    params = written(judges.select(*[F.col(n).alias(names[n]) for n in ("l", "s", "own", "c", "p")]), "params")
+    out = docs.withColumns({names["l"]: lang, names["s"]: source, names["k"]: counts("text")}).join(_small(params, groups), [names["l"], names["s"]], "left")
+    x = vector(F.col(names["k"]), F.col(names["own"]))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], distance(x, F.col(names["c"]), F.col(names["p"])).alias(names["distance"]))
 
 

@@ -452,8 +452,8 @@ def reconciled(found: list[tuple[float, int, int, int]]) -> list[tuple[int, int,
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Tagger:
-    """A tagger with lines of at most `sample` documents, those of least hash, as background."""
-    picked = least_hashes(docs.select("doc_id", "text").filter("text IS NOT NULL"), "doc_id", sample).collect()
+    """A tagger with lines of at most `sample` distinct texts, those of least hash, as background."""
+    picked = least_hashes(docs.select("text").filter("text IS NOT NULL"), sample).collect()
     lines = [x for text in sorted(r["text"] for r in picked) for x in text.split("\n")]
     return Tagger.trained(*examples(lines))
 

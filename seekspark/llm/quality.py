@@ -7,7 +7,7 @@ log-count ratio of the two classes, log((p / |p|) / (q / |q|)) with SMOOTHING ad
 and a linear hinge-loss model is fitted by dual coordinate descent. n-grams that fewer than MIN_DF
 of the training documents have are left out.
 
-Training takes at most MAX_ROWS labelled documents, those of least hash of doc_id: a bounded sample,
+Training takes at most MAX_ROWS labelled documents, those of least hash of doc_id and label: a bounded sample,
 collected to the driver as n-gram numbers. The fitted weights are of fixed size, so scoring is
 one pass over the documents without a shuffle.
 
@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     spark = docs.sparkSession
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
     one = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("toxic").alias("toxic"))
-    picked = least_hashes(one, "doc_id", max_rows).collect()
+    picked = least_hashes(one, max_rows).collect()
     table = F.broadcast(spark.createDataFrame([tuple(r) for r in picked], "doc_id long, quality int, toxic int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from seekspark.llm import bpe, flac, grams, html, line_dedup, near_duplicates, outliers, packing, pii, quality, sharding
+from seekspark.llm import bpe, common, flac, grams, html, line_dedup, near_duplicates, outliers, packing, pii, quality, sharding
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"w{i}" for i in range(400)]
@@ -233,7 +233,8 @@ def test_outliers_equal_brute_force(spark):
     x = g.normal(size=(1200, 6)) @ a + 0.3
     x[:120] += 0.6
     df = spark.createDataFrame([(0, *map(float, v)) for v in x], "unit long, " + ", ".join(f"x{i} double" for i in range(6)))
-    c, cov = outliers.estimate(df)[0]
+    [found] = outliers.estimate(df).collect()
+    c, cov = np.array(found["c"]), np.array(found["cov"]).reshape(6, 6)
     d = np.einsum("ij,jk,ik->i", x - c, np.linalg.inv(cov), x - c)
     cut = outliers.chi2_quantile(6, 0.999)
     ridge = np.diag(outliers.FLOORS**2)
@@ -258,11 +259,29 @@ def test_outliers_reject_junk_and_keep_prose(spark):
     assert len(kept) >= 295
 
 
+def test_outliers_of_rare_languages_are_judged_by_all_documents(spark):
+    r = random.Random(3)
+    prose = [doc(i, " ".join(r.choice(WORDS[:200]) + r.choice(["", "", ",", "."]) for _ in range(r.randint(40, 400))), "en", r.choice(["a", "b"])) for i in range(200)]
+    few = [doc(1000, "x y", None, None), doc(1001, "one two three four", "xx"), doc(1002, prose[0][1], "yy", "z"), doc(1003, "%%% $$$ ### &&& " * 60, "zz")]
+    kept = {x["doc_id"] for x in outliers.reject_outliers(table(spark, prose + few)).collect()}
+    assert {1000, 1001, 1002} <= kept and 1003 not in kept
+
+
+def test_samples_of_least_hash(spark):
+    """The same rows in any partitioning, each different row once, and all of them where there are fewer than asked."""
+    df = table(spark, [doc(None, f"text {i % 500}") for i in range(3000)] + [doc(7, "one page")] * 3000)
+    few = [tuple(x) for x in common.least_hashes(df.select("doc_id", "text"), 40).collect()]
+    assert len(set(few)) == 40 and few == [tuple(x) for x in common.least_hashes(df.repartition(7).select("doc_id", "text"), 40).collect()]
+    assert common.least_hashes(df.select("doc_id", "text"), 1000).count() == 501
+    assert [tuple(x) for x in common.least_hashes(df.filter("doc_id = 7").select("doc_id", "text"), 40).collect()] == [(7, "one page")]
+    assert common.least_hashes(table(spark, []), 5).count() == 0
+
+
 def test_outliers_odd_rows(spark):
     df = clashing(table(spark, odd_rows()))
     out = outliers.reject_outliers(df)
     assert out.columns == df.columns
-    assert {2, 3, 6} <= {r["doc_id"] for r in out.collect()}
+    assert {1, 2, 3, 4, 5, 6, None} <= {r["doc_id"] for r in out.collect()}
     assert outliers.reject_outliers(table(spark, [])).count() == 0
 
 
