@@ -1,28 +1,30 @@
 """Operator 7: Jaccard join of documents on word n-grams, by MinHash banding.
 
-1. Each text becomes the set of its hashed word n-grams. Texts with the same set are one node;
-   from there on work is per node, so a thousand exact copies cost as much as one.
-2. Each node gets `bands` hashes of `rows` MinHash values each, chosen so that a pair at the
+1. Each text becomes the set of its hashed word n-grams. Texts with the same set are one class;
+   from there on work is per class, so a thousand exact copies cost as much as one.
+2. Each class gets `bands` hashes of `rows` MinHash values each, chosen so that a pair at the
    threshold meets in a band with probability `recall`. One shuffle on band hashes brings the
-   members of each bucket together. In a bucket, pairs whose MinHash values agree less often than
+   members of each bucket together; a bucket of more than PART members is dealt to parts, and each pair
+   of parts is a task of its own. In a bucket, pairs whose MinHash values agree less often than
    three standard deviations below the threshold are dismissed, which keeps chance meetings from
    chaining the corpus together; the others are linked by a spanning forest, so links stay
-   linear in the number of nodes however large a group of copies is.
-3. The components of the links are cut into blocks of bounded weight, each pair of blocks is one
-   task's work, and all pairs in it are verified on the full n-gram sets (blocked 0/1 matrix
-   products). No bucket, partner list or component is capped: a large one is only more blocks.
-
-`document_pairs`, the registered query, has one row for each pair of documents: its size is quadratic
-in a group's, as the number of pairs is. `similar_pairs`, for what needs groups only, has one row for
-each verified pair of nodes, named by the smallest doc_id of each, and one row of similarity 1.0 from
-that doc_id to each further copy; where each doc_id has one text, `expand_copies` gives the pairs of
-all documents from it.
+   linear in the number of classes however large a group of copies is.
+3. The components of the links are dealt to blocks of bounded weight. Pairs within a block are verified, and
+   those of two blocks of a component if any of their members met in a band, all on the full
+   n-gram sets (blocked 0/1 matrix products). No bucket, partner list or component is capped: a
+   large one is only more parts and blocks.
+
+The result has the pairs of classes and the members of each: a row for each verified pair of classes,
+named by the smallest doc_id of each (class_a <> class_b), and a row of similarity 1.0 from that doc_id
+to each further member of a class (class_a = class_b). No link between different texts is lost, and
+joining the pairs with the members on both sides gives the pairs of all documents (`document_pairs`),
+whose number is quadratic in a group's.
 
 Defined results: a null or empty text (or one of white space only) has no n-grams and no partners;
-a text of fewer than n words has one n-gram, of all its words; rows with a null doc_id cannot be
-named in a pair and have no partners; rows that repeat a doc_id and text are one document, a
-doc_id with several texts takes part with each of them, with a row for each pair of texts, and no
-pair joins a doc_id with itself.
+a text of fewer than n words has one n-gram, of all its words; the sets are those of whole texts,
+however long; rows with a null doc_id cannot be named in a pair and have no partners; rows that
+repeat a doc_id and text are one document; a doc_id with several texts is a member of the class of
+each, and may name both classes of a pair; pairs at the threshold, and equal ones, all count.
 Other columns are not read. Empty tables give an empty result.
 """
 
@@ -36,12 +38,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import grams as G
-from .common import documents, drop_path, lean, only, pieces, trim, written
+from .common import documents, drop_path, lean, only, pieces, spare_name, trim, written
 
 #: Production parameters.
 N, THRESHOLD, RECALL = 3, 0.6, 0.99
-#: n-grams of a block, and what a node adds to the weight besides its own.
-BLOCK_GRAMS, NODE_WEIGHT = 1 << 20, 512
+#: n-grams of a block, what a class (a node) adds to the weight besides its own, and members of a bucket's part.
+BLOCK_GRAMS, NODE_WEIGHT, PART = 1 << 20, 512, 4096
 #: Up to these bytes of linked doc_ids are broadcast to the scan of the texts.
 BROADCAST_BYTES = 64 << 20
 _TEXT_BYTES = 4 << 20
@@ -78,7 +80,7 @@ def _batches(batch: pa.RecordBatch, n: int) -> Iterator[tuple[pa.RecordBatch, li
 
 
 def signatures(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_id, node, grams, bands, prints) for each document with a doc_id and an n-gram."""
+    """(doc_id, th, node, grams, bands, prints) for each document with a doc_id and an n-gram; th is a hash of the text."""
     bands, rows = G.bands_and_rows(threshold, recall, 160)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,9 +89,10 @@ def signatures(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
                 hashes, prints = G.band_hashes(sets, bands, rows)
                 hashes = hashes.view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, hashes.size + 1, bands, dtype=np.int32)), pa.array(hashes.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _binary(_nodes(sets), 16), pa.array([len(s) for s in sets], pa.int64()), lists, _binary(prints, bands * rows)], ["doc_id", "node", "grams", "bands", "prints"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), _binary(_nodes(sets), 16), pa.array([len(s) for s in sets], pa.int64()), lists, _binary(prints, bands * rows)], ["doc_id", "th", "node", "grams", "bands", "prints"])
 
-    return docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "doc_id long, node binary, grams long, bands array<long>, prints binary")
+    own = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), "text")
+    return own.mapInArrow(run, "doc_id long, th long, node binary, grams long, bands array<long>, prints binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -179,37 +182,78 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         yield key, own
 
 
-def links(nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """(a, b): nodes of a bucket whose MinHash values agree about as often as `threshold`, or not linked but by others."""
+def _least(threshold: float, recall: float) -> tuple[int, int]:
+    """MinHash values of a class, and how many must agree."""
     bands, rows = G.bands_and_rows(threshold, recall, 160)
     k = bands * rows
-    least = int(np.ceil(k * threshold - 3 * np.sqrt(k * threshold * (1 - threshold))))
+    return k, int(np.ceil(k * threshold - 3 * np.sqrt(k * threshold * (1 - threshold))))
+
+
+def _met(nodes: DataFrame, extra: list[str]) -> DataFrame:
+    """(band, i, j, part, node, prints, *extra): the members of each bucket of two or more by pairs (i, j) of its parts, sorted within their task."""
+    bands = nodes.select("node", F.explode("bands").alias("band"))
+    several = bands.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    met = bands.join(several, "band").select("band", "node", F.ceil(F.col("c") / PART).cast("int").alias("parts"))
+    met = met.join(nodes.select("node", "prints", *extra), "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "prints", *extra)
+    return met.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
+
+
+def links(nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(a, b): nodes of a bucket whose MinHash values agree about as often as `threshold`, or not linked but by others."""
+    k, least = _least(threshold, recall)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
-        for _, own in _groups(batches, 1):
-            prints = np.frombuffer(b"".join(p for _, p in own), np.uint8).reshape(len(own), k)
+        for _, own in _groups(batches, 3):
+            prints = np.frombuffer(b"".join(r[2] for r in own), np.uint8).reshape(len(own), k)
             for i, j in _forest(prints, least):
-                a.append(own[i][0])
-                b.append(own[j][0])
+                a.append(own[i][1])
+                b.append(own[j][1])
             if len(a) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    met = nodes.select("node", F.explode("bands").alias("band")).selectExpr("node", "band", "count(1) OVER (PARTITION BY band) AS c").filter("c > 1").select("node", "band")
-    buckets = met.join(nodes.select("node", "prints"), "node").select("band", "node", "prints")
-    return buckets.repartition("band").sortWithinPartitions("band", "node").mapInArrow(link, "a binary, b binary")
+    return _met(nodes, []).mapInArrow(link, "a binary, b binary")
+
+
+def _block_pairs(nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(root, i, j), i < j: blocks of a component with members that met in a band and agree."""
+    k, least = _least(threshold, recall)
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
+        for _, own in _groups(batches, 3):
+            prints = np.frombuffer(b"".join(r[2] for r in own), np.uint8).reshape(len(own), k)
+            block = np.array([r[4] for r in own])
+            for x in range(len(own) - 1):
+                near = (prints[x + 1 :] == prints[x]).sum(axis=1) >= least
+                for other in np.unique(block[x + 1 :][near]).tolist():
+                    if other != own[x][4]:
+                        seen.add((own[x][3], min(other, own[x][4]), max(other, own[x][4])))
+            if len(seen) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*seen), (pa.binary(), pa.int32(), pa.int32()))], ["root", "i", "j"])
+                seen = set()
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*seen), (pa.binary(), pa.int32(), pa.int32()))], ["root", "i", "j"])
+
+    return _met(nodes, ["root", "block"]).mapInArrow(pair, "root binary, i int, j int").distinct()
 
 
 def node_pairs(docs: DataFrame, signed: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """Verified pairs (node_a, node_b, doc_a, doc_b, similarity) of different nodes, with the smallest doc_id of each; `signed` are the written signatures."""
     nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("grams").alias("grams"), F.first("bands").alias("bands"), F.first("prints").alias("prints")), "nodes")
     found = components(links(nodes, threshold, recall))
-    window = "OVER (PARTITION BY root ORDER BY node)"
-    sized = found.withColumnRenamed("id", "node").join(nodes.select("node", "doc_id", "grams"), "node").selectExpr("node", "doc_id", "root", f"sum(grams + {NODE_WEIGHT}) {window} - grams - {NODE_WEIGHT} AS before")
-    blocks = written(sized.selectExpr("node", "doc_id", "root", f"CAST(floor(before / {BLOCK_GRAMS}) AS INT) AS block"), "blocks")
-    blocks = blocks.join(blocks.groupBy("root").agg((F.max("block") + 1).alias("of")), "root")
+    sized = found.withColumnRenamed("id", "node").join(nodes.select("node", "doc_id", "grams"), "node").withColumn("weight", F.col("grams") + NODE_WEIGHT)
+    of = sized.groupBy("root").agg(F.ceil(F.sum("weight") / BLOCK_GRAMS).cast("int").alias("of"))
+    blocks = written(sized.join(of, "root").select("node", "doc_id", "root", F.pmod(F.xxhash64("node"), F.col("of")).cast("int").alias("block"), "of"), "blocks")
+    large = blocks.filter("of > 1").select("node", "root", "block")
+    tasks = blocks.select("root", "block", F.col("block").alias("i"), F.col("block").alias("j")).distinct()
+    if not large.isEmpty():
+        pairs = written(_block_pairs(nodes.join(large, "node"), threshold, recall), "block-pairs")
+        tasks = tasks.union(pairs.select("root", F.col("i").alias("block"), "i", "j")).union(pairs.select("root", F.col("j").alias("block"), "i", "j"))
 
     def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Only the rows whose text is the node's: a doc_id may have several texts."""
@@ -220,9 +264,8 @@ def node_pairs(docs: DataFrame, signed: DataFrame, n: int = N, threshold: float
     texts = docs.select("doc_id", "text").filter("text IS NOT NULL")
     if blocks.count() * 16 <= BROADCAST_BYTES:  # else all texts are shuffled to meet the linked ones
         texts = texts.join(F.broadcast(blocks.select("doc_id").distinct()), "doc_id", "left_semi")
-    texts = texts.join(blocks, "doc_id").select("root", "block", "of", "node", "doc_id", "text").mapInArrow(right, "root binary, block int, of int, node binary, doc_id long, text string")
-    work = texts.select("root", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other"), "block", "node", "doc_id", "text")
-    work = work.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "doc_id", "text")
+    texts = texts.join(blocks, "doc_id").select("root", "block", "node", "doc_id", "text").mapInArrow(right, "root binary, block int, node binary, doc_id long, text string")
+    work = texts.join(tasks, ["root", "block"]).select("root", "i", "j", "block", "node", "doc_id", "text")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), own in _groups(batches, 3):
@@ -240,57 +283,47 @@ def node_pairs(docs: DataFrame, signed: DataFrame, n: int = N, threshold: float
 
 
 def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_a, doc_b, similarity), doc_a < doc_b: the pairs of nodes and the stars of copies, as the module's text says."""
+    """(doc_a, doc_b, similarity, class_a, class_b): the pairs of classes (doc_a <= doc_b) and their members, as the module's text says; a class is 32 hexadecimal digits."""
     lean(docs.sparkSession)
     docs = only(docs, ["doc_id", "text"])
     signed = written(signatures(docs, n, threshold, recall), "signatures")
-    pairs = node_pairs(docs, signed, n, threshold, recall).filter("doc_a <> doc_b").select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "similarity")
+    turned = F.col("doc_a") > F.col("doc_b")
+    pairs = node_pairs(docs, signed, n, threshold, recall).select(
+        F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "similarity",
+        F.hex(F.when(turned, F.col("node_b")).otherwise(F.col("node_a"))).alias("class_a"), F.hex(F.when(turned, F.col("node_a")).otherwise(F.col("node_b"))).alias("class_b"),
+    )
     names = signed.groupBy("node").agg(F.min("doc_id").alias("doc_a"))
-    copies = signed.select("node", "doc_id").distinct().join(names, "node").filter("doc_id <> doc_a").select("doc_a", F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("similarity"))
-    return pairs.union(copies)
+    members = signed.select("node", "doc_id").distinct().join(names, "node").filter("doc_id <> doc_a")
+    return pairs.union(members.select("doc_a", F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("similarity"), F.hex("node").alias("class_a"), F.hex("node").alias("class_b")))
 
 
-def document_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_a, doc_b, similarity), doc_a < doc_b, for all pairs of documents, exact copies and copies of near ones included.
-
-    The joins are by node, so a doc_id with several texts meets the partners of each.
-    """
-    lean(docs.sparkSession)
-    docs = only(docs, ["doc_id", "text"])
-    signed = written(signatures(docs, n, threshold, recall), "signatures")
-    members = written(signed.select("node", "doc_id").distinct(), "members")
-    left, right = members.select(F.col("node").alias("node_a"), F.col("doc_id").alias("x")), members.select(F.col("node").alias("node_b"), F.col("doc_id").alias("y"))
-    near = node_pairs(docs, signed, n, threshold, recall).select("node_a", "node_b", "similarity").join(left, "node_a").join(right, "node_b").filter("x <> y")
-    near = near.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "similarity")
-    several = members.join(members.groupBy("node").count().filter("count > 1").select("node"), "node", "left_semi")
-    exact = several.select("node", F.col("doc_id").alias("doc_a")).join(several.select("node", F.col("doc_id").alias("doc_b")), "node").filter("doc_a < doc_b")
-    return near.union(exact.select("doc_a", "doc_b", F.lit(1.0).alias("similarity")))
-
-
-def expand_copies(pairs: DataFrame) -> DataFrame:
-    """The pairs of all documents: copies (similarity 1.0) stand in for the doc_id that names them."""
-    same = pairs.filter("similarity = 1.0").select("doc_a", "doc_b")
-    names = same.groupBy(F.col("doc_b").alias("id")).agg(F.min("doc_a").alias("name"))
-    rest = pairs.join(names, pairs.doc_b == names.id, "left_anti").join(names, pairs.doc_a == names.id, "left_anti")
-    alike = names.union(names.select("name", "name").distinct())
-    near = rest.filter("similarity < 1.0")
-    left = alike.select(F.col("name").alias("doc_a"), F.col("id").alias("x"))
-    right = alike.select(F.col("name").alias("doc_b"), F.col("id").alias("y"))
-    near = near.join(left, "doc_a", "left").join(right, "doc_b", "left").select(F.coalesce("x", "doc_a").alias("x"), F.coalesce("y", "doc_b").alias("y"), "similarity")
-    exact = alike.join(alike.select("name", F.col("id").alias("y")), "name").filter("id < y").select(F.col("id").alias("x"), "y", F.lit(1.0).alias("similarity"))
-    return near.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "similarity").union(exact).distinct()
+def document_pairs(found: DataFrame) -> DataFrame:
+    """(doc_a, doc_b, similarity), doc_a < doc_b, for all pairs of documents, from the rows of `similar_pairs`: quadratic in a group's size."""
+    own = found.select("class_a", "doc_a").union(found.select("class_b", "doc_b")).distinct()
+    left, right = own.toDF("class_a", "x"), own.toDF("class_b", "y")
+    near = found.filter("class_a <> class_b").select("class_a", "class_b", "similarity").join(left, "class_a").join(right, "class_b").filter("x <> y")
+    exact = left.join(own.toDF("class_a", "y"), "class_a").filter("x < y").select("x", "y", F.lit(1.0))
+    return near.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "similarity").union(exact)
 
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """`docs` without the documents that are similar, directly or by way of others, to one with a smaller doc_id.
+    """`docs` without the documents whose text is similar, directly or by way of others, to that of another one that stays.
 
-    All rows of a kept doc_id stay, and rows with a null doc_id do.
+    Of each group the smallest doc_id stays (of several texts of it in the group one). A row goes only for its own
+    text: a doc_id with several texts may lose one and keep another. Rows with a null doc_id stay, and
+    rows that repeat a doc_id and text are one document.
     """
-    pairs = similar_pairs(docs, n, threshold, recall)
-    found = components(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")))
-    extra = written(found.filter("id <> root").select(F.col("id").alias("doc_id")), "extra")
-    return docs.join(extra, "doc_id", "left_anti").select(docs.columns)
+    lean(docs.sparkSession)
+    own = only(docs, ["doc_id", "text"])
+    signed = written(signatures(own, n, threshold, recall), "signatures")
+    pairs = node_pairs(own, signed, n, threshold, recall)
+    found = components(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))).toDF("node", "root")
+    texts = signed.select("doc_id", "th", "node").distinct().join(found, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root"))
+    first = texts.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    extra = texts.join(first, "root").filter("doc_id <> first.doc_id OR th <> first.th").select("doc_id", F.col("th").alias(th := spare_name(docs, "th")))
+    extra = written(extra, "extra")
+    return docs.withColumn(th, F.xxhash64("text")).join(extra, ["doc_id", th], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_pairs(documents(spark, sf_dir))
+    return similar_pairs(documents(spark, sf_dir))

@@ -162,40 +162,52 @@ def near_rows(seed, groups=25):
     return rows
 
 
-@pytest.mark.parametrize("block", [1 << 20, 600])
-def test_jaccard_join_recall_and_precision(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,part", [(1 << 20, 4096), (600, 4096), (2000, 3)])
+def test_jaccard_join_recall_and_precision(spark, monkeypatch, block, part):
     monkeypatch.setattr(near_duplicates, "BLOCK_GRAMS", block)  # small blocks: components of many block pairs
+    monkeypatch.setattr(near_duplicates, "PART", part)  # small parts: buckets of many tasks
     rows = near_rows(3)
+    rows += [(len(rows) + k, t) for k, (_, t) in enumerate(rows[:40] + rows[:20])]  # further copies, some of texts with near copies
     want = brute_pairs(rows, near_duplicates.N, near_duplicates.THRESHOLD)
-    pairs = near_duplicates.similar_pairs(table(spark, [doc(*x) for x in rows]))
-    got = {(x["doc_a"], x["doc_b"]): x["similarity"] for x in near_duplicates.expand_copies(pairs).collect()}
+    pairs = near_duplicates.similar_pairs(table(spark, [doc(*x) for x in rows])).cache()
+    found = near_duplicates.document_pairs(pairs).collect()
+    got = {(x["doc_a"], x["doc_b"]): x["similarity"] for x in found}
+    assert len(got) == len(found) and all(a < b for a, b in got)
     assert set(got) <= set(want)
     assert all(abs(want[p] - s) < 1e-12 for p, s in got.items())
+    assert {p for p, s in want.items() if s == 1} <= set(got)
     assert len(got) >= 0.95 * len(want)
 
 
-def test_jaccard_query_has_the_pairs_of_all_documents(spark, tmp_path):
+def test_jaccard_query_names_classes_and_members(spark, tmp_path):
+    """Every row by its own definition: pairs of different n-gram sets by their smallest doc_ids, and each further member of a set."""
     rows = near_rows(3)
-    rows += [(len(rows) + k, t) for k, (_, t) in enumerate(rows[:40] + rows[:20])]  # further copies, some of texts with near copies
+    rows += [(len(rows) + k, t) for k, (_, t) in enumerate(rows[:40] + rows[:20])]
     rows += [(0, rows[30][1]), (1, rows[35][1])]  # doc_ids with two texts
     spark.createDataFrame([doc(*x) for x in rows], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
-    want = brute_pairs(rows, near_duplicates.N, near_duplicates.THRESHOLD)
+    n, sets = near_duplicates.N, {}
+    for i, t in rows:
+        w = t.lower().split()
+        sets.setdefault(frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) or frozenset([tuple(w)]), set()).add(i)
+    members = {(min(own), i) for own in sets.values() for i in own if i != min(own)}
+    near = {(*sorted((min(sets[x]), min(sets[y]))), round(s, 9)) for x, y in itertools.combinations(sets, 2) if (s := len(x & y) / len(x | y)) >= near_duplicates.THRESHOLD}
     got = near_duplicates.query(spark, str(tmp_path)).collect()
-    best = {}
-    for x in got:
-        assert x["doc_a"] < x["doc_b"]
-        best[x["doc_a"], x["doc_b"]] = max(x["similarity"], best.get((x["doc_a"], x["doc_b"]), 0))
-    assert set(best) <= set(want) and all(abs(want[p] - s) < 1e-12 for p, s in best.items())
-    assert {p for p, s in want.items() if s == 1} <= set(best)
-    assert len(best) >= 0.95 * len(want)
+    assert {(r["doc_a"], r["doc_b"]) for r in got if r["class_a"] == r["class_b"]} == members
+    found = {(r["doc_a"], r["doc_b"], round(r["similarity"], 9)) for r in got if r["class_a"] != r["class_b"]}
+    assert found <= near and len(found) >= 0.95 * len(near)
+    assert len({r["class_a"] for r in got} | {r["class_b"] for r in got}) <= len(sets)
 
 
 def test_jaccard_near_texts_of_one_doc_id_name_their_other_documents(spark):
     words = [f"v{i}" for i in range(60)]
-    x, y = " ".join(words), " ".join([*words[:-1], "other"])
-    pairs = near_duplicates.document_pairs(table(spark, [doc(1, x), doc(1, y), doc(2, x), doc(3, y)])).collect()
+    x, y, z = " ".join(words), " ".join([*words[:-1], "other"]), "a text of its own"
+    df = table(spark, [doc(1, x), doc(1, y), doc(2, x), doc(3, y), doc(2, z), doc(None, x)])
+    pairs = near_duplicates.document_pairs(near_duplicates.similar_pairs(df)).collect()
     similar = 57 / 59
     assert sorted((r["doc_a"], r["doc_b"], round(r["similarity"], 9)) for r in pairs) == sorted([(1, 2, 1.0), (1, 3, 1.0), (1, 2, round(similar, 9)), (1, 3, round(similar, 9)), (2, 3, round(similar, 9))])
+    kept = near_duplicates.keep_one(df).collect()  # a row goes for its own text only
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept)[0] == (0, x) and {(r["doc_id"], r["text"]) for r in kept} >= {(2, z), (None, x)}
+    assert len(kept) == 3 and [r["doc_id"] for r in kept].count(1) == 1
 
 
 def test_jaccard_keeps_one_of_each_group(spark):
@@ -211,7 +223,7 @@ def test_jaccard_keeps_one_of_each_group(spark):
 
 def test_jaccard_odd_rows(spark):
     df = clashing(table(spark, odd_rows() + [doc(9, "one  TWO three\nfour")]))
-    assert [tuple(r) for r in near_duplicates.similar_pairs(df).collect()] == [(1, 9, 1.0)]
+    assert [tuple(r)[:3] for r in near_duplicates.similar_pairs(df).collect()] == [(1, 9, 1.0)]
     kept = near_duplicates.keep_one(df)
     assert kept.columns == df.columns and kept.count() == df.count() - 1
     assert near_duplicates.similar_pairs(table(spark, [])).count() == 0
