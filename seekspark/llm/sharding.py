@@ -6,15 +6,16 @@ total) go to the shard where the dot product of the group's vector and the resid
 in shares of a shard, is highest among the shards that it fits; if it fits none, to the one that
 it overfills least.
 
-A group is never split. Groups come from an aggregation with partial sums; only large ones (over
-1/16 of a shard in some dimension, so at most 48 for each shard) are placed one by one. The others
-are first bundled by hash into `bundles` for each shard. What the driver places is bounded by the
-number of shards, whatever the corpus. The documents meet the placement in a broadcast of that
-bounded size, so texts are never shuffled.
+A group is never split. Groups come from an aggregation with partial sums, and each is placed by its
+own vector, but for the dust: groups under 1/GRAIN of a shard in every dimension are first bundled by
+hash into at most GRAIN bundles for each shard. So the driver places at most 4 * GRAIN units for each shard,
+whatever the corpus, and what a bundle adds to a shard's imbalance is about 1/GRAIN. The documents meet the placement
+in a broadcast of that bounded size, so texts are never shuffled.
 
 Tokens are runs of characters that aren't white space. Defined results: null columns are a group
-value like others; a null text counts no bytes and no tokens; repeated rows count as often as they
-occur and go to the same shard; ties go to the lower shard, then by group. Extra columns aren't
+value like others; a null text counts no bytes and no tokens; very long texts count whole, and a group that
+is larger than a shard's share goes to the shard that it overfills least; repeated rows count as often as they
+occur and go to the same shard; ties go to the lower shard, equal groups by id. Extra columns aren't
 read. An empty table gives an empty result.
 """
 
@@ -30,8 +31,7 @@ from .common import documents, only, written
 from .packing import word_count
 
 #: Production parameters.
-SHARDS, SLACK, BUNDLES = 64, 0.02, 64
-LARGE = 1 / 16
+SHARDS, SLACK, GRAIN = 64, 0.02, 1024
 
 
 def place(sizes: np.ndarray, shards: int, slack: float = SLACK) -> np.ndarray:
@@ -57,7 +57,7 @@ def order(sizes: np.ndarray) -> np.ndarray:
     return np.argsort(-(sizes / np.where(total > 0, total, 1)).max(axis=1), kind="stable")
 
 
-def shard_documents(docs: DataFrame, group: Sequence[Column] | None = None, shards: int = SHARDS, slack: float = SLACK, bundles: int = BUNDLES) -> DataFrame:
+def shard_documents(docs: DataFrame, group: Sequence[Column] | None = None, shards: int = SHARDS, slack: float = SLACK, grain: int = GRAIN) -> DataFrame:
     """(doc_id, group_id, shard, n_bytes, n_tokens) for each row of `docs`.
 
     The default groups are the documents of a source and language in 256 ranges of a hash of
@@ -75,17 +75,17 @@ def shard_documents(docs: DataFrame, group: Sequence[Column] | None = None, shar
     total = rows.agg(*sums).first()
     if not total["r"]:
         return rows.select("doc_id", "group_id", F.lit(0).alias("shard"), "n_bytes", "n_tokens")
-    large = F.greatest(*[F.col(c) / F.lit(max(total[c], 1)) for c in "btr"]) > LARGE / shards
-    unit = F.when(large, F.col("group_id")).otherwise(F.pmod("group_id", F.lit(shards * bundles)))
-    units = groups.select(large.alias("large"), unit.alias("unit"), "b", "t", "r").groupBy("large", "unit").agg(*[F.sum(c).alias(c) for c in "btr"]).toPandas()
-    units = units.sort_values(["large", "unit"], ignore_index=True)
+    alone = F.greatest(*[F.col(c) / F.lit(max(total[c], 1)) for c in "btr"]) >= 1 / (grain * shards)
+    bundle = F.pmod("group_id", F.lit(shards * grain))
+    units = groups.select(alone.alias("alone"), F.when(alone, F.col("group_id")).otherwise(bundle).alias("unit"), "b", "t", "r").groupBy("alone", "unit").agg(*[F.sum(c).alias(c) for c in "btr"]).toPandas()
+    units = units.sort_values(["alone", "unit"], ignore_index=True)
     sizes = units[["b", "t", "r"]].to_numpy(float)
     by_size = order(sizes)
     units.loc[by_size, "shard"] = place(sizes[by_size], shards, slack)
-    placed = spark.createDataFrame([(bool(a), int(b), int(c)) for a, b, c in zip(units["large"], units["unit"], units["shard"])], "large boolean, unit long, shard int")
-    by_group = placed.filter("large").select(F.col("unit").alias("group_id"), F.col("shard").alias("own"))
-    by_hash = placed.filter("NOT large").select(F.col("unit").alias("bundle"), "shard")
-    out = rows.join(F.broadcast(by_group), "group_id", "left").withColumn("bundle", F.pmod("group_id", F.lit(shards * bundles))).join(F.broadcast(by_hash), "bundle", "left")
+    placed = spark.createDataFrame([(bool(a), int(b), int(c)) for a, b, c in zip(units["alone"], units["unit"], units["shard"])], "alone boolean, unit long, shard int")
+    by_group = placed.filter("alone").select(F.col("unit").alias("group_id"), F.col("shard").alias("own"))
+    by_hash = placed.filter("NOT alone").select(F.col("unit").alias("bundle"), "shard")
+    out = rows.join(F.broadcast(by_group), "group_id", "left").withColumn("bundle", bundle).join(F.broadcast(by_hash), "bundle", "left")
     return out.select("doc_id", "group_id", F.coalesce("own", "shard").alias("shard"), "n_bytes", "n_tokens")
 
 
