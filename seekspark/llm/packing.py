@@ -4,15 +4,16 @@ A document of n tokens costs LINEAR * n + QUADRATIC * n * n, the work of the fee
 attention layers. Documents are dealt to pools by hash, each of about `pool_tokens` tokens; in a
 pool the number of sequences is what its tokens need at `fill`, and documents in descending length
 go to the sequence of lowest cost that has the tokens left, a new one being opened where none has.
-Pools are independent tasks, so packing needs one shuffle of (document, length) rows, no texts.
+Pools are independent tasks, so packing needs one shuffle of (document, length) rows, no texts. Rows that
+repeat a document are counted first and dealt to pools one by one, so that no pool gets them all.
 
 A document longer than a sequence is first cut into pieces of `capacity` tokens and a rest; pieces
 are packed like documents. Tokens are runs of characters that aren't white space, or any column of
 counts that is given.
 
 Defined results: a document without tokens (null or empty text) gets no row; a null doc_id is
-packed like others; repeated rows are packed as often as they occur. Documents of equal length go
-by doc_id (null first), then hash of the text. Extra columns aren't read. An empty table gives an
+packed like others; repeated rows are packed as often as they occur; very long texts are cut as said. Documents of equal length go
+by doc_id (null first), then hash of the text, then number of the repeated row. Extra columns aren't read. An empty table gives an
 empty result. The same rows give the same packing in any partitioning.
 """
 
@@ -60,11 +61,12 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, pool_tokens: int =
     counted = written(counted, "lengths")  # texts are read once
     total = counted.agg(F.sum("n")).first()[0] or 0
     pools = max(1, -(-total // pool_tokens))
-    dealt = counted.select(F.pmod("h", F.lit(pools)).alias("pool"), "doc_id", "h", "n", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / capacity).cast("int"))).alias("piece"))
+    copies = counted.groupBy("doc_id", "h", "n").agg(F.count(F.lit(1)).alias("c")).select("doc_id", "h", "n", F.explode(F.sequence(F.lit(1), F.col("c"))).alias("copy"))
+    dealt = copies.select(F.pmod(F.when(F.col("copy") == 1, F.col("h")).otherwise(F.xxhash64("h", "copy")), F.lit(pools)).alias("pool"), "doc_id", "h", "copy", "n", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / capacity).cast("int"))).alias("piece"))
     dealt = dealt.withColumn("n_tokens", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("long"))
 
     def place(pool: pd.DataFrame) -> pd.DataFrame:
-        pool = pool.sort_values(["n_tokens", "doc_id", "h", "piece"], ascending=[False, True, True, True], na_position="first", kind="stable")
+        pool = pool.sort_values(["n_tokens", "doc_id", "h", "copy", "piece"], ascending=[False, True, True, True, True], na_position="first", kind="stable")
         pool["sequence"] = pack(pool["n_tokens"].to_numpy(), capacity, fill)
         pool["slot"] = pool.groupby("sequence")["n_tokens"].cumsum() - pool["n_tokens"]
         pool["cost"] = LINEAR * pool["n_tokens"] + QUADRATIC * pool["n_tokens"] ** 2
