@@ -5,7 +5,9 @@ to their first occurrence, and merge-anti-joined with the runs of all earlier ba
 left becomes a new run. Runs are tables bucketed and sorted by hash, so that neither an anti-join
 nor the run's own side of it shuffles or sorts again. When `fanout` runs stand at a level they are
 compacted to one run of the next level, so a batch meets a logarithmic number of runs.
-At the end the surviving occurrences are brought to their documents, in one shuffle of the texts.
+At the end the surviving occurrences are stored by document and the runs are dropped; they meet their documents
+in one shuffle of the texts. Rows that repeat doc_id and text would all meet in one task there, so
+of these one is taken by an aggregation with partial results before.
 
 A line is what a line feed separates; lines are compared without spaces at either end. Of equal
 lines in the whole corpus the first stays: that of the smallest doc_id (null is the largest), then
@@ -13,7 +15,7 @@ of the smallest hash of the text, then the topmost. Lines that are empty or of s
 
 Defined results: a document loses its row when it had a line and none is left but blank ones;
 a null text, and one of blank lines only, stays as it is. Of rows that repeat doc_id and text
-the first counts as earlier. n_chars is the new text's length; all other columns, extra ones
+one stands for all, and the others have lost all lines. Texts and lines may be of any length. n_chars is the new text's length; all other columns, extra ones
 included, are passed through. An empty table gives an empty table.
 """
 
@@ -24,9 +26,8 @@ import uuid
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import documents, lean, new_path, spare_name, trim
+from .common import documents, drop_path, lean, new_path, spare_name, trim, written
 
 #: Production parameters: batches of a corpus, and runs of a level that are compacted.
 BATCHES, FANOUT = 4, 2
@@ -39,15 +40,22 @@ class Runs:
     def __init__(self, spark: SparkSession, fanout: int):
         self.spark, self.fanout = spark, fanout
         self.levels: list[list[str]] = []
-        self.tables: list[str] = []
+        self.tables: list[tuple[str, str]] = []
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _write(self, df: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
-        df.write.format("parquet").option("path", new_path(self.spark, "run")).bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
-        self.tables.append(name)
+        path = new_path(self.spark, "run")
+        df.write.format("parquet").option("path", path).bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
+        self.tables.append((name, path))
         return name
 
+    def drop(self) -> None:
+        for name, path in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            drop_path(self.spark, path)
+        self.tables = []
+
     def unseen(self, lines: DataFrame) -> DataFrame:
         for level in self.levels:
             for run in level:
@@ -96,34 +104,40 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -
     kept = spark.table(added[0]).select("at")
     for run in added[1:]:
         kept = kept.union(spark.table(run).select("at"))
-    kept = kept.groupBy("at.k0", "at.k1", "at.th").agg(F.collect_list("at.pos").alias("kept"))
+    kept = written(kept.groupBy("at.k0", "at.k1", "at.th").agg(F.collect_list("at.pos").alias("kept")), "kept")
+    runs.drop()
 
-    names = {n: spare_name(docs, n) for n in ("k0", "k1", "th", "kept", "nth", "new")}
+    names = {n: spare_name(docs, n) for n in ("k0", "k1", "th", "kept", "new", "row")}
     k0, k1, th = names["k0"], names["k1"], names["th"]
+    keys = [k0, k1, th]
     out = docs.withColumns({k0: F.col("doc_id").isNull(), k1: F.coalesce("doc_id", F.lit(_LAST)).cast("long"), th: F.xxhash64("text")})
-    out = out.join(kept.toDF(k0, k1, th, names["kept"]), [k0, k1, th], "left")
-    out = out.withColumn(names["nth"], F.row_number().over(Window.partitionBy(k0, k1, th).orderBy(k0)))
+    repeated = written(keyed.filter(F.regexp_like("text", F.lit(r"[^ \n]"))).groupBy("k0", "k1", "th").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("k0", "k1", "th").toDF(*keys), "repeated")
+    if not repeated.isEmpty():  # any one row of each key
+        first = out.join(repeated, keys, "left_semi").groupBy(*keys).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(names["row"]))
+        first = first.select(*[F.col(names["row"])[c].alias(c) for c in docs.columns], *keys)
+        out = out.join(repeated, keys, "left_anti").unionByName(first)
+    out = out.join(kept.toDF(*keys, names["kept"]), keys, "left")
 
     @F.pandas_udf("string")
-    def rebuild(text: pd.Series, kept: pd.Series, nth: pd.Series) -> pd.Series:
+    def rebuild(text: pd.Series, kept: pd.Series) -> pd.Series:
         """The text of the kept lines; null if lines were lost and only blank ones are left."""
 
-        def one(text, kept, nth):
+        def one(text, kept):
             if text is None:
                 return None
-            kept = set() if kept is None or nth > 1 else set(kept)
+            kept = set() if kept is None else set(kept)
             lines = text.split("\n")
             if len(kept) == len(lines):
                 return text
             stay = [x for i, x in enumerate(lines) if i in kept or not x.strip(" ")]
             return "\n".join(stay) if kept or len(stay) == len(lines) else None
 
-        out = pd.Series([one(*x) for x in zip(text, kept, nth)], dtype=object)
+        out = pd.Series([one(*x) for x in zip(text, kept)], dtype=object)
         trim()
         return out
 
     new = names["new"]
-    out = out.withColumn(new, rebuild("text", names["kept"], names["nth"])).filter(F.col("text").isNull() | F.col(new).isNotNull())
+    out = out.withColumn(new, rebuild("text", names["kept"])).filter(F.col("text").isNull() | F.col(new).isNotNull())
     changed = {"text": F.col(new), "n_chars": F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length(new).cast("long"))}
     return out.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
 
