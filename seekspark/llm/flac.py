@@ -11,18 +11,25 @@ Work is vectorised where the format allows: one pass finds the next set bit of e
 Rice code costs one step in Python and its value comes from array operations; fixed predictors are
 repeated sums; checksums are table look-ups for all bytes at once.
 
+The table of the registered query has no audio, so embeddings are made streams first, of seven makes
+that together reach fixed and linear predictors, several partitions, both Rice methods, escapes, the
+stereo modes, fixed and variable blocks, and a frame with a wrong checksum; what `write_blocks` wrote
+is read back, and one sample of each stream is sought.
+
 Defined results: a null stream has no rows. Bytes that aren't FLAC give one row with status
 not_flac. A frame that fails a checksum or ends early gives a row with status corrupt and no PCM,
 and decoding goes on at the next valid frame header; its first sample is that of its header if that
 is valid, else null. A stream without audio has no rows. stream_ok is null where there is no MD5
-sum, false if any frame is corrupt. Repeated rows are decoded alike; other columns don't matter. An
-empty table gives an empty result.
+sum, false if any frame is corrupt. Repeated rows are decoded alike; a stream of any length is decoded frame
+by frame in one task; where the id column has the name of an output column, that one gets an
+underscore; other columns don't matter. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +37,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import new_path
+
 # ---------------------------------------------------------------- checksums
 
 
@@ -200,12 +209,9 @@ def _restored(warm: np.ndarray, residual: np.ndarray, coefficients: np.ndarray |
         for j in range(order - 1, -1, -1):
             s = np.cumsum(s) + np.diff(warm, j)[-1]
         return np.concatenate([warm, s])
-    out, c, r = warm.tolist(), coefficients.tolist(), residual.tolist()
-    for e in r:
-        total = 0
-        for j in range(order):
-            total += c[j] * out[-1 - j]
-        out.append(e + (total >> shift))
+    out, c = warm.tolist(), coefficients[::-1].tolist()
+    for e in residual.tolist():  # each sample depends on the one before
+        out.append(e + (sum(map(mul, c, out[-order:])) >> shift))
     return np.array(out, np.int64)
 
 
@@ -371,7 +377,7 @@ def _put_subframe(w: _Writer, x: np.ndarray, depth: int, coefficients: tuple[lis
             for v in x.tolist():
                 w.put(v, depth)
             return
-        residual = np.array([int(x[t]) - (sum(int(a) * int(x[t - 1 - j]) for j, a in enumerate(c)) >> shift) for t in range(order, n)], np.int64)
+        residual = x[order:] - (sum(a * x[order - 1 - j : n - 1 - j] for j, a in enumerate(c)) >> shift)
         put_kind(31 + order)
         for v in x[:order].tolist():
             w.put(v, depth)
@@ -428,7 +434,8 @@ _BLOCK = "block int, first_sample long, n_samples int, channels int, bits int, s
 def decode_media(media: DataFrame, id_column: str = "media_id", data_column: str = "flac") -> DataFrame:
     """(the id, block, first_sample, n_samples, channels, bits, sample_rate, pcm, status, stream_ok) of each frame."""
     id_type = media.schema[id_column].dataType
-    schema = T.StructType([T.StructField(id_column, id_type), *T._parse_datatype_string(_BLOCK).fields])
+    named = lambda k: "_" + k if k == id_column.lower() else k
+    schema = T.StructType([T.StructField(id_column, id_type), *(T.StructField(named(f.name), f.dataType) for f in T._parse_datatype_string(_BLOCK).fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -445,7 +452,7 @@ def decode_media(media: DataFrame, id_column: str = "media_id", data_column: str
 
     def out(batch: pa.RecordBatch, ids: list[int], rows: list[dict]) -> pa.RecordBatch:
         kinds = {"block": pa.int32(), "first_sample": pa.int64(), "n_samples": pa.int32(), "channels": pa.int32(), "bits": pa.int32(), "sample_rate": pa.int32(), "pcm": pa.binary(), "status": pa.string(), "stream_ok": pa.bool_()}
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int32())), *(pa.array([r[k] for r in rows], t) for k, t in kinds.items())], [id_column, *kinds])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int32())), *(pa.array([r[k] for r in rows], t) for k, t in kinds.items())], schema.names)
 
     return media.select(id_column, data_column).mapInArrow(run, schema)
 
@@ -461,37 +468,74 @@ def seek(blocks: DataFrame, media_id: object, sample: int, id_column: str = "med
     return blocks.filter((F.col(id_column) == F.lit(media_id)) & (F.col("first_sample") <= at) & (F.col("first_sample") + F.col("n_samples") > at)).withColumn("skip", at - F.col("first_sample"))
 
 
-def embeddings_as_media(embeddings: DataFrame, block: int = 16) -> DataFrame:
-    """(vec_id, flac): each vector as a stream of two channels of 16 bits; null vectors give null."""
+def sought(blocks: DataFrame, targets: DataFrame, id_column: str = "media_id") -> DataFrame:
+    """`blocks` with skip: the place in the block of its stream's target (the id, sample), or null. An id has one target."""
+    out = blocks.join(targets.select(id_column, "sample"), id_column, "left")
+    at = F.col("sample") - F.col("first_sample")
+    return out.withColumn("skip", F.when((at >= 0) & (at < F.col("n_samples")), at)).drop("sample")
+
+
+#: How the streams of the registered query are encoded, by vec_id modulo their number. A stream of one channel has blocks of the same number of samples.
+MAKES: list[dict] = [
+    {"block": 16, "stereo": 10},
+    {"block": 32, "stereo": 8, "coefficients": ([1900, -950, 20], 12), "power": 2},
+    {"block": 16, "stereo": 9, "power": 1, "method": 1},
+    {"block": 32, "escape": True, "power": 2},
+    {"block": 16, "stereo": 10, "coefficients": ([700, 350], 12), "variable": True},
+    {"block": 64, "mono": True, "coefficients": ([500, 400, 300, 200], 12), "power": 3},
+    {"block": 16, "stereo": 8, "corrupt": True},
+]
 
-    @F.pandas_udf(T.BinaryType())
-    def make(v):
-        def one(x):
-            if x is None or len(x) < 2:
-                return None
-            s = np.clip(np.floor(np.asarray(x, np.float64) * 32767 + 0.5), -32768, 32767).astype(np.int64)
-            return encode(s[: len(s) // 2 * 2].reshape(-1, 2), block=block, stereo=10)
 
-        return v.map(one)
+def as_stream(x: np.ndarray, make: dict) -> bytes:
+    """A vector of -1..1 as a FLAC stream of 16 bits, of one channel if the make says so or the length is odd."""
+    make = dict(make)
+    mono, corrupt = make.pop("mono", False), make.pop("corrupt", False)
+    s = np.clip(np.floor(np.asarray(x, np.float64) * 32767 + 0.5), -32768, 32767).astype(np.int64)
+    data = bytearray(encode(s.reshape(-1, 1 if mono or len(s) % 2 else 2), **make))
+    if corrupt:
+        data[-1] ^= 1  # in the checksum of the last frame
+    return bytes(data)
+
+
+def embeddings_as_media(embeddings: DataFrame) -> DataFrame:
+    """(vec_id, flac): each vector as a stream of one of MAKES; null and empty vectors give null."""
+
+    @F.pandas_udf(T.BinaryType())
+    def make(v, n):
+        return v.combine(n, lambda x, i: None if x is None or not len(x) else as_stream(x, MAKES[int(i)]))
 
-    return embeddings.select("vec_id", make("embedding").alias("flac"))
+    return embeddings.select("vec_id", make("embedding", F.pmod("vec_id", F.lit(len(MAKES)))).alias("flac"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The embeddings table as a media column, decoded."""
-    media = embeddings_as_media(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-    return decode_media(media, "vec_id").select("vec_id", "block", "first_sample", "n_samples", "channels", F.hex("pcm").alias("pcm_hex"), "status", "stream_ok")
+    """The embeddings table as a media column, decoded, written as blocks and read back with one sample of each stream sought."""
+    embeddings = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    path = new_path(spark, "pcm")
+    write_blocks(decode_media(embeddings_as_media(embeddings), "vec_id"), path, "vec_id")
+    targets = embeddings.select("vec_id", F.pmod("vec_id", F.lit(32)).cast("long").alias("sample")).distinct()
+    found = sought(spark.read.parquet(path), targets, "vec_id")
+    return found.select("vec_id", "block", "first_sample", "n_samples", "channels", F.hex("pcm").alias("pcm_hex"), "status", "stream_ok", "skip")
 
 
 ORACLE = r"""
-WITH samples AS (
-  SELECT vec_id, t - 1 AS t,
+WITH makes AS (
+  SELECT vec_id, embedding, CASE WHEN vec_id % 7 = 5 THEN 1 ELSE 2 END AS channels, vec_id % 7 = 6 AS broken,
+         CASE vec_id % 7 WHEN 1 THEN 32 WHEN 3 THEN 32 WHEN 5 THEN 64 ELSE 16 END AS size
+  FROM embeddings
+), samples AS (
+  SELECT vec_id, channels, broken, size, (t - 1) // channels // size AS block, t, len(embedding) // channels AS total,
          CAST(least(greatest(floor(CAST(embedding[t] AS DOUBLE) * 32767.0e0 + 0.5e0), -32768), 32767) AS BIGINT) AS s
-  FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS t FROM embeddings)
+  FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS t FROM makes)
+), blocks AS (
+  SELECT vec_id, channels, size, broken, block, block * size AS first_sample, count(*) // channels AS n_samples,
+         broken AND block = (max(total) - 1) // size AS corrupt,
+         string_agg(printf('%04X', ((s & 255) << 8) | ((s >> 8) & 255)), '' ORDER BY t) AS pcm_hex
+  FROM samples GROUP BY vec_id, channels, size, broken, block
 )
-SELECT vec_id, CAST(t // 32 AS INTEGER) AS block, CAST(t // 32 * 16 AS BIGINT) AS first_sample,
-       CAST(count(*) // 2 AS INTEGER) AS n_samples, 2 AS channels,
-       string_agg(printf('%04X', ((s & 255) << 8) | ((s >> 8) & 255)), '' ORDER BY t) AS pcm_hex,
-       'ok' AS status, true AS stream_ok
-FROM samples GROUP BY vec_id, t // 32
+SELECT vec_id, CAST(block AS INTEGER) AS block, CAST(first_sample AS BIGINT) AS first_sample, CAST(n_samples AS INTEGER) AS n_samples,
+       CAST(channels AS INTEGER) AS channels, CASE WHEN NOT corrupt THEN pcm_hex END AS pcm_hex,
+       CASE WHEN corrupt THEN 'corrupt' ELSE 'ok' END AS status, NOT broken AS stream_ok,
+       CASE WHEN vec_id % 32 >= first_sample AND vec_id % 32 < first_sample + n_samples THEN CAST(vec_id % 32 - first_sample AS BIGINT) END AS skip
+FROM blocks
 """
