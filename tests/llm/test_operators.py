@@ -124,6 +124,16 @@ def test_line_dedup_equals_brute_force(spark, batches, fanout):
     got = line_dedup.dedup_lines(table(spark, [doc(*x) for x in rows]), batches, fanout).collect()
     assert sorted([(x["doc_id"], x["text"]) for x in got], key=str) == brute_lines(rows)
     assert all(x["n_chars"] == len(x["text"]) for x in got)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]  # runs are dropped
+
+
+def test_line_dedup_of_repeated_rows(spark):
+    """One row of a doc_id and text keeps the lines, rows of blank lines all stay."""
+    df = table(spark, [doc(1, "a\nb")] * 50 + [doc(1, "a\nc")] * 20 + [doc(2, " \n")] * 3 + [doc(3, None)] * 3 + [doc(None, "a\nd")] * 5)
+    got = line_dedup.dedup_lines(df, 2).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in got if r["doc_id"] != 1) == sorted([("2", " \n")] * 3 + [("3", "None")] * 3 + [("None", "d")])
+    lines = [x for r in got if r["doc_id"] == 1 for x in r["text"].split("\n")]
+    assert sorted(lines) == ["a", "b", "c"]
 
 
 def test_line_dedup_odd_rows(spark):
@@ -523,6 +533,34 @@ def test_placement_equals_brute_force():
         assert sharding.place(sizes, 5, 0.02).tolist() == brute_place(sizes, 5, 0.02)
 
 
+@pytest.mark.parametrize("grain", [4, 1024])
+def test_sharding_query_equals_brute_force(spark, grain):
+    """Every group by its own vector, and the dust (there is some with few grains) by bundles."""
+    r = random.Random(7)
+    rows = [doc(i, " ".join(r.choice(WORDS) for _ in range(int(r.paretovariate(0.8)) * 3)), r.choice(["en", "fr"]), r.choice(["hot", "hot", "hot", "a", "b", None])) for i in range(800)]
+    out = sharding.shard_documents(table(spark, rows), shards=5, grain=grain).collect()
+    text = {i: t for i, t, *_ in rows}
+    sizes: dict = {}
+    for x in out:
+        assert x["n_bytes"] == len(text[x["doc_id"]].encode()) and x["n_tokens"] == len(text[x["doc_id"]].split())
+        own = sizes.setdefault(x["group_id"], np.zeros(3))
+        own += x["n_bytes"], x["n_tokens"], 1
+    total = sum(sizes.values())
+    units: dict = {}
+    for g, v in sizes.items():
+        alone = bool((v / total).max() >= 1 / (grain * 5))
+        key = (alone, g if alone else g % (5 * grain))
+        units[key] = units.get(key, 0) + v
+    assert grain == 1024 or any(not a for a, _ in units)
+    keys = sorted(units)
+    v = np.array([units[k] for k in keys])
+    by = sharding.order(v)
+    where = dict(zip([keys[i] for i in by], brute_place(v[by], 5, sharding.SLACK)))
+    for x in out:
+        g = x["group_id"]
+        assert x["shard"] == where[(True, g) if (True, g) in where else (False, g % (5 * grain))]
+
+
 def test_sharding_odd_rows(spark):
     rows = sharding.shard_documents(clashing(table(spark, odd_rows())), shards=3).collect()
     assert len(rows) == len(odd_rows()) and all(r["shard"] in (0, 1, 2) for r in rows)
@@ -554,6 +592,33 @@ def test_packing_equals_brute_force(lengths):
     assert packing.pack(np.array(lengths, np.int64), 64, 0.9).tolist() == brute_pack(lengths, 64, 0.9)
 
 
+def test_packing_query_equals_brute_force(spark):
+    """All pools recomputed from the rows' own pool numbers; repeated rows are spread over pools."""
+    r = random.Random(8)
+    rows = [doc(i, " ".join(r.choice(WORDS) for _ in range(r.randint(0, 130)))) for i in range(150)] + [doc(1000, " ".join(WORDS[:40]))] * 60
+    found = packing.pack_documents(table(spark, rows), capacity=64, pool_tokens=1500).collect()
+    pools: dict = {}
+    for x in found:
+        pools.setdefault(x["pool"], []).append(x)
+    assert len({x["pool"] for x in found if x["doc_id"] == 1000}) > 3
+    for own in pools.values():
+        lengths = sorted((x["n_tokens"] for x in own), reverse=True)
+        got: dict = {}
+        for x in own:
+            got.setdefault(x["sequence"], []).append(x["n_tokens"])
+        want: dict = {}
+        for n, at in zip(lengths, brute_pack(lengths, 64, packing.FILL)):
+            want.setdefault(at, []).append(n)
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    total = {i: 0 for i, *_ in rows}
+    for i, t, *_ in rows:
+        total[i] += len(t.split())
+    packed = dict.fromkeys(total, 0)
+    for x in found:
+        packed[x["doc_id"]] += x["n_tokens"]
+    assert packed == total
+
+
 def test_packing_holds_every_token_once(spark):
     df = clashing(table(spark, odd_rows()))
     rows = packing.pack_documents(df, capacity=100, pool_tokens=5000).collect()
@@ -623,6 +688,40 @@ def test_flac_odd_rows_and_seek(spark, tmp_path):
     [hit] = flac.seek(spark.read.parquet(str(tmp_path / "pcm")), 1, 70).collect()
     assert (hit["first_sample"], hit["skip"]) == (64, 6) and int.from_bytes(hit["pcm"][12:14], "little") == 210
     assert flac.decode_media(media.limit(0)).count() == 0
+    named = media.filter("media_id <> 2").select(flac.F.col("media_id").alias("Block"), "flac", flac.F.lit(1).alias("pcm"))
+    out = flac.decode_media(named, "Block")
+    assert out.columns[:2] == ["Block", "_block"] and out.count() == 10
+
+
+def test_flac_media_of_the_query(spark, sf):
+    """Each make decodes to its vector; odd lengths keep their last value."""
+    g = np.random.default_rng(2)
+    for n in (1, 2, 31, 64, 500):
+        x = np.clip(g.normal(size=n) * 0.4, -1, 1)
+        want = flac.pcm_bytes(np.clip(np.floor(x * 32767 + 0.5), -32768, 32767).astype(np.int64).reshape(-1, 1), 16)
+        for make in flac.MAKES:
+            rows = flac.decode(flac.as_stream(x, make))
+            if make.get("corrupt"):
+                assert [r["status"] for r in rows][-1] == "corrupt" and want.startswith(b"".join(r["pcm"] for r in rows[:-1]))
+            else:
+                assert b"".join(r["pcm"] for r in rows) == want and all(r["stream_ok"] for r in rows)
+    kinds = {flac.decode(flac.as_stream(np.sin(np.arange(256) / 9) * 0.9, m))[0]["status"] for m in flac.MAKES}
+    assert kinds == {"ok"}
+
+
+def test_llm_queries_equal_sql(spark, sf):
+    import duckdb
+
+    from seekspark.llm import registry
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    for name, sql in registry.ORACLE_SQL.items():
+        got, want = registry.QUERIES[name](spark, sf).toPandas(), con.sql(sql).df()
+        assert sorted(got.columns) == sorted(want.columns)
+        norm = lambda df: sorted(map(str, df[sorted(df.columns)].astype(object).where(df[sorted(df.columns)].notna(), None).values.tolist()))
+        assert len(got) == len(want) and [x.replace(".0", "") for x in norm(got)] == [x.replace(".0", "") for x in norm(want)], name
 
 
 # ---- 8
