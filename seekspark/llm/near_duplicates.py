@@ -14,17 +14,21 @@
    n-gram sets (blocked 0/1 matrix products). No bucket, partner list or component is capped: a
    large one is only more parts and blocks.
 
-The result has the pairs of classes and the members of each: a row for each verified pair of classes,
-named by the smallest doc_id of each (class_a <> class_b), and a row of similarity 1.0 from that doc_id
-to each further member of a class (class_a = class_b). No link between different texts is lost, and
-joining the pairs with the members on both sides gives the pairs of all documents (`document_pairs`),
-whose number is quadratic in a group's.
+The registered query (`near_classes`) has one row for each document: the smallest doc_id of the documents
+that links connect (class_id) and of those with the same n-grams (copy_of), how many others have the same
+(n_copies), and how many different n-gram sets are linked to its own (n_links). Links are counted, and connected
+to stars, in the tasks that verify them, so what is written grows with the documents although links
+are quadratic in a group of near copies. `similar_pairs` gives the links themselves: a row for each
+verified pair of classes, named by the smallest doc_id of each (class_a <> class_b), and a row of similarity 1.0 from
+that doc_id to each further member of a class (class_a = class_b). No link between different texts is
+lost, and joining the pairs with the members on both sides gives the pairs of all documents
+(`document_pairs`).
 
 Defined results: a null or empty text (or one of white space only) has no n-grams and no partners;
 a text of fewer than n words has one n-gram, of all its words; the sets are those of whole texts,
-however long; rows with a null doc_id cannot be named in a pair and have no partners; rows that
+however long; rows with a null doc_id cannot be named, have no partners and no row; rows that
 repeat a doc_id and text are one document; a doc_id with several texts is a member of the class of
-each, and may name both classes of a pair; pairs at the threshold, and equal ones, all count.
+each, with a row for each, and may name both classes of a pair; pairs at the threshold, and equal ones, all count.
 Other columns are not read. Empty tables give an empty result.
 """
 
@@ -242,8 +246,23 @@ def _block_pairs(nodes: DataFrame, threshold: float, recall: float) -> DataFrame
     return _met(nodes, ["root", "block"]).mapInArrow(pair, "root binary, i int, j int").distinct()
 
 
-def node_pairs(docs: DataFrame, signed: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """Verified pairs (node_a, node_b, doc_a, doc_b, similarity) of different nodes, with the smallest doc_id of each; `signed` are the written signatures."""
+def _connected(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of m places the least one that the pairs (i, j) connect it with."""
+    label = np.arange(m)
+    while True:
+        before, low = label.copy(), np.minimum(label[i], label[j])
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def node_pairs(docs: DataFrame, signed: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, summary: bool = False) -> DataFrame:
+    """Verified pairs (node_a, node_b, doc_a, doc_b, similarity) of different nodes, with the smallest doc_id of each; `signed` are the written signatures.
+
+    As a `summary`: (node, links, other), the number of links that a task found for a node and another node that they connect it with.
+    """
     nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("grams").alias("grams"), F.first("bands").alias("bands"), F.first("prints").alias("prints")), "nodes")
     found = components(links(nodes, threshold, recall))
     sized = found.withColumnRenamed("id", "node").join(nodes.select("node", "doc_id", "grams"), "node").withColumn("weight", F.col("grams") + NODE_WEIGHT)
@@ -274,12 +293,18 @@ def node_pairs(docs: DataFrame, signed: DataFrame, n: int = N, threshold: float
             first = sum(x[0] == i for x in own) if i != j else 0
             if len(own) > 1 and first < len(own):
                 a, b, similarity = _pairs(sets, first, threshold)
+                if summary:
+                    nodes, label = pa.array([x[1] for x in own], pa.binary()), _connected(len(own), a, b)
+                    links = np.bincount(np.concatenate([a, b]), minlength=len(own))
+                    some = pa.array(np.flatnonzero(links))
+                    yield pa.RecordBatch.from_arrays([nodes.take(some), pa.array(links).take(some), nodes.take(pa.array(label)).take(some)], ["node", "links", "other"])
+                    continue
                 names, nodes = np.array([x[2] for x in own], np.int64), pa.array([x[1] for x in own], pa.binary())
                 yield pa.RecordBatch.from_arrays([nodes.take(pa.array(a)), nodes.take(pa.array(b)), pa.array(names[a]), pa.array(names[b]), pa.array(similarity)], ["node_a", "node_b", "doc_a", "doc_b", "similarity"])
         trim()
 
     work = work.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "block", "node")
-    return work.mapInArrow(verify, "node_a binary, node_b binary, doc_a long, doc_b long, similarity double")
+    return work.mapInArrow(verify, "node binary, links long, other binary" if summary else "node_a binary, node_b binary, doc_a long, doc_b long, similarity double")
 
 
 def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -316,8 +341,8 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall:
     lean(docs.sparkSession)
     own = only(docs, ["doc_id", "text"])
     signed = written(signatures(own, n, threshold, recall), "signatures")
-    pairs = node_pairs(own, signed, n, threshold, recall)
-    found = components(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))).toDF("node", "root")
+    found = node_pairs(own, signed, n, threshold, recall, summary=True)
+    found = components(found.select(F.col("node").alias("a"), F.col("other").alias("b"))).toDF("node", "root")
     texts = signed.select("doc_id", "th", "node").distinct().join(found, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root"))
     first = texts.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     extra = texts.join(first, "root").filter("doc_id <> first.doc_id OR th <> first.th").select("doc_id", F.col("th").alias(th := spare_name(docs, "th")))
@@ -325,5 +350,22 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall:
     return docs.withColumn(th, F.xxhash64("text")).join(extra, ["doc_id", th], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def near_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(doc_id, class_id, copy_of, n_copies, n_links) of each document, as the module's text says; without an n-gram it is a class of its own."""
+    lean(docs.sparkSession)
+    docs = only(docs, ["doc_id", "text"])
+    signed = written(signatures(docs, n, threshold, recall), "signatures")
+    found = written(node_pairs(docs, signed, n, threshold, recall, summary=True), "links")
+    roots = components(found.select(F.col("node").alias("a"), F.col("other").alias("b"))).toDF("node", "root")
+    members = signed.select("doc_id", "node").distinct()
+    sets = members.groupBy("node").agg(F.min("doc_id").alias("copy_of"), (F.count(F.lit(1)) - 1).alias("n_copies"))
+    sets = sets.join(found.groupBy("node").agg(F.sum("links").alias("n_links")), "node", "left").join(roots, "node", "left")
+    sets = written(sets.withColumn("root", F.coalesce("root", "node")), "sets")
+    sets = sets.join(sets.groupBy("root").agg(F.min("copy_of").alias("class_id")), "root")
+    out = members.join(sets, "node").select("doc_id", "class_id", "copy_of", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    bare = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct().join(signed.select("doc_id"), "doc_id", "left_anti")
+    return out.union(bare.select("doc_id", "doc_id", "doc_id", F.lit(0), F.lit(0)))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_pairs(documents(spark, sf_dir))
+    return near_classes(documents(spark, sf_dir))

@@ -189,23 +189,39 @@ def test_jaccard_join_recall_and_precision(spark, monkeypatch, block, part):
     assert len(got) >= 0.95 * len(want)
 
 
-def test_jaccard_query_names_classes_and_members(spark, tmp_path):
-    """Every row by its own definition: pairs of different n-gram sets by their smallest doc_ids, and each further member of a set."""
+@pytest.mark.parametrize("block,part", [(1 << 20, 4096), (600, 5)])
+def test_jaccard_query_equals_brute_force(spark, tmp_path, monkeypatch, block, part):
+    """Classes, copies and links of every document."""
+    monkeypatch.setattr(near_duplicates, "BLOCK_GRAMS", block)
+    monkeypatch.setattr(near_duplicates, "PART", part)
     rows = near_rows(3)
-    rows += [(len(rows) + k, t) for k, (_, t) in enumerate(rows[:40] + rows[:20])]
-    rows += [(0, rows[30][1]), (1, rows[35][1])]  # doc_ids with two texts
+    rows += [(len(rows) + k, t) for k, (_, t) in enumerate(rows[:40] + rows[:20])]  # further copies, some of texts with near copies
+    rows += [(0, rows[30][1]), (1, rows[35][1]), (0, rows[0][1]), (900, ""), (901, None), (None, "a b c d")]  # doc_ids with two texts, a repeated row, no n-grams
     spark.createDataFrame([doc(*x) for x in rows], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     n, sets = near_duplicates.N, {}
     for i, t in rows:
-        w = t.lower().split()
-        sets.setdefault(frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) or frozenset([tuple(w)]), set()).add(i)
-    members = {(min(own), i) for own in sets.values() for i in own if i != min(own)}
-    near = {(*sorted((min(sets[x]), min(sets[y]))), round(s, 9)) for x, y in itertools.combinations(sets, 2) if (s := len(x & y) / len(x | y)) >= near_duplicates.THRESHOLD}
-    got = near_duplicates.query(spark, str(tmp_path)).collect()
-    assert {(r["doc_a"], r["doc_b"]) for r in got if r["class_a"] == r["class_b"]} == members
-    found = {(r["doc_a"], r["doc_b"], round(r["similarity"], 9)) for r in got if r["class_a"] != r["class_b"]}
-    assert found <= near and len(found) >= 0.95 * len(near)
-    assert len({r["class_a"] for r in got} | {r["class_b"] for r in got}) <= len(sets)
+        if i is not None and t:
+            w = t.lower().split()
+            sets.setdefault(frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) or frozenset([tuple(w)]), set()).add(i)
+    links, root = dict.fromkeys(sets, 0), {x: x for x in sets}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in itertools.combinations(sets, 2):
+        if len(x & y) / len(x | y) >= near_duplicates.THRESHOLD:
+            links[x] += 1
+            links[y] += 1
+            root[top(x)] = top(y)
+    groups: dict = {}
+    for x in sets:
+        groups.setdefault(top(x), set()).update(sets[x])
+    want = [(i, min(groups[top(x)]), min(own), len(own) - 1, links[x]) for x, own in sets.items() for i in own] + [(900, 900, 900, 0, 0), (901, 901, 901, 0, 0)]
+    got = [tuple(r) for r in near_duplicates.query(spark, str(tmp_path)).collect()]
+    assert sorted(x[:1] + x[2:4] for x in got) == sorted(x[:1] + x[2:4] for x in want)
+    assert len(set(got) & set(want)) >= 0.95 * len(want) and sum(x[4] for x in got) >= 0.97 * sum(x[4] for x in want)
 
 
 def test_jaccard_near_texts_of_one_doc_id_name_their_other_documents(spark):
@@ -237,6 +253,9 @@ def test_jaccard_odd_rows(spark):
     kept = near_duplicates.keep_one(df)
     assert kept.columns == df.columns and kept.count() == df.count() - 1
     assert near_duplicates.similar_pairs(table(spark, [])).count() == 0
+    classes = {tuple(r) for r in near_duplicates.near_classes(df).collect()}
+    assert classes == {(1, 1, 1, 1, 0), (9, 1, 1, 1, 0), *((i, i, i, 0, 0) for i in (2, 3, 4, 5, 6))}
+    assert near_duplicates.near_classes(table(spark, [])).count() == 0
 
 
 def test_banding():
