@@ -13,7 +13,8 @@ features, so the model also serves pages without such tags.
 
 Defined results: a null page gives null text, an empty one an empty text. Without a labelled page
 in the sample everything but scripts, styles and the head is kept. A page that breaks off is read to
-its end. Equal pages give equal text; other columns aren't read. An empty table gives an empty
+its end, and a very long one is read whole. Equal pages, and so repeated rows, give equal text; of equally probable
+labellings the one that drops is taken; other columns aren't read. An empty table gives an empty
 result.
 """
 

@@ -16,7 +16,8 @@ Kept are documents with a quality score of at least 0 and a toxicity score below
 Defined results: a null text, or one without a token, has null scores and isn't kept. Labels that
 are null or without a document don't train; of several labels of a doc_id the least counts, of
 several texts each trains. Without two classes in the sample a label isn't fitted: its score is
-+1 for quality, -1 for toxicity. Repeated rows are scored alike. Extra columns aren't read. An
++1 for quality, -1 for toxicity. Very long texts are scored whole. Repeated rows are scored alike; scores of exactly 0
+count as above. Extra columns aren't read. An
 empty table gives an empty result.
 """
 

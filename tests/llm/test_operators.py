@@ -47,12 +47,8 @@ def vocabulary():
 def reference(vocabulary):
     import tiktoken
 
-    import sys
-
-    sys.path.insert(0, "/opt/py313/lib/python3.13/site-packages")
-    import public_tokenizers as P
-
-    return tiktoken.Encoding("test", pat_str=P.PATTERN, mergeable_ranks=vocabulary.ranks, special_tokens={})
+    pattern = "'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+"
+    return tiktoken.Encoding("test", pat_str=pattern, mergeable_ranks=vocabulary.ranks, special_tokens={})
 
 
 PARTS = ["'", "s", "re", " ", "  ", "\n", "\t", "a", "é", " ", " ", "　", "1", "!", "'ll", "ß", "中", "😀", "\x1c", "$$$", "the", "\r", "''", "Ê", "<|endoftext|>"]
@@ -570,6 +566,44 @@ def test_dual_descent_reaches_the_optimum():
     assert primal(v) <= best + 1e-2
 
 
+def plain_places(text):
+    """The n-grams of one text by a walk over its bytes."""
+    kind = lambda b: 0 if b in b"\t\n\x0b\x0c\r " else 1 if 97 <= b <= 122 or 65 <= b <= 90 or b >= 128 else 2 if 48 <= b <= 57 else 3
+    tokens = [bytes(g) for k, g in itertools.groupby(text.lower().encode(), kind) if k]
+    name = lambda t: int(grams.span_hashes(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)]))[0])
+    mixed = lambda x: int(grams.mix(np.array([x % 2**64], np.uint64))[0])
+    top, repeat = 64 - quality.BITS, int(quality._REPEAT)
+    out = {name(t) >> top for t in tokens}
+    out |= {(name(t[: quality.PREFIX]) ^ repeat) >> top for t in tokens if len(t) > quality.PREFIX}
+    out |= {(repeat if a == b else mixed(name(a) * 3 + name(b))) >> top for a, b in zip(tokens, tokens[1:])}
+    return sorted(out)
+
+
+def test_quality_features_ratios_and_scores_equal_brute_force(spark, sf):
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(40).collect()] + ["", "  ", "a", "Ünï 12 12 !!", "x" * 3000, "\n".join(["same words"] * 500)]
+    rows = quality.features(texts)
+    assert [r.tolist() for r in rows] == [plain_places(t) for t in texts]
+    y = np.array([1.0 if i % 3 else -1.0 for i in range(len(rows))])
+    ratio = quality.log_count_ratio(rows, y, 1 << quality.BITS, 1.0, 2)
+    p, q = ({}, {})
+    for r, k in zip(rows, y):
+        for x in r.tolist():
+            (p if k > 0 else q)[x] = (p if k > 0 else q).get(x, 0) + 1
+    size = 1 << quality.BITS
+    total = sum(p.values()) + size, sum(q.values()) + size
+    for x in list({*p, *q})[:3000]:
+        n = p.get(x, 0) + q.get(x, 0)
+        want = np.log((p.get(x, 0) + 1) / total[0]) - np.log((q.get(x, 0) + 1) / total[1]) if n >= 2 else 0.0
+        assert abs(ratio[x] - want) < 1e-9
+    model = quality.Model.fitted(rows, [[int(k > 0) for k in y], [i % 2 for i in range(len(rows))]])
+    df = table(spark, [doc(i, t) for i, t in enumerate(texts)])
+    for r in quality.scored(df, model).collect():
+        own = plain_places(texts[r["doc_id"]])
+        want = [sum(float(model.weights[k][x]) for x in own) + model.bias[k] for k in (0, 1)] if own else [None, None]
+        got = [r["quality_score"], r["toxicity_score"]]
+        assert got == want if None in want else np.allclose(got, want, atol=1e-6)
+
+
 def test_quality_odd_rows(spark):
     labels = table(spark, [(1, 1, 0), (4, 0, 0), (4, 1, 1), (None, 1, 1), (77, 0, 1), (5, None, None)], "doc_id long, quality int, toxic int")
     out = quality.keep_good(clashing(table(spark, odd_rows())), labels).collect()
@@ -818,6 +852,71 @@ def test_html_held_out(spark, sf):
     assert right >= 0.9 * len(pages[150:])
 
 
+def test_html_features_equal_a_walk_of_each_subtree(spark, sf):
+    """Subtree, sibling and ancestor statistics of every element, each counted by itself."""
+    pages = [r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").orderBy("page_id").limit(25).collect()] + ["<div><p>a b, c<p>d.</div>", "plain"]
+    odds = {"nav": -1.5, "content": 2.0, "post": 0.5, "footer": -2.0}
+    at = {n: k for k, n in enumerate(html.FEATURES)}
+    for p in map(html.Page, pages):
+        f, n = p.features(odds), len(p.tag)
+        line = [[i] for i in range(n)]
+        for i in range(1, n):
+            line[i] = [i, *line[p.parent[i]]]
+        under = [[j for j in range(n) if i in line[j]] for i in range(n)]
+        lengths = []
+        for i in range(n):
+            own = set(under[i])
+            lengths.append(sum(len(t.strip()) for k, t in p.pieces if k in own))
+        whole = max(1, lengths[0])
+        for i in range(1, n):
+            own, kids = set(under[i]), [j for j in range(1, n) if p.parent[j] == p.parent[i]]
+            text = [(k, t) for k, t in p.pieces if k in own]
+            before, found = 0, 0
+            for k, t in p.pieces:
+                if k in own:
+                    found = before
+                    break
+                before += len(t.strip())
+            token = lambda j: sum(odds.get(t, 0.0) for t in p.tokens[j])
+            k = kids.index(i)
+            want = {
+                "depth": len(line[i]) - 1, "children": sum(p.parent[j] == i for j in range(n)), "siblings": len(kids), "place": (k + 1) / len(kids), "before": found / whole,
+                "length": np.log1p(lengths[i]), "own": np.log1p(sum(len(t.strip()) for j, t in text if j == i)),
+                "links": sum(len(t.strip()) for j, t in text if any(p.tag[a] == "a" for a in line[j])) / max(1, lengths[i]), "density": len(own) / max(1, lengths[i]), "elements": np.log1p(len(own)),
+                "marks": sum(c in ".,;:!?" for _, t in text for c in t) / max(1, lengths[i]), "words": sum(t.count(" ") + 1 for _, t in text if t.strip()) / max(1, lengths[i]),
+                "paragraphs": sum(p.tag[j] == "p" for j in own) / len(own), "items": sum(p.tag[j] == "li" for j in own) / len(own), "same": sum(p.tag[j] == p.tag[i] for j in kids),
+                "token": token(i), "above": sum(token(a) for a in line[i] if a), "share": lengths[i] / whole,
+                "next_length": np.log1p(lengths[kids[k + 1]] if k + 1 < len(kids) else 0), "previous_length": np.log1p(lengths[kids[k - 1]] if k else 0),
+            }
+            for name, v in want.items():
+                assert abs(f[i, at[name]] - v) < 1e-9, (name, i)
+
+
+def test_html_trees_equal_a_walk_of_each_row():
+    """Every leaf by its path; each cut of the first tree's root is the best of all cuts."""
+    g = np.random.default_rng(4)
+    x = np.round(g.normal(size=(400, 5)), 1)
+    y = ((x[:, 0] > 0.3) ^ (x[:, 2] > 0) | (g.random(400) < 0.05)).astype(float)
+    m = html.Boosted.fitted(x, y, trees=6, depth=3)
+    for row, p in zip(x, m.probability(x)):
+        f = m.base
+        for feature, cut, leaf in zip(m.feature, m.cut, m.leaf):
+            node, place = 0, 0
+            for _ in range(3):
+                right = row[feature[node]] > cut[node]
+                node, place = 2 * node + 1 + right, 2 * place + right
+            f += leaf[place]
+        assert abs(1 / (1 + np.exp(-f)) - p) < 1e-12
+    grad, hess = y - y.mean(), y.mean() * (1 - y.mean())
+    gain = lambda own: grad[own].sum() ** 2 / (hess * own.sum() + 1)
+    def value(j, c):
+        left = x[:, j] <= c
+        return -1 if min(left.sum(), (~left).sum()) < html.LEAST else gain(left) + gain(~left)
+    best = max(value(j, c) for j in range(5) for c in np.unique(np.quantile(x[:, j], np.linspace(0, 1, html.BINS + 1)[1:-1])))
+    assert abs(value(m.feature[0][0], m.cut[0][0]) - best) < 1e-9
+    assert ((m.probability(x) > 0.5) == (y > 0.5)).mean() > 0.75
+
+
 def test_html_decoding_is_the_best_consistent_labelling():
     r = random.Random(2)
     for _ in range(150):
