@@ -162,11 +162,13 @@ def _slope(x: np.ndarray) -> np.ndarray:
     return ((9 - x * x) / (9 + 3 * x * x)) ** 2
 
 
+_LOW, _HIGH = np.float32(-3), np.float32(3)
+
+
 def _tanh_in_place(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """`x` becomes its _tanh; a and b have its shape."""
-    np.maximum(x, np.float32(-3), out=x)
-    np.minimum(x, np.float32(3), out=x)
-    np.multiply(x, x, out=a)
+    np.clip(x, _LOW, _HIGH, out=x)
+    np.square(x, out=a)
     a += np.float32(3)  # x (27 + x x) / (9 (3 + x x)) is x / 9 + (8 / 3) x / (3 + x x)
     np.divide(np.float32(8 / 3), a, out=b)
     b += np.float32(1 / 9)
@@ -192,22 +194,23 @@ class Tagger:
     def emissions(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """(tags, length, windows) for padded windows of classes (windows, length); `sizes` are their true lengths."""
         n, length = x.shape
-        h, U = self.h, self.p["U"]
+        h = self.h
         even = bool((sizes == length).all())
         back = np.arange(length)[::-1] if even else np.maximum(sizes[:, None] - 1 - np.arange(length), 0)
         steps = np.ascontiguousarray(np.stack([x, x[:, back] if even else np.take_along_axis(x, back, 1)]).transpose(2, 0, 1))
-        out, Vt = np.empty((2, TAGS, length, n), np.float32), np.ascontiguousarray(self.p["V"].transpose(0, 2, 1))
-        state, cell = np.zeros((2, n, h), np.float32), np.zeros((2, n, h), np.float32)
-        z, t, t2 = (np.empty((2, n, 4 * h), np.float32) for _ in range(3))
-        u, u1, u2 = (np.empty((2, n, h), np.float32) for _ in range(3))
-        # gates are kept as 1 + tanh(x / 2), twice their value
+        # windows are the last axis, so that each gate lies together; gates are kept as 1 + tanh(x / 2), twice their value
         half = np.concatenate([np.full(3 * h, 0.5), np.ones(h)]).astype(np.float32)
-        table, U, Vt = self.table * half, U * half * np.float32(0.5), Vt * np.float32(0.5)
-        gates, keep, enter, cand, leave = z[:, :, : 3 * h], z[:, :, h : 2 * h], z[:, :, :h], z[:, :, 3 * h :], z[:, :, 2 * h : 3 * h]
+        table = np.ascontiguousarray((self.table * half).transpose(0, 2, 1))  # (2, 4h, classes)
+        U = np.ascontiguousarray((self.p["U"] * half * np.float32(0.5)).transpose(0, 2, 1))
+        V = np.ascontiguousarray((self.p["V"] * np.float32(0.5)).transpose(0, 2, 1))
+        out, state, cell = np.empty((2, TAGS, length, n), np.float32), np.zeros((2, h, n), np.float32), np.zeros((2, h, n), np.float32)
+        z, t, t2 = (np.empty((2, 4 * h, n), np.float32) for _ in range(3))
+        u, u1, u2 = (np.empty((2, h, n), np.float32) for _ in range(3))
+        gates, enter, keep, leave, cand = z[:, : 3 * h], z[:, :h], z[:, h : 2 * h], z[:, 2 * h : 3 * h], z[:, 3 * h :]
         for k in range(length):
-            np.matmul(state, U, out=z)
+            np.matmul(U, state, out=z)
             for d in (0, 1):
-                np.take(table[d], steps[k, d], axis=0, out=t[d], mode="clip")
+                np.take(table[d], steps[k, d], axis=1, out=t[d], mode="clip")
             z += t
             _tanh_in_place(z, t, t2)
             gates += 1
@@ -218,7 +221,7 @@ class Tagger:
             np.copyto(u, cell)
             _tanh_in_place(u, u1, u2)
             np.multiply(u, leave, out=state)
-            np.matmul(Vt, state.transpose(0, 2, 1), out=out[:, :, k])
+            np.matmul(V, state, out=out[:, :, k])
         e, rear = out
         e += rear[:, ::-1] if even else np.take_along_axis(rear, back.T[None], 1)
         e += self.p["o"][:, None, None]
