@@ -5,9 +5,6 @@ Every query reads its whole tables. Scores are rounded on both sides.
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -146,6 +143,19 @@ _POSTINGS = r"""+tokens AS (
 )"""
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
+def _index(spark, d) -> keyword.Index:
+    """The stored index of a folder's records, written at the first search of a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _stored:
+        root = store.new_path(spark, "index")
+        keyword.save(keyword.build(corpus.records(spark, d)), root)
+        _stored[key] = root
+    return keyword.load(spark, _stored[key])
+
+
 def _passages(spark, d):
     return corpus.passages(spark, d)
 
@@ -159,30 +169,30 @@ def tokenize(spark, d):
 
 @query(_POSTINGS + " SELECT storage_key, term, f FROM postings")
 def keyword_postings(spark, d):
-    return keyword.build(corpus.records(spark, d)).postings
+    return _index(spark, d).postings.select("storage_key", "term", "f")
 
 
 @query(_POSTINGS + f" SELECT query_id, storage_key, score, stage, rank FROM keyword_lane WHERE rank <= {K}")
 def keyword_search(spark, d):
-    r = corpus.records(spark, d)
-    return keyword.search(keyword.build(r), _passages(spark, d), K, digits=6).select("query_id", "storage_key", "score", "stage", "rank")
+    return keyword.search(_index(spark, d), _passages(spark, d), K, digits=6).select("query_id", "storage_key", "score", "stage", "rank")
 
 
 @query(_POSTINGS + " SELECT query_id, storage_key, round(score, 6) AS score, matched FROM scored")
 def keyword_bm25_any(spark, d):
-    return keyword.bm25(keyword.build(corpus.records(spark, d)), keyword.query_terms(_passages(spark, d))).withColumn("score", F.round("score", 6))
+    return keyword.bm25(_index(spark, d), keyword.query_terms(_passages(spark, d))).withColumn("score", F.round("score", 6))
 
 
 @query(_POSTINGS + " SELECT query_id, storage_key, round(CASE WHEN score <= 0 THEN 0 ELSE score / (score + 10) END, 6) AS confidence FROM scored")
 def keyword_confidence(spark, d):
-    s = keyword.bm25(keyword.build(corpus.records(spark, d)), keyword.query_terms(_passages(spark, d)))
+    s = keyword.bm25(_index(spark, d), keyword.query_terms(_passages(spark, d)))
     return s.select("query_id", "storage_key", F.round(keyword.confidence(F.col("score")), 6).alias("confidence"))
 
 
-@query(_POSTINGS + ", vocabulary AS (SELECT DISTINCT term FROM postings) SELECT p_partkey, term FROM part, vocabulary WHERE starts_with(term, lower(substring(p_name, 1, 4)))")
+@query(_POSTINGS + ", vocabulary AS (SELECT DISTINCT term FROM postings), asked AS (SELECT item_id AS query_id, substring(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')[1], 1, 1 + item_id % 4) AS prefix FROM benchmark) SELECT query_id, term FROM asked, vocabulary WHERE starts_with(term, prefix)")
 def keyword_prefix(spark, d):
-    q = corpus.read(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.substring("p_name", 1, 4).alias("prefix"))
-    return keyword.prefix_terms(keyword.build(corpus.records(spark, d)), q).withColumnRenamed("query_id", "p_partkey")
+    """The first one to four letters of each passage."""
+    q = corpus.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), text.tokens(F.col("text"))[0].substr(F.lit(1), (F.lit(1) + F.col("item_id") % 4).cast("int")).alias("prefix"))
+    return keyword.prefix_terms(_index(spark, d), q)
 
 
 @query(r"""SELECT query_id, storage_key, (length(hay) - length(replace(hay, needle, ''))) // length(needle) AS n FROM (
@@ -201,14 +211,17 @@ def keyword_substring_scan(spark, d):
 @query()
 def keyword_fuzzy(spark, d):
     q = corpus.records(spark, d).select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(F.filter(text.tokens(F.col("title")), lambda t: F.length(t) >= 4), 1, 2), " ").alias("text"))
-    r = corpus.records(spark, d)
-    return keyword.fuzzy(keyword.build(r), r, q, K)
+    return keyword.fuzzy(_index(spark, d), None, q, K)
 
 
-@query("""SELECT storage_key, 10.0e0 * (CASE WHEN true THEN 0 END) + 60.0e0 + 120.0e0 + CASE WHEN contains(lower(trim(regexp_replace(body, '\\s+', ' ', 'g'))), uri) THEN 4.0e0 ELSE 0.0e0 END AS score FROM records""")
+@query(r"""SELECT storage_key, CASE doc_id % 4 WHEN 0 THEN 180.0e0 WHEN 1 THEN 171.0e0 WHEN 2 THEN 164.0e0 ELSE CASE WHEN contains(lower(trim(body)), 'zz.qq') THEN 74.0e0 ELSE 0.0e0 END END
+  + CASE WHEN contains(lower(trim(regexp_replace(body, '\s+', ' ', 'g'))), CASE doc_id % 4 WHEN 0 THEN uri WHEN 1 THEN doc_id || '.md' WHEN 2 THEN 'other/' || doc_id || '.md' ELSE 'zz.qq' END) THEN 4.0e0 ELSE 0.0e0 END AS score FROM records""")
 def keyword_artifact_own_path(spark, d):
-    r = corpus.records(spark, d)
-    return r.select("storage_key", text.artifact_score(F.col("uri"), F.lit(""), F.col("body"), F.lit(None).cast("string"), F.lit(""), F.col("uri")).alias("score"))
+    """By turns the whole path, the name, the name in another folder, and a name that no record has."""
+    r, name = corpus.records(spark, d), F.concat(F.col("doc_id").cast("string"), F.lit(".md"))
+    turn = F.col("doc_id") % 4
+    asked = F.when(turn == 0, F.col("uri")).when(turn == 1, name).when(turn == 2, F.concat(F.lit("other/"), name)).otherwise("zz.qq")
+    return r.select("storage_key", text.artifact_score(asked, F.lit(""), F.col("body"), F.lit(None).cast("string"), F.lit(""), F.col("uri")).alias("score"))
 
 
 # ---------------------------------------------------------------- vector lane
@@ -263,8 +276,8 @@ def vector_approximate_recall(spark, d):
     FROM q, vectors v SEMI JOIN hits h ON h.storage_key = v.storage_key AND h.query_id = q.query_id)
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, storage_key) AS rank FROM s) WHERE rank <= 10""")
 def vector_bounded_by_keyword(spark, d):
-    r, q = corpus.records(spark, d), _query_vectors(spark, d)
-    bound = keyword.search(keyword.build(r), q, None).select("query_id", "storage_key")
+    q = _query_vectors(spark, d)
+    bound = keyword.search(_index(spark, d), q, None).select("query_id", "storage_key")
     v = corpus.vectors(spark, d).select("storage_key", F.col("embedding").alias("v"))
     s = bound.join(v, "storage_key").join(q.select("query_id", "embedding"), "query_id")
     return keyword.ranked(s.select("query_id", "storage_key", vector.cosine(F.col("v"), F.col("embedding")).alias("score")), K, 6)
@@ -291,7 +304,7 @@ _LANES = _POSTINGS + """, q AS (SELECT item_id AS query_id, embedding FROM bench
 def _lanes(spark, d):
     r, q = corpus.records(spark, d), _query_vectors(spark, d)
     allowed = filters.apply(r, {}).select("storage_key")
-    kw = keyword.search(keyword.build(r), _passages(spark, d), 50, allowed, 6)
+    kw = keyword.search(_index(spark, d), _passages(spark, d), 50, allowed, 6)
     own = corpus.vectors(spark, d).join(allowed, "storage_key", "left_semi")
     return fusion.lane(kw, "keyword").unionByName(fusion.lane(vector.top_k(own, q, 50, digits=6), "vector"))
 
@@ -339,7 +352,7 @@ def normalize_scores(spark, d):
 def hybrid_search(spark, d):
     r = corpus.records(spark, d)
     q = _passages(spark, d).join(corpus.read(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
-    found = search.engine(r, corpus.vectors(spark, d)).search(q, K)
+    found = search.engine(r, corpus.vectors(spark, d), index=_index(spark, d)).search(q, K)
     return found.select("query_id", "rank", "storage_key", F.round("score", 6).alias("score"), "title", "status")
 
 
@@ -362,12 +375,14 @@ def status_multiplier(spark, d):
     return h.select("query_id", "storage_key", F.round(F.col("score") * fusion.status_multiplier(F.col("status")), 6).alias("score"))
 
 
-@query("SELECT doc_id, storage_key, 1 AS priority FROM records")
+@query("SELECT doc_id, storage_key, CASE WHEN doc_id % 4 < 2 THEN 1 ELSE 0 END AS priority FROM records")
 def identifier_priority(spark, d):
+    """Queries that name the record by kind and id, or by key, that hold more words, or that name another record."""
     r = corpus.records(spark, d)
     hits = r.select(F.col("doc_id").alias("query_id"), "storage_key", F.lit(0.1).alias("score"))
-    named = r.select(F.col("doc_id").alias("query_id"), F.concat_ws(":", F.upper("source_kind"), "source_id").alias("text"))
-    return rank.identifier_priority(hits, named, r).select(F.col("query_id").alias("doc_id"), "storage_key", "priority")
+    turn = F.col("doc_id") % 4
+    asked = F.when(turn == 0, F.concat_ws(":", F.upper("source_kind"), "source_id")).when(turn == 1, F.col("storage_key")).when(turn == 2, F.concat(F.lit("no "), "source_id")).otherwise((F.col("doc_id") + 1).cast("string"))
+    return rank.identifier_priority(hits, r.select(F.col("doc_id").alias("query_id"), asked.alias("text")), r).select(F.col("query_id").alias("doc_id"), "storage_key", "priority")
 
 
 @query()
@@ -452,9 +467,44 @@ def edge_type_infer(spark, d):
     return line.select("l_orderkey", "l_linenumber", graph.inferred_type(header, F.lit("x")).alias("edge_type"))
 
 
-@query("+k AS (SELECT src_key AS key FROM edges UNION SELECT dst_key FROM edges) SELECT key, 'not canonical' AS error FROM k UNION ALL SELECT key, 'no such record' FROM k")
+#: Edges between records: to the next one, for every third to none, for every ninth to a key that isn't canonical.
+_LINKED = """+links AS (SELECT a.storage_key AS src_key, CASE WHEN a.doc_id % 9 = 4 THEN 'doc:' || a.doc_id WHEN a.doc_id % 3 = 1 THEN 'record:["ws-9","x","' || a.doc_id || '"]' ELSE b.storage_key END AS dst_key,
+  CASE WHEN a.doc_id % 2 = 0 THEN 'links_to' ELSE 'related' END AS edge_type, 1.0e0 / (1 + a.doc_id % 5) AS weight FROM records a JOIN records b ON b.doc_id = a.doc_id + 1)"""
+
+
+def _links(spark, d):
+    r = corpus.records(spark, d)
+    b = r.select((F.col("doc_id") - 1).alias("doc_id"), F.col("storage_key").alias("next"))
+    i = F.col("doc_id")
+    dst = F.when(i % 9 == 4, F.concat(F.lit("doc:"), i.cast("string"))).when(i % 3 == 1, keys.storage_key(F.lit("ws-9"), F.lit("x"), i.cast("string"))).otherwise(F.col("next"))
+    return r.select("doc_id", "storage_key").join(b, "doc_id").select(F.col("storage_key").alias("src_key"), dst.alias("dst_key"), F.when(i % 2 == 0, "links_to").otherwise("related").alias("edge_type"), (1.0 / (1 + i % 5)).alias("weight"))
+
+
+@query(_LINKED + """, k AS (SELECT src_key AS key FROM links UNION SELECT dst_key FROM links) SELECT key, 'not canonical' AS error FROM k WHERE NOT starts_with(key, 'record:')
+  UNION ALL SELECT key, 'no such record' FROM k WHERE key NOT IN (SELECT storage_key FROM records)""")
 def graph_integrity(spark, d):
-    return graph.integrity_errors(corpus.edges(spark, d), corpus.records(spark, d))
+    return graph.integrity_errors(_links(spark, d), corpus.records(spark, d))
+
+
+@query(_LINKED + """, sides AS (SELECT src_key AS seed, dst_key AS storage_key, edge_type, weight FROM links UNION ALL SELECT dst_key, src_key, edge_type, weight FROM links)
+  , best AS (SELECT *, row_number() OVER (PARTITION BY seed, storage_key ORDER BY round(weight, 6) DESC, edge_type) AS n FROM sides)
+  SELECT seed, storage_key, edge_type, round(weight, 6) AS weight FROM best WHERE n = 1""")
+def graph_both(spark, d):
+    e = _links(spark, d)
+    return graph.neighbors(e, e.select(F.explode(F.array("src_key", "dst_key")).alias("seed")), direction="both", digits=6).select("seed", "storage_key", "edge_type", "weight")
+
+
+@query(_LINKED + """, hits AS (SELECT source_kind AS query_id, storage_key, round(1.0e0 / (1 + doc_id), 9) AS score, row_number() OVER (PARTITION BY source_kind ORDER BY round(1.0e0 / (1 + doc_id), 9) DESC, storage_key) AS n FROM records WHERE workspace_id IN ('ws-1', 'ws-2') AND status = 'active')
+  , near AS (SELECT query_id, dst_key AS storage_key, max(round(h.score * weight, 9)) AS score FROM hits h JOIN links l ON l.src_key = h.storage_key WHERE n <= 50 GROUP BY 1, 2)
+  , ok AS (SELECT query_id, n.storage_key, score FROM near n JOIN records r ON r.storage_key = n.storage_key WHERE r.workspace_id IN ('ws-1', 'ws-2') AND r.status = 'active')
+  SELECT query_id, storage_key, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, storage_key) AS rank FROM ok""")
+def graph_filtered(spark, d):
+    """The graph lane of a search in two workspaces: neighbours of other workspaces, or that aren't active, don't come in."""
+    scope = {kind: {"workspace_ids": ["ws-1", "ws-2"]} for kind in ("en", "fr", "de", "es")}
+    r = corpus.records(spark, d)
+    seeds = filters.apply(r, {"source_scoped_filters": scope}).select(F.col("source_kind").alias("query_id"), "storage_key", F.round(1.0 / (1 + F.col("doc_id")), 9).alias("score"))
+    e = search.Engine(r, None, edges=_links(spark, d), config=Config(max_graph_seeds=50))
+    return e.graph_lane(seeds, filters={"source_scoped_filters": scope}).select("query_id", "storage_key", "score", "rank")
 
 
 # ---------------------------------------------------------------- chunks and texts
@@ -613,14 +663,15 @@ def event_windows(spark, d):
 @query("SELECT user_id::VARCHAR AS storage_key, max(event_id) AS last_event FROM events GROUP BY 1", base=False)
 def ingest_stream(spark, d):
     """The events as a stream of micro-batches; the stored row of a user has the greatest event of all batches, in whatever order they come."""
-    base = tempfile.mkdtemp(prefix="seekspark-stream-") if not spark.conf.get("spark.checkpoint.dir", None) else None
-    root = f"file://{base}" if base else spark.conf.get("spark.checkpoint.dir").rstrip("/") + "/seekspark-stream-" + uuid.uuid4().hex  # one run's own: the rows of another would stay
+    root = store.new_path(spark, "stream")  # one run's own: the rows of another would stay
     tables = store.Tables(spark, root + "/tables")
-    schema = corpus.read(spark, d, "events").schema
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
-    single = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile()
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4)
-    stream = reader.option("pathGlobFilter", "events.parquet").parquet(d) if single else reader.parquet(f"{d}/events.parquet")
+    events = corpus.read(spark, d, "events")
+    source = f"{d}/events.parquet"
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile():  # a single file would be a single batch
+        source = root + "/events"
+        events.repartition(6, "event_id").write.parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(source)
 
     def write(batch: DataFrame, _: int) -> None:
         rows = batch.groupBy(F.col("user_id").cast("string").alias("storage_key")).agg(F.max("event_id").alias("last_event"))
@@ -629,11 +680,7 @@ def ingest_stream(spark, d):
         tables.replace(last=rows)
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", root + "/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    out = tables.read("last")
-    if base:
-        out = spark.createDataFrame(out.collect(), out.schema)  # a test's folder goes
-        shutil.rmtree(base, ignore_errors=True)
-    return out
+    return tables.read("last")
 
 
 @query("SELECT 'topic' || lpad(((i + 3) % 16)::VARCHAR, 2, '0') AS query, count(*) AS n FROM (SELECT unnest(range(0, 1000)) AS i) GROUP BY 1", base=False)
@@ -644,5 +691,5 @@ def synthetic_corpus(spark, d):
 @query()
 def hybrid_search_calibrated(spark, d):
     q = _query_vectors(spark, d)
-    e = search.engine(corpus.records(spark, d), corpus.vectors(spark, d), config=Config(fusion="calibrated", weighted=True, adaptive_limit=True, keyword_weight=1.5))
+    e = search.engine(corpus.records(spark, d), corpus.vectors(spark, d), index=_index(spark, d), config=Config(fusion="calibrated", weighted=True, adaptive_limit=True, keyword_weight=1.5))
     return e.search(q, K).select("query_id", "rank", "storage_key", "score", "normalized_score")

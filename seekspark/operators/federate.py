@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
@@ -11,28 +12,49 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import uri_key
+from ..sources.store import drop_path, stored
 from .fusion import RRF_K
 
 MAX_TOP_K, MAX_QUERY = 1000, 4096
 
 
-def entities(hits: DataFrame, rounds: int = 20) -> DataFrame:
+def entities(hits: DataFrame) -> DataFrame:
     """Adds `entity`: the least name that hits share by identity or URI, directly or through others.
 
-    hits: (query_id, source, identity, uri, rank). Labels pass alternately along identities and URIs
-    until none changes; a chain of n hits needs about n / 2 rounds.
+    hits: (query_id, source, identity, uri, rank). A hit without either is an entity of its own, by source and rank.
+    Identities and URIs are the nodes of a graph whose edges are the hits; alternating large-star and
+    small-star rounds (Kiveris et al., 2014) on stored tables run until no edge changes, about the
+    logarithm of the longest chain.
     """
-    out = hits.withColumns({"u": uri_key("uri"), "entity": F.coalesce("identity", F.concat(F.lit("uri:"), uri_key("uri")))})
-    for _ in range(rounds):
-        step = out.withColumn("before", F.col("entity"))
-        for by in ("identity", "u"):
-            label = F.min("entity").over(Window.partitionBy("query_id", by))
-            step = step.withColumn("entity", F.when(F.col(by).isNotNull() & (F.col(by) != ""), label).otherwise(F.col("entity")))
-        done = step.filter("entity <> before").isEmpty()
-        out = step.drop("before")
-        if done:
-            break
-    return out
+    given = lambda c: F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.col(c))
+    hits = hits.withColumn("u", uri_key("uri"))
+    ends = F.struct(F.concat(F.lit("i:"), given("identity")).alias("i"), F.concat(F.lit("u:"), given("u")).alias("u"))
+    edges = hits.select("query_id", ends.alias("e")).filter("e.i IS NOT NULL AND e.u IS NOT NULL").select("query_id", F.col("e.i").alias("a"), F.col("e.u").alias("b"))
+    root = connected(edges)
+    own = F.coalesce(F.concat(F.lit("i:"), given("identity")), F.concat(F.lit("u:"), given("u")), F.concat_ws(":", F.lit("n"), F.col("source"), F.col("rank").cast("string")))
+    out = hits.withColumn("node", own).join(root, ["query_id", "node"], "left").withColumn("root", F.coalesce("root", "node"))
+    # the least name of an entity: an identity if it has one
+    return out.withColumn("entity", F.when(F.col("root").startswith("i:"), F.substring("root", 3, 1 << 30)).otherwise(F.regexp_replace("root", "^u:", "uri:"))).drop("node", "root")
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """(query_id, node, root) of the nodes of undirected edges (query_id, a, b): root is the least node that one is connected with."""
+    spark, by = edges.sparkSession, "query_id"
+    now = stored(edges.select(by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    before = None
+    while True:
+        state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64(by, "a", "b").cast("decimal(38,0)"))).first())
+        if state == before:
+            return now.select(by, F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(by, "a", "a").distinct())
+        before = state
+        both = now.union(now.select(by, "b", "a"))
+        least = both.groupBy(by, "a").agg(F.min("b").alias("m")).select(by, "a", F.least("a", "m").alias("m"))
+        large = both.join(least, [by, "a"]).filter("b > a").select(by, F.col("m").alias("a"), "b").filter("a <> b").distinct()
+        least = large.groupBy(by, "b").agg(F.min("a").alias("m"))
+        small = large.join(least, [by, "b"]).select(by, "m", F.explode(F.array("a", "b")).alias("y"))
+        after = stored(small.filter("m <> y").select(by, F.col("m").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+        drop_path(spark, now.stored_at)
+        now = after
 
 
 def fuse(hits: DataFrame, k: int = RRF_K, top_k: int | None = None, weights: Mapping[str, float] | None = None, digits: int = 9) -> DataFrame:
@@ -77,11 +99,16 @@ def events(sources: Sequence[Source], queries: DataFrame, top_k: int, seconds: f
     """Runs the sources side by side; after each that ends a provisional fusion, at last the final one. A failed or late source is reported."""
     if not 1 <= top_k <= MAX_TOP_K:
         raise ValueError(f"top_k must be 1 to {MAX_TOP_K}")
+    if "text" in queries.columns and not queries.filter(F.length("text") > MAX_QUERY).isEmpty():
+        raise ValueError(f"a query has at most {MAX_QUERY} characters")
     spark, found = queries.sparkSession, []
     columns = ["query_id", "source", "identity", "uri", "rank"]
     schema = None
 
+    started: dict[str, float] = {}  # each source has its own time, from its own start
+
     def one(s: Source) -> tuple[list, object]:
+        started[s.name] = time.monotonic()
         hits = s.search(queries, min(top_k, s.max_top_k)).filter(F.col("rank") <= top_k).select(*columns)
         return hits.collect(), hits.schema
 
@@ -92,13 +119,14 @@ def events(sources: Sequence[Source], queries: DataFrame, top_k: int, seconds: f
     try:
         open_ = {pool.submit(one, s): s for s in sources}
         while open_:
-            done, _ = wait(open_, timeout=seconds, return_when=FIRST_COMPLETED)
-            if not done:
-                for s in open_.values():
-                    if strict:
-                        raise TimeoutError(s.name)
-                    yield Event("failed", s.name, error="timeout")
-                break
+            ends = [started[s.name] + seconds for s in open_.values() if s.name in started]
+            done, _ = wait(open_, timeout=max(0.0, min(ends) - time.monotonic()) if ends else 0.05, return_when=FIRST_COMPLETED)
+            late = [f for f, s in open_.items() if f not in done and time.monotonic() - started.get(s.name, float("inf")) >= seconds]
+            for f in late:
+                s = open_.pop(f)
+                if strict:
+                    raise TimeoutError(s.name)
+                yield Event("failed", s.name, error="timeout")
             for f in done:
                 s = open_.pop(f)
                 try:

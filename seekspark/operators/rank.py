@@ -65,6 +65,8 @@ def mmr(hits: DataFrame, vectors: DataFrame, trade_off: float = 0.7) -> DataFram
         group = group.sort_values("rank", ignore_index=True)
         has = group["embedding"].map(lambda v: v is not None)
         own = group[has].reset_index(drop=True)
+        if not len(own):
+            return group[["query_id", "storage_key", "score"]].assign(rank=np.arange(1, len(group) + 1))
         low, high = own["score"].min(), own["score"].max()
         relevance = np.ones(len(own)) if low == high else ((own["score"] - low) / (high - low)).to_numpy()
         x = np.array(own["embedding"].tolist(), float).reshape(len(own), -1)

@@ -1,20 +1,24 @@
 """Vector lane: exact cosine top-k for many queries at once, stored-vector codec, approximate search.
 
-All-against-all similarity is done in blocks: vectors are dealt to blocks, each pair of blocks is one
-task with a single matrix product and a local top-k, and a last aggregation merges the k best of
-each query. Nothing is broadcast, and a task holds two blocks whatever the corpus.
+Up to BLOCK_ROWS queries go to all tasks as one block of checked size; each task multiplies it with the Arrow
+batches of its own vectors and keeps the k best, so the vectors are neither shuffled nor converted row
+by row, and only k rows for each query and task meet. More queries than that are done in blocks:
+vectors are dealt to blocks, each pair of blocks is one task with a single matrix product and a local
+top-k, and a last aggregation merges the k best of each query; a task then holds two blocks whatever the corpus.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 BLOCK_ROWS = 4096
@@ -46,8 +50,14 @@ def _dealt(df: DataFrame, key: str, blocks: int) -> DataFrame:
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "storage_key", skip_self: bool = False, digits: int = 9) -> DataFrame:
-    """(query_id, key, score, rank): the k vectors of highest cosine for every query (query_id, embedding); ties by key."""
-    spark = vectors.sparkSession
+    """(query_id, key, score, rank): the k vectors of highest cosine for every query (query_id, embedding); ties by key.
+
+    Null vectors have no score; one of another length than the query's has 0.
+    """
+    vectors, queries = vectors.filter("embedding IS NOT NULL").select(key, "embedding"), queries.filter("embedding IS NOT NULL").select("query_id", "embedding")
+    few = queries.limit(BLOCK_ROWS + 1).select("query_id", F.col("embedding").cast("array<double>").alias("v")).toPandas()
+    if len(few) <= BLOCK_ROWS and len({len(v) for v in few["v"]}) <= 1:
+        return _best(_by_query_block(vectors, few, queries.schema["query_id"].dataType.simpleString(), k, key, skip_self, digits), k, key)
     n, m = max(1, -(-vectors.count() // BLOCK_ROWS)), max(1, -(-queries.count() // BLOCK_ROWS))
     left = _dealt(queries, "query_id", m).select("b", F.col("k").alias("q"), "v", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("o"))
     right = _dealt(vectors, key, n).select("b", "k", "v", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("o"))
@@ -57,7 +67,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "storage_ke
         empty = pd.DataFrame({"query_id": [], key: [], "score": []})
         if not len(a) or not len(b):
             return empty
-        x, y = (np.array(f["v"].tolist(), float) for f in (a, b))
+        width = max(len(v) for f in (a, b) for v in f["v"])
+        x, y = (_matrix(f["v"], width) for f in (a, b))
         x, y = (z / np.where((s := np.linalg.norm(z, axis=1, keepdims=True)) > 0, s, 1) for z in (x, y))
         s = np.round(x @ y.T, digits)
         rows, keys = [], b["k"].to_numpy()
@@ -76,11 +87,60 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "storage_ke
 
     a = left.select("q", "v", F.col("b").alias("i"), F.col("o").alias("j")).groupBy("i", "j")
     b = right.select("k", "v", F.col("o").alias("i"), F.col("b").alias("j")).groupBy("i", "j")
-    found = a.cogroup(b).applyInPandas(score, f"query_id {qt}, {key} {kt}, score double")
+    return _best(a.cogroup(b).applyInPandas(score, f"query_id {qt}, {key} {kt}, score double"), k, key)
+
+
+def _matrix(vectors: Iterable, width: int) -> np.ndarray:
+    """Rows of `width`; a vector of another length is zero, so that its cosine is 0."""
+    out = np.zeros((len(vectors), width))
+    for i, v in enumerate(vectors):
+        if len(v) == width:
+            out[i] = v
+    return out
+
+
+def _best(found: DataFrame, k: int, key: str) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _by_query_block(vectors: DataFrame, queries: pd.DataFrame, query_type: str, k: int, key: str, skip_self: bool, digits: int) -> DataFrame:
+    """(query_id, key, score): the k best of each query in each task."""
+    ids = queries["query_id"].to_numpy()
+    x = np.array(queries["v"].tolist(), float).reshape(len(ids), -1)
+    x /= np.where((s := np.linalg.norm(x, axis=1, keepdims=True)) > 0, s, 1)
+    own = vectors.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, names = np.empty((len(ids), 0)), np.empty((len(ids), 0), object)
+        for batch in batches if len(ids) else ():
+            for low in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(low, BLOCK_ROWS)
+                keys, column = np.array(part.column(0).to_pylist(), object), part.column(1)
+                if bool((np.diff(column.offsets.to_numpy()) == x.shape[1]).all()):
+                    y = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(keys), -1)
+                else:
+                    y = _matrix(column.to_pylist(), x.shape[1])
+                y /= np.where((s := np.linalg.norm(y, axis=1, keepdims=True)) > 0, s, 1)
+                score = np.round(x @ y.T, digits)
+                if skip_self:
+                    score[ids[:, None] == keys[None]] = -np.inf
+                by_key = np.argsort(keys, kind="stable")
+                at = np.argsort(-score[:, by_key], axis=1, kind="stable")[:, :k]
+                best, names = np.concatenate([best, np.take_along_axis(score[:, by_key], at, 1)], 1), np.concatenate([names, keys[by_key][at]], 1)
+                order = np.unique(names, return_inverse=True)[1].reshape(names.shape)
+                at = np.lexsort((order, -best))[:, :k]
+                best, names = np.take_along_axis(best, at, 1), np.take_along_axis(names, at, 1)
+        real = best > -np.inf
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, real.sum(1)).tolist(), types[0]), pa.array(names[real].tolist(), types[1]), pa.array(best[real], pa.float64())], ["query_id", key, "score"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    schema = T._parse_datatype_string(f"query_id {query_type}, {key} {own}, score double")
+    types = [to_arrow_type(f.dataType) for f in schema.fields[:2]]
+    return vectors.mapInArrow(run, schema)
+
+
 def top_k_single(vectors: DataFrame, query: list[float], k: int, key: str = "storage_key") -> DataFrame:
     """For one query vector: a projection and TakeOrderedAndProject, no shuffle but the k rows."""
     q = F.array(*[F.lit(float(x)) for x in query])
@@ -115,6 +175,3 @@ def recall(found: DataFrame, exact: DataFrame, key: str = "storage_key") -> Data
     hit = found.select("query_id", key, F.lit(1).alias("hit"))
     return exact.join(hit, ["query_id", key], "left").groupBy("query_id").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
 
-
-def embedding_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    yield from batches

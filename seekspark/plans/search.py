@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import filters as flt
 from ..operators import fusion, graph, keyword, rank, vector
+from ..sources.store import stored
 from .router import Config
 
 Hook = Callable[[DataFrame], DataFrame]
@@ -65,19 +66,20 @@ class Engine:
         weights = {"vector": c.semantic_weight, "keyword": c.keyword_weight, "graph": c.graph_weight} if c.weighted else None
         return fusion.reciprocal_rank(lanes, weights, c.rrf_k) if c.fusion == "rrf" else fusion.calibrated(lanes, weights)
 
-    def graph_lane(self, fused: DataFrame, direction: str = "outgoing") -> DataFrame:
+    def graph_lane(self, fused: DataFrame, direction: str = "outgoing", filters: Mapping[str, Any] | None = None) -> DataFrame:
+        """Neighbours of each query's best hits that the filters allow, as every other lane's hits are."""
         seeds = flt.policy(fused, self.policy.graph_targets)
         hits = graph.expand(self.edges, seeds, self.config.max_graph_seeds, self.config.max_neighbors_per_seed, direction)
-        hits = hits.join(self.records.select("storage_key"), "storage_key", "left_semi")
+        hits = hits.join(flt.apply(self.records, filters).select("storage_key"), "storage_key", "left_semi")
         return fusion.lane(rank.ordered(hits), "graph")
 
     def search(self, queries: DataFrame, limit: int = 10, filters: Mapping[str, Any] | None = None, relationship: bool = False, direction: str = "outgoing", hydrate: bool = True) -> DataFrame:
         """(query_id, rank, storage_key, score, normalized_score, provenance) and, hydrated, the record's columns."""
         c = self.config
-        lanes = self.lanes(queries, limit, filters)
+        lanes = stored(self.lanes(queries, limit, filters), "lanes")  # fused, compared and shown from one table
         fused = self.fused(lanes)
         if self.edges is not None and (relationship or c.adaptive_graph):
-            found = self.graph_lane(fused, direction)
+            found = self.graph_lane(fused, direction, filters)
             if not relationship:
                 ready = graph.adaptive_ready(lanes, c.max_graph_seeds).filter("ready").select("query_id")
                 found = found.join(ready, "query_id", "left_semi")
@@ -107,5 +109,6 @@ class Engine:
         return out
 
 
-def engine(records: DataFrame, vectors: DataFrame | None = None, edges: DataFrame | None = None, chunks: DataFrame | None = None, config: Config = Config(), policy: Policy | None = None) -> Engine:
-    return Engine(records, keyword.build(records), vectors, edges, chunks, config, policy or Policy())
+def engine(records: DataFrame, vectors: DataFrame | None = None, edges: DataFrame | None = None, chunks: DataFrame | None = None, config: Config = Config(), policy: Policy | None = None, index: keyword.Index | None = None) -> Engine:
+    """`index` is a stored one; without it the records are indexed for each search anew."""
+    return Engine(records, index or keyword.build(records), vectors, edges, chunks, config, policy or Policy())

@@ -24,7 +24,12 @@ def included(path: Column, include: Sequence[str] = ("*",), exclude: Sequence[st
 
 def discover(spark: SparkSession, roots: Sequence[str], include: Sequence[str] = ("*",), exclude: Sequence[str] = ()) -> DataFrame:
     """(path, root, relative, modified, length) of parseable files below the roots that exist; contents aren't read."""
-    roots = [r for r in dict.fromkeys(x.rstrip("/") for x in roots) if os.path.isdir(r.removeprefix("file://"))]
+    def is_folder(root: str) -> bool:
+        p = spark._jvm.org.apache.hadoop.fs.Path(root)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+    roots = [r for r in dict.fromkeys(x.rstrip("/") for x in roots) if is_folder(r)]
     if not roots:
         return spark.createDataFrame([], "path string, root string, relative string, modified timestamp, length long")
     files = None

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-import os
+import re
+import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -15,6 +16,43 @@ from pyspark.sql.window import Window
 KEYWORD_FIELDS, VECTOR_FIELDS = ("title", "body", "uri", "keywords"), ("title", "body")
 
 
+_local: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one where that is unset, if the session is a local one, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _local:
+        _local.append("file://" + tempfile.mkdtemp(prefix="seekspark-tables-"))
+    return _local[0]
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/seekspark-{name}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def stored(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """`df` as a table in the shared folder, reread: lineage ends there."""
+    path = new_path(df.sparkSession, name)
+    df.write.partitionBy(*partition_by).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
 def latest(batch: DataFrame, order: str, key: str = "storage_key") -> DataFrame:
     """The last row of each key by `order`."""
     w = Window.partitionBy(key).orderBy(F.desc(order))
@@ -94,12 +132,36 @@ def check_index(records: DataFrame, documents: DataFrame) -> DataFrame:
     return missing.union(orphan)
 
 
+def read_text(fs, path) -> str:
+    source = fs.open(path)
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
+
+
+def write_text(fs, path_class, path: str, text: str) -> None:
+    """A file that is there whole or not at all: written beside and renamed. Raises if it exists."""
+    tmp = path_class(f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(tmp, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(tmp, path_class(path)):
+        fs.delete(tmp, False)
+        raise OSError(f"{path} exists")
+
+
 class Tables:
     """Named tables under a folder: each write is a new snapshot, and a pointer file with an epoch names the current ones.
 
-    A write never touches what a running plan reads. The epoch of a table rises only when it is replaced.
+    A write never touches what a running plan reads: pointers are files with ascending numbers, made under another
+    name and renamed, and the one of highest number counts, so a crash at any moment leaves the last whole state.
+    The epoch of a table rises only when it is replaced. Snapshots that the last KEEP pointers don't name are
+    dropped. One writer at a time.
     """
 
+    KEEP = 3
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         fs = spark._jvm.org.apache.hadoop.fs
@@ -108,10 +170,15 @@ class Tables:
         self._fs.mkdirs(fs.Path(self.root))
 
     def _state(self) -> dict:
-        p = self._path(f"{self.root}/current.json")
-        if not self._fs.exists(p):
-            return {}
-        return json.loads("".join(r["value"] for r in self.spark.read.text(f"{self.root}/current.json", wholetext=True).collect()))
+        numbers = self._numbers()
+        return self._read(numbers[-1]) if numbers else {}
+
+    def _numbers(self) -> list[int]:
+        names = (f.getPath().getName() for f in self._fs.listStatus(self._path(self.root)))
+        return sorted(int(m.group(1)) for n in names if (m := re.fullmatch(r"current-(\d{12})\.json", n)))
+
+    def _read(self, number: int) -> dict:
+        return json.loads(read_text(self._fs, self._path(f"{self.root}/current-{number:012d}.json")))
 
     def epoch(self, name: str) -> int:
         return self._state().get(name, {}).get("epoch", 0)
@@ -132,13 +199,15 @@ class Tables:
         self._point(state)
 
     def _point(self, state: dict) -> None:
-        tmp = self._path(f"{self.root}/current-{uuid.uuid4().hex}.json")
-        out = self._fs.create(tmp, True)
-        out.write(bytearray(json.dumps(state).encode()))
-        out.close()
-        target = self._path(f"{self.root}/current.json")
-        self._fs.delete(target, False)
-        self._fs.rename(tmp, target)
+        numbers = self._numbers()
+        write_text(self._fs, self._path, f"{self.root}/current-{numbers[-1] + 1 if numbers else 0:012d}.json", json.dumps(state))
+        numbers = self._numbers()
+        named = {t["path"] for n in numbers[-self.KEEP :] for t in self._read(n).values()}
+        for n in numbers[: -self.KEEP]:
+            for table in self._read(n).values():
+                if table["path"] not in named:
+                    self._fs.delete(self._path(table["path"]), True)
+            self._fs.delete(self._path(f"{self.root}/current-{n:012d}.json"), False)
 
     def upsert(self, name: str, batch: DataFrame, key: str | Sequence[str] = "storage_key") -> bool:
         """Replaces the table only if a row is new or differs; whether it did."""
@@ -153,24 +222,27 @@ class Tables:
 
 
 class Checkpoints:
-    """Cursors by (workspace, kind), in a JSON file that is replaced atomically."""
+    """Cursors by (workspace, kind): numbered JSON files in a folder of any file system, the last of which counts."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.folder = folder.rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._path(self.folder))
 
-    def __init__(self, path: str):
-        self.path = path
+    def _numbers(self) -> list[int]:
+        names = (f.getPath().getName() for f in self._fs.listStatus(self._path(self.folder)))
+        return sorted(int(m.group(1)) for n in names if (m := re.fullmatch(r"cursor-(\d{12})\.json", n)))
 
     def _all(self) -> dict[str, str]:
-        try:
-            with open(self.path) as f:
-                return json.load(f)
-        except (FileNotFoundError, json.JSONDecodeError):
-            return {}
+        numbers = self._numbers()
+        return json.loads(read_text(self._fs, self._path(f"{self.folder}/cursor-{numbers[-1]:012d}.json"))) if numbers else {}
 
     def get(self, workspace: str | None, kind: str) -> str | None:
         return self._all().get(json.dumps([workspace, kind]))
 
     def set(self, workspace: str | None, kind: str, cursor: str) -> None:
-        state = self._all() | {json.dumps([workspace, kind]): cursor}
-        tmp = f"{self.path}.{uuid.uuid4().hex}"
-        with open(tmp, "w") as f:
-            json.dump(state, f)
-        os.replace(tmp, self.path)
+        state, numbers = self._all() | {json.dumps([workspace, kind]): cursor}, self._numbers()
+        write_text(self._fs, self._path, f"{self.folder}/cursor-{numbers[-1] + 1 if numbers else 0:012d}.json", json.dumps(state))
+        for n in numbers[:-1]:
+            self._fs.delete(self._path(f"{self.folder}/cursor-{n:012d}.json"), False)

@@ -36,11 +36,20 @@ def safe_cursor(batch: DataFrame, cursor: str) -> str | None:
 
 
 class Ingestor:
-    """Writes micro-batches to the tables records and, rebuilt where their text changed, postings."""
+    """Writes micro-batches to the tables records and, where their text changed, postings and lengths: all of a batch in one change.
+
+    The cursor that is stored never falls and never passes a rejected row, of whatever batch: after the first
+    one it is held before it until `release`.
+    """
 
     def __init__(self, tables: Tables, checkpoints: Checkpoints, kind: str, cursor: str = "updated_at", workspace: str | None = None, strict: bool = True):
         self.tables, self.checkpoints, self.kind, self.cursor, self.workspace, self.strict = tables, checkpoints, kind, cursor, workspace, strict
         self.receipts: list[Receipt] = []
+        self.held: object = None
+
+    def release(self) -> None:
+        """Rejected rows were dealt with: the cursor may go on."""
+        self.held = None
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
         marked = valid(batch)
@@ -48,16 +57,25 @@ class Ingestor:
         if rejected and self.strict:
             raise ValueError(f"{rejected} rows of batch {batch_id} can't be ingested")
         good = latest(marked.filter("error IS NULL").drop("error"), self.cursor)
-        changed = self.tables.upsert("records", good)
+        old = self.tables.read("records") if self.tables.exists("records") else None
+        changed = old is None or not good.select(old.columns).exceptAll(old).isEmpty()
         if changed:
-            keys = good.select("storage_key")
-            postings = keyword.build(good).postings
-            if self.tables.exists("postings"):
-                postings = self.tables.read("postings").join(keys, "storage_key", "left_anti").unionByName(postings)
-            self.tables.replace(postings=postings)
-        cursor = safe_cursor(marked, self.cursor)
+            index, keys = keyword.build(good), good.select("storage_key")
+            new = {"records": good, "postings": index.postings, "lengths": index.documents}
+            if old is not None:
+                new = {name: self.tables.read(name).join(keys, "storage_key", "left_anti").unionByName(rows, allowMissingColumns=True) for name, rows in new.items()}
+            self.tables.replace(**new)
+        first_bad = marked.agg(F.min(F.when(F.col("error").isNotNull(), F.col(self.cursor))).alias("c")).first()["c"]
+        if first_bad is not None and (self.held is None or first_bad < self.held):
+            self.held = first_bad
+        before = marked if self.held is None else marked.filter(F.col(self.cursor) < F.lit(self.held))
+        cursor = safe_cursor(before, self.cursor)
         if cursor is not None:
-            self.checkpoints.set(self.workspace, self.kind, cursor)
+            stored = self.checkpoints.get(self.workspace, self.kind)
+            kind = marked.schema[self.cursor].dataType
+            ahead = stored is None or marked.sparkSession.range(1).select(F.lit(cursor).cast(kind) > F.lit(stored).cast(kind)).first()[0]
+            if ahead:
+                self.checkpoints.set(self.workspace, self.kind, cursor)
         self.receipts.append(Receipt(batch_id, batch.count(), rejected, cursor, changed))
 
     def start(self, stream: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:

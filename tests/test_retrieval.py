@@ -96,8 +96,9 @@ def test_keyword_stages(spark):
     assert keyword.sanitized('a-b "two words" pre* OR.') == [("term", "a"), ("term", "b"), ("phrase", "two words"), ("prefix", "pre"), ("term", "OR")]
 
 
-def test_vector_top_k_in_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(vector, "BLOCK_ROWS", 7)
+@pytest.mark.parametrize("block", [7, 4096])
+def test_vector_top_k_in_blocks_and_by_query_block(spark, monkeypatch, block):
+    monkeypatch.setattr(vector, "BLOCK_ROWS", block)
     g = np.random.default_rng(0)
     v = g.normal(size=(40, 5))
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "k long, embedding array<double>")
@@ -181,7 +182,7 @@ def test_tables_stream_and_reindex(spark, tmp_path):
     src = tmp_path / "in"
     rec = lambda lo, hi, b: spark.createDataFrame([(f"k{i}", f"t{i}", b, f"u{i}", "", i) for i in range(lo, hi)], "storage_key string, title string, body string, uri string, keywords string, updated_at long")
     rec(0, 5, "first text").write.parquet(str(src), mode="append")
-    marks = store.Checkpoints(str(tmp_path / "cursor.json"))
+    marks = store.Checkpoints(spark, f"file://{tmp_path}/cursor")
     for step in range(2):
         i = ingest.Ingestor(t, marks, "notes")
         i.start(spark.readStream.schema(rec(0, 1, "x").schema).parquet(str(src)), str(tmp_path / "check")).awaitTermination()
@@ -207,6 +208,59 @@ def test_tables_stream_and_reindex(spark, tmp_path):
         r.flip("other")
 
 
+def test_cursor_is_held_before_the_first_rejected_row_of_any_batch(spark, tmp_path):
+    schema = "storage_key string, title string, body string, uri string, keywords string, updated_at long"
+    marks, t = store.Checkpoints(spark, f"file://{tmp_path}/cursor"), store.Tables(spark, f"file://{tmp_path}/tables")
+    i = ingest.Ingestor(t, marks, "notes", strict=False)
+    row = lambda k, at, text="x": (k, text, text, "u", "", at)
+    for n, rows in enumerate(([row("a", 1), row("b", 2)], [row("c", 3), row("d", 4, ""), row("e", 5)], [row("f", 6)], [row("a", 1)])):
+        i.write(spark.createDataFrame(rows, schema), n)
+        assert marks.get(None, "notes") == ("2" if n == 0 else "3")
+    assert t.read("records").count() == 5 and t.read("lengths").count() == 5 and t.epoch("records") == 3
+    i.release()
+    i.write(spark.createDataFrame([row("g", 7)], schema), 4)
+    assert marks.get(None, "notes") == "7"
+    files = [f for f in os.listdir(tmp_path / "tables") if f.startswith("current-")]
+    assert len(files) == t.KEEP and not [f for f in files if "tmp" in f]
+    (tmp_path / "tables" / "current-000000000099.json.half.tmp").write_text("{")  # a crash while a pointer was written
+    assert t.read("records").count() == 6
+
+
+def test_graph_lane_obeys_the_filters(spark):
+    records, _ = synthetic.corpus(spark, 16)
+    records = records.withColumns({"uri": F.lit(""), "keywords": F.lit(""), "status": F.when(F.col("source_id") == "rec-000005", "archived").otherwise("active")})
+    own = {r["source_id"]: r["storage_key"] for r in records.collect()}
+    pairs = [("rec-000001", "rec-000002"), ("rec-000001", "rec-000005"), ("rec-000001", "rec-000009")]  # another workspace, an archived one, a fit one
+    e = spark.createDataFrame([(own[a], own[b], "links_to", 1.0) for a, b in pairs], "src_key string, dst_key string, edge_type string, weight double")
+    q = spark.createDataFrame([(1, "topic01 note 1")], "query_id int, text string")
+    out = search.engine(records, None, e).search(q, 5, {"workspace_id": "ws-1"}, relationship=True).collect()
+    assert {r["source_id"] for r in out} == {"rec-000001", "rec-000009"}
+
+
+def test_long_chains_of_identities_are_one_entity(spark):
+    h = [(1, f"s{i % 3}", f"id{(i + 1) // 2:03d}", f"http://h/{i // 2}", i) for i in range(120)] + [(2, "s", "id000", "http://h/0", 1), (1, "s9", None, None, 500)]
+    out = federate.fuse(spark.createDataFrame(h, "query_id int, source string, identity string, uri string, rank int")).collect()
+    assert sorted((r["query_id"], r["entity"]) for r in out) == [(1, "id000"), (1, "n:s9:500"), (2, "id000")]
+
+
+def test_mmr_without_vectors_keeps_the_order(spark):
+    h = spark.createDataFrame([(1, "a", 1.0, 1), (1, "b", 0.9, 2)], "query_id int, storage_key string, score double, rank int")
+    v = spark.createDataFrame([], "storage_key string, embedding array<double>")
+    assert [(x["storage_key"], x["rank"]) for x in rank.mmr(h, v).orderBy("rank").collect()] == [("a", 1), ("b", 2)]
+
+
+def test_walks_relaxed_by_node_equal_walks_by_path(spark):
+    g = np.random.default_rng(1)
+    e = spark.createDataFrame([(f"n{a}", f"n{b}", str(g.choice(["links_to", "tests"])), round(float(g.uniform(0.1, 0.99)), 2)) for a, b in g.integers(0, 12, (40, 2)) if a != b], "src_key string, dst_key string, edge_type string, weight double")
+    s = e.select(F.col("src_key").alias("seed")).distinct()
+    for depth in (2, 4):
+        paths = graph._paths(graph.oriented(e, "outgoing"), s, depth).groupBy("seed", "at").agg(F.max("weight").alias("w")).collect()
+        got = {(r["seed"], r["storage_key"]): r["weight"] for r in graph.neighbors(e, s, depth).collect()}
+        assert got == {(r["seed"], r["at"]): round(r["w"], 9) for r in paths}
+    heavy = e.withColumn("weight", F.col("weight") * 3)  # beyond 1 the paths themselves are walked
+    assert {(r["seed"], r["storage_key"]): r["weight"] for r in graph.neighbors(heavy, s, 3).collect()} == {(r["seed"], r["at"]): round(r["w"], 9) for r in graph._paths(graph.oriented(heavy, "outgoing"), s, 3).groupBy("seed", "at").agg(F.max("weight").alias("w")).collect()}
+
+
 def test_ingest_stream_keeps_the_greatest_event_over_batches(spark, tmp_path):
     folder, want = tmp_path / "events.parquet", {}
     folder.mkdir()
