@@ -339,6 +339,10 @@ _FUSED = _LANES + """, fused AS (SELECT query_id, storage_key, round(sum(1 / (60
   ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, storage_key) AS rank FROM fused)"""
 
 
+#: The fused results in order, for other modules' SQL.
+_RANKED_SQL = _FUSED
+
+
 def _ranked(spark, d):
     return rank.ordered(fusion.reciprocal_rank(_lanes(spark, d)).withColumn("score", F.round("score", 6)))
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seekspark import catalog
+from seekspark import catalog, catalog_units
 from seekspark.functions import analyze, keys, text
 from seekspark.operators import chunk, embed, evaluate, federate, filters, fusion, graph, keyword, rank, vector
 from seekspark.plans import router, search
@@ -33,6 +33,7 @@ def rows(df):
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_query_equals_sql(spark, sf, duck, name):
+    assert catalog_units
     got, want = catalog.QUERIES[name](spark, sf).toPandas(), duck.sql(catalog.ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
