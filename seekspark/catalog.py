@@ -199,7 +199,7 @@ def keyword_prefix(spark, d):
   SELECT b.item_id AS query_id, r.storage_key, '|' || array_to_string(regexp_extract_all(lower(r.body), '[\p{L}\p{N}]+'), '||') || '|' AS hay, '|' || array_to_string(regexp_extract_all(lower(b.text), '[\p{L}\p{N}]+'), '||') || '|' AS needle
   FROM records r, benchmark b) WHERE contains(hay, needle)""")
 def keyword_phrase(spark, d):
-    return keyword.phrase(corpus.records(spark, d), _passages(spark, d))
+    return keyword.phrase(corpus.records(spark, d), _passages(spark, d), _index(spark, d))
 
 
 @query("""SELECT storage_key, round(((length(h) - length(replace(h, 'the', ''))) / 3.0e0) + ((length(h) - length(replace(h, 'von', ''))) / 3.0e0), 6) AS score

@@ -22,25 +22,26 @@ def entities(hits: DataFrame) -> DataFrame:
     """Adds `entity`: the least name that hits share by identity or URI, directly or through others.
 
     hits: (query_id, source, identity, uri, rank). A hit without either is an entity of its own, by source and rank.
-    Identities and URIs are the nodes of a graph whose edges are the hits; alternating large-star and
-    small-star rounds (Kiveris et al., 2014) on stored tables run until no edge changes, about the
-    logarithm of the longest chain.
+    The identities that share a URI are linked to the least of them, and what these stars leave unconnected
+    is joined by `connected`.
     """
     given = lambda c: F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.col(c))
     hits = hits.withColumn("u", uri_key("uri"))
-    ends = F.struct(F.concat(F.lit("i:"), given("identity")).alias("i"), F.concat(F.lit("u:"), given("u")).alias("u"))
-    edges = hits.select("query_id", ends.alias("e")).filter("e.i IS NOT NULL AND e.u IS NOT NULL").select("query_id", F.col("e.i").alias("a"), F.col("e.u").alias("b"))
-    root = connected(edges)
-    own = F.coalesce(F.concat(F.lit("i:"), given("identity")), F.concat(F.lit("u:"), given("u")), F.concat_ws(":", F.lit("n"), F.col("source"), F.col("rank").cast("string")))
-    out = hits.withColumn("node", own).join(root, ["query_id", "node"], "left").withColumn("root", F.coalesce("root", "node"))
-    # the least name of an entity: an identity if it has one
-    return out.withColumn("entity", F.when(F.col("root").startswith("i:"), F.substring("root", 3, 1 << 30)).otherwise(F.regexp_replace("root", "^u:", "uri:"))).drop("node", "root")
+    pairs = hits.select("query_id", given("identity").alias("i"), given("u").alias("u")).filter("i IS NOT NULL AND u IS NOT NULL").distinct()
+    first = pairs.groupBy("query_id", "u").agg(F.min("i").alias("m"))
+    root = connected(pairs.join(first, ["query_id", "u"]).filter("i <> m").select("query_id", F.col("m").alias("a"), F.col("i").alias("b")))
+    alone = F.coalesce(F.concat(F.lit("uri:"), given("u")), F.concat_ws(":", F.lit("n"), F.col("source"), F.col("rank").cast("string")))
+    out = hits.join(first, ["query_id", "u"], "left").withColumn("node", F.coalesce(given("identity"), F.col("m"))).join(root, ["query_id", "node"], "left")
+    return out.withColumn("entity", F.coalesce("root", "node", alone)).drop("m", "node", "root")
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """(query_id, node, root) of the nodes of undirected edges (query_id, a, b): root is the least node that one is connected with."""
     spark, by = edges.sparkSession, "query_id"
     now = stored(edges.select(by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    named = now.select(by, F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(by, "a", "a").distinct())
+    if now.join(now.select(by, F.col("b").alias("a")), [by, "a"], "left_semi").isEmpty() and now.groupBy(by, "b").count().filter("count > 1").isEmpty():
+        return named  # stars already
     before = None
     while True:
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64(by, "a", "b").cast("decimal(38,0)"))).first())
