@@ -2,7 +2,13 @@
 
 Every stage is one of the operators in seekspark.llm with its production parameters, on all that the
 stage before kept. The first four return the columns of documents; the last returns the packing:
-(pool, sequence, slot, doc_id, piece, n_tokens, cost). An empty table passes through all stages.
+(pool, sequence, slot, doc_id, piece, n_tokens, cost).
+
+Defined results, as in the operators' own texts: a null or empty text passes every filtering stage and has no tokens to
+pack; null doc_ids stay and are packed; null lang and source are one group; very long texts are read whole; of equal
+lines that of the smallest doc_id stays, of near copies the smallest doc_id; rows that repeat doc_id and text
+count as one document from line dedup on; columns other than those of documents, whatever their
+names, go at the start, and missing ones are null. An empty table passes through all stages.
 """
 
 from __future__ import annotations
