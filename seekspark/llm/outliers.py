@@ -24,8 +24,8 @@ A group of fewer than MIN_ROWS rows has too few for six dimensions: it is judged
 its language, and where that has too few by that of all documents, with shares shrunk to the
 medians of the same. Where even those are too few, none is judged and all stay.
 
-Texts are counted twice, for the estimate and for the decision: that costs less than to write the
-corpus with its counts or to shuffle it to them.
+Texts are counted twice, for the estimate and for the decision, so that the corpus is neither written
+with its counts nor shuffled to them.
 
 Defined results: a null text, or one without words, has no statistics and stays; null and empty
 lang or source are one group; repeated rows count as often as they occur; texts are counted whole, however
