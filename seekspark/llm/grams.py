@@ -104,26 +104,22 @@ def bands_and_rows(threshold: float, recall: float, most: int = 256) -> tuple[in
     return best
 
 
-def band_hashes(sets: Sequence[np.ndarray], bands: int, rows: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """For each set the hash of each band, and a byte of each MinHash value; sets mustn't be empty."""
+def prints(sets: Sequence[np.ndarray], count: int, seed: int = 1) -> np.ndarray:
+    """For each set a byte of each of `count` MinHash values; sets mustn't be empty."""
     rng = np.random.default_rng(seed)
-    a = rng.integers(1 << 31, size=bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    c = rng.integers(1 << 32, size=bands * rows, dtype=np.uint32)
+    a = rng.integers(1 << 31, size=count, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    c = rng.integers(1 << 32, size=count, dtype=np.uint32)
     x = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     at = np.cumsum([0, *map(len, sets)])[:-1]
-    out, prints = np.empty((len(sets), bands), np.uint64), np.empty((len(sets), bands * rows), np.uint8)
+    out = np.empty((len(sets), count), np.uint8)
     v = np.empty_like(x)
     t = np.empty_like(x)
-    for i in range(bands):
-        total = np.full(len(sets), i + 1, np.uint64)
-        for j in range(i * rows, (i + 1) * rows):
-            np.multiply(x, a[j], out=v)
-            np.add(v, c[j], out=v)
-            np.right_shift(v, 15, out=t)
-            np.bitwise_xor(v, t, out=v)
-            np.multiply(v, np.uint32(0x85EBCA6B), out=v)
-            least = np.minimum.reduceat(v, at)
-            prints[:, j] = (least ^ (least >> np.uint32(8)) ^ (least >> np.uint32(16))).astype(np.uint8)
-            total = total * _Q + least
-        out[:, i] = mix(total)
-    return out, prints
+    for j in range(count):
+        np.multiply(x, a[j], out=v)
+        np.add(v, c[j], out=v)
+        np.right_shift(v, 15, out=t)
+        np.bitwise_xor(v, t, out=v)
+        np.multiply(v, np.uint32(0x85EBCA6B), out=v)
+        least = np.minimum.reduceat(v, at)
+        out[:, j] = (least ^ (least >> np.uint32(8)) ^ (least >> np.uint32(16))).astype(np.uint8)
+    return out

@@ -2,9 +2,11 @@
 
 1. Each text becomes the set of its hashed word n-grams. Texts with the same set are one class;
    from there on work is per class, so a thousand exact copies cost as much as one.
-2. Each class gets `bands` hashes of `rows` MinHash values each, chosen so that a pair at the
-   threshold meets in a band with probability `recall`. One shuffle on band hashes brings the
-   members of each bucket together; a bucket of more than PART members is dealt to parts, and each pair
+2. Each class gets `bands` keys of `rows` MinHash values each, chosen so that a pair at the
+   threshold meets in a band with probability `recall`. The keys are made of the stored byte of each value
+   (32 bits with 4 values: n classes give each about n / 2**32 chance partners a band, which step 2 or 3 dismisses).
+   One shuffle on the keys brings the members of each bucket together, and classes that meet in several bands
+   with no others are one bucket; a bucket of more than PART members is dealt to parts, and each pair
    of parts is a task of its own. In a bucket, pairs whose MinHash values agree less often than
    three standard deviations below the threshold are dismissed, which keeps chance meetings from
    chaining the corpus together; the others are linked by a spanning forest, so links stay
@@ -38,11 +40,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import common
 from . import grams as G
-from .common import documents, drop_path, lean, only, pieces, spare_name, trim, written
+from .common import documents, drop_path, lean, only, pieces, spare_name, trim
 
 #: Production parameters.
 N, THRESHOLD, RECALL = 3, 0.6, 0.99
@@ -52,6 +55,20 @@ BLOCK_GRAMS, NODE_WEIGHT, PART = 1 << 20, 512, 4096
 BROADCAST_BYTES = 64 << 20
 _TEXT_BYTES = 4 << 20
 _CELLS = 1 << 22
+#: MinHash values at most.
+_HASHES = 160
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`common.written`; the shuffle files that it took go at its end, not when the driver happens to collect its garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        return common.written(df, name)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
 
 
 def _binary(a: np.ndarray, width: int) -> pa.Array:
@@ -84,19 +101,17 @@ def _batches(batch: pa.RecordBatch, n: int) -> Iterator[tuple[pa.RecordBatch, li
 
 
 def signatures(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_id, th, node, grams, bands, prints) for each document with a doc_id and an n-gram; th is a hash of the text."""
-    bands, rows = G.bands_and_rows(threshold, recall, 160)
+    """(doc_id, th, node, grams, prints) for each document with a doc_id and an n-gram; th is a hash of the text."""
+    bands, rows = G.bands_and_rows(threshold, recall, _HASHES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, _, sets in _batches(batch, n):
-                hashes, prints = G.band_hashes(sets, bands, rows)
-                hashes = hashes.view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, hashes.size + 1, bands, dtype=np.int32)), pa.array(hashes.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), _binary(_nodes(sets), 16), pa.array([len(s) for s in sets], pa.int64()), lists, _binary(prints, bands * rows)], ["doc_id", "th", "node", "grams", "bands", "prints"])
+                prints = _binary(G.prints(sets, bands * rows), bands * rows)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), _binary(_nodes(sets), 16), pa.array([len(s) for s in sets], pa.int64()), prints], ["doc_id", "th", "node", "grams", "prints"])
 
     own = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), "text")
-    return own.mapInArrow(run, "doc_id long, th long, node binary, grams long, bands array<long>, prints binary")
+    return own.mapInArrow(run, "doc_id long, th long, node binary, grams long, prints binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -188,24 +203,34 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
 
 def _least(threshold: float, recall: float) -> tuple[int, int]:
     """MinHash values of a class, and how many must agree."""
-    bands, rows = G.bands_and_rows(threshold, recall, 160)
+    bands, rows = G.bands_and_rows(threshold, recall, _HASHES)
     k = bands * rows
     return k, int(np.ceil(k * threshold - 3 * np.sqrt(k * threshold * (1 - threshold))))
 
 
-def _met(nodes: DataFrame, extra: list[str]) -> DataFrame:
-    """(band, i, j, part, node, prints, *extra): the members of each bucket of two or more by pairs (i, j) of its parts, sorted within their task."""
-    bands = nodes.select("node", F.explode("bands").alias("band"))
-    several = bands.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    met = bands.join(several, "band").select("band", "node", F.ceil(F.col("c") / PART).cast("int").alias("parts"))
-    met = met.join(nodes.select("node", "prints", *extra), "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+def _buckets(nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(bucket, id, parts): the members of each bucket of two or more; the same members are one bucket, however many bands they meet in.
+
+    A bucket is named by its members' hashes; if two had the same name, they would be one, and no pair would be lost.
+    """
+    bands, rows = G.bands_and_rows(threshold, recall, _HASHES)
+    keys = F.array(*[F.xxhash64(F.lit(k), F.substring("prints", 1 + k * rows, rows)) for k in range(bands)])
+    own = Window.partitionBy("band")
+    met = nodes.select("id", F.explode(keys).alias("band"))
+    met = met.select("id", F.count(F.lit(1)).over(own).alias("c"), F.bit_xor(F.xxhash64("id")).over(own).alias("bucket"))
+    return met.filter("c > 1").select("bucket", "id", F.ceil(F.col("c") / PART).cast("int").alias("parts")).distinct()
+
+
+def _met(buckets: DataFrame, nodes: DataFrame, extra: list[str]) -> DataFrame:
+    """(bucket, i, j, part, id, prints, *extra): the members of each bucket by pairs (i, j) of its parts, sorted within their task."""
+    met = buckets.join(nodes.select("id", "prints", *extra), "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "prints", *extra)
-    return met.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
+    met = met.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "prints", *extra)
+    return met.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
 
 
-def links(nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """(a, b): nodes of a bucket whose MinHash values agree about as often as `threshold`, or not linked but by others."""
+def links(buckets: DataFrame, nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(a, b): ids of a bucket whose MinHash values agree about as often as `threshold`, or not linked but by others."""
     k, least = _least(threshold, recall)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,14 +241,14 @@ def links(nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
                 a.append(own[i][1])
                 b.append(own[j][1])
             if len(a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
                 a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return _met(nodes, []).mapInArrow(link, "a binary, b binary")
+    return _met(buckets, nodes, []).mapInArrow(link, "a long, b long")
 
 
-def _block_pairs(nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
+def _block_pairs(buckets: DataFrame, nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
     """(root, i, j), i < j: blocks of a component with members that met in a band and agree."""
     k, least = _least(threshold, recall)
 
@@ -238,12 +263,12 @@ def _block_pairs(nodes: DataFrame, threshold: float, recall: float) -> DataFrame
                     if other != own[x][4]:
                         seen.add((own[x][3], min(other, own[x][4]), max(other, own[x][4])))
             if len(seen) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*seen), (pa.binary(), pa.int32(), pa.int32()))], ["root", "i", "j"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*seen), (pa.int64(), pa.int32(), pa.int32()))], ["root", "i", "j"])
                 seen = set()
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*seen), (pa.binary(), pa.int32(), pa.int32()))], ["root", "i", "j"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*seen), (pa.int64(), pa.int32(), pa.int32()))], ["root", "i", "j"])
 
-    return _met(nodes, ["root", "block"]).mapInArrow(pair, "root binary, i int, j int").distinct()
+    return _met(buckets, nodes, ["root", "block"]).mapInArrow(pair, "root long, i int, j int").distinct()
 
 
 def _connected(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -263,16 +288,24 @@ def node_pairs(docs: DataFrame, signed: DataFrame, n: int = N, threshold: float
 
     As a `summary`: (node, links, other), the number of links that a task found for a node and another node that they connect it with.
     """
-    nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("grams").alias("grams"), F.first("bands").alias("bands"), F.first("prints").alias("prints")), "nodes")
-    found = components(links(nodes, threshold, recall))
-    sized = found.withColumnRenamed("id", "node").join(nodes.select("node", "doc_id", "grams"), "node").withColumn("weight", F.col("grams") + NODE_WEIGHT)
+    spark = docs.sparkSession
+    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("grams").alias("grams"), F.first("prints").alias("prints"))
+    nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    buckets = written(_buckets(nodes, threshold, recall), "buckets")
+    found = components(links(buckets, nodes, threshold, recall))
+    sized = found.join(nodes.select("id", "node", "doc_id", "grams"), "id").withColumn("weight", F.col("grams") + NODE_WEIGHT)
     of = sized.groupBy("root").agg(F.ceil(F.sum("weight") / BLOCK_GRAMS).cast("int").alias("of"))
-    blocks = written(sized.join(of, "root").select("node", "doc_id", "root", F.pmod(F.xxhash64("node"), F.col("of")).cast("int").alias("block"), "of"), "blocks")
-    large = blocks.filter("of > 1").select("node", "root", "block")
-    tasks = blocks.select("root", "block", F.col("block").alias("i"), F.col("block").alias("j")).distinct()
-    if not large.isEmpty():
-        pairs = written(_block_pairs(nodes.join(large, "node"), threshold, recall), "block-pairs")
-        tasks = tasks.union(pairs.select("root", F.col("i").alias("block"), "i", "j")).union(pairs.select("root", F.col("j").alias("block"), "i", "j"))
+    blocks = written(sized.join(of, "root").select("id", "node", "doc_id", "root", F.pmod(F.xxhash64("node"), F.col("of")).cast("int").alias("block"), "of"), "blocks")
+    large = blocks.filter("of > 1")
+    tasks = None
+    if of_large := large.count():
+        some = large.select("id", "root", "block")
+        pairs = written(_block_pairs(buckets, nodes.join(F.broadcast(some) if of_large * 32 <= BROADCAST_BYTES else some, "id"), threshold, recall), "block-pairs")
+        tasks = large.select("root", "block", F.col("block").alias("i"), F.col("block").alias("j")).distinct()
+        tasks = written(tasks.union(pairs.select("root", F.col("i").alias("block"), "i", "j")).union(pairs.select("root", F.col("j").alias("block"), "i", "j")), "tasks")
+        drop_path(spark, pairs.written_at)
+    for table in (nodes, buckets):
+        drop_path(spark, table.written_at)
 
     def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Only the rows whose text is the node's: a doc_id may have several texts."""
@@ -280,11 +313,17 @@ def node_pairs(docs: DataFrame, signed: DataFrame, n: int = N, threshold: float
             for part, _, sets in _batches(batch, n):
                 yield part.filter(pa.array([x == y for x, y in zip(part.column("node").to_pylist(), _binary(_nodes(sets), 16).to_pylist())]))
 
-    texts = docs.select("doc_id", "text").filter("text IS NOT NULL")
-    if blocks.count() * 16 <= BROADCAST_BYTES:  # else all texts are shuffled to meet the linked ones
-        texts = texts.join(F.broadcast(blocks.select("doc_id").distinct()), "doc_id", "left_semi")
-    texts = texts.join(blocks, "doc_id").select("root", "block", "node", "doc_id", "text").mapInArrow(right, "root binary, block int, node binary, doc_id long, text string")
-    work = texts.join(tasks, ["root", "block"]).select("root", "i", "j", "block", "node", "doc_id", "text")
+    def placed(blocks: DataFrame) -> DataFrame:
+        """(root, block, node, doc_id, text) of the nodes of `blocks`."""
+        texts = docs.select("doc_id", "text").filter("text IS NOT NULL")
+        if blocks.count() * 16 <= BROADCAST_BYTES:  # else all texts are shuffled to meet the linked ones
+            texts = texts.join(F.broadcast(blocks.select("doc_id").distinct()), "doc_id", "left_semi")
+        return texts.join(blocks, "doc_id").select("root", "block", "node", "doc_id", "text").mapInArrow(right, "root long, block int, node binary, doc_id long, text string")
+
+    at = ["root", "i", "j", "block", "node", "doc_id", "text"]  # a component of one block is one task, and its texts aren't shuffled to find it
+    work = placed(blocks.filter("of = 1")).withColumns({"i": F.col("block"), "j": F.col("block")}).select(*at)
+    if tasks is not None:
+        work = work.union(placed(large).join(F.broadcast(tasks) if tasks.count() * 32 <= BROADCAST_BYTES else tasks, ["root", "block"]).select(*at))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), own in _groups(batches, 3):

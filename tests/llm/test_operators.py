@@ -220,6 +220,28 @@ def test_jaccard_query_equals_brute_force(spark, tmp_path, monkeypatch, block, p
     assert len(set(got) & set(want)) >= 0.95 * len(want) and sum(x[4] for x in got) >= 0.97 * sum(x[4] for x in want)
 
 
+def shuffled_bytes(spark):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+@pytest.mark.parametrize("block,most", [(1 << 20, 1100), (3000, 1600)])
+def test_jaccard_query_shuffles_little(spark, tmp_path, monkeypatch, block, most):
+    """Bytes by document: band keys once, and a bucket's prints once however many bands its members share, also with components of many blocks."""
+    monkeypatch.setattr(near_duplicates, "BLOCK_GRAMS", block)
+    r, rows = random.Random(11), []
+    for _ in range(100):
+        base = [f"w{r.randrange(10**6)}" for _ in range(60)]
+        rows += [(len(rows) + k, " ".join(base[:50] + [f"w{r.randrange(10**6)}" for _ in range(k % 2)] + base[51:])) for k in range(12)]
+    rows += [(len(rows) + k, " ".join(f"w{r.randrange(10**6)}" for _ in range(60))) for k in range(800)]
+    spark.createDataFrame([doc(*x) for x in rows], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    before = set(shuffled_bytes(spark))
+    got = near_duplicates.query(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and sum(x["n_links"] > 0 for x in got) == 1200
+    assert sum(v for k, v in shuffled_bytes(spark).items() if k not in before) < most * len(rows)
+
+
 def test_jaccard_near_texts_of_one_doc_id_name_their_other_documents(spark):
     words = [f"v{i}" for i in range(60)]
     x, y, z = " ".join(words), " ".join([*words[:-1], "other"]), "a text of its own"
