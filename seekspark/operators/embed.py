@@ -71,9 +71,9 @@ def plan(inputs: DataFrame, cache: DataFrame | None, name: str) -> tuple[DataFra
 
 
 def execute(own: DataFrame, misses: DataFrame, cache: DataFrame | None, name: str, encode) -> tuple[DataFrame, DataFrame]:
-    """(storage_key, embedding) of all inputs, and the rows to add to the cache."""
+    """(storage_key, embedding) of all inputs, and the rows to add to the cache. Repeated cache rows of a text count once."""
     new = misses.select("content_hash", encode("text").alias("embedding"))
-    known = new if cache is None else new.unionByName(cache.filter(F.col("namespace") == name).select("content_hash", "embedding"))
+    known = new if cache is None else new.unionByName(cache.filter(F.col("namespace") == name).select("content_hash", "embedding").dropDuplicates(["content_hash"]))
     return own.select("storage_key", "content_hash").join(known, "content_hash").select("storage_key", "embedding"), new.withColumn("namespace", F.lit(name))
 
 

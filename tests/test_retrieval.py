@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -359,3 +360,16 @@ def test_synonyms_and_golden_sets(spark, tmp_path):
     golden.save(g, str(path))
     assert sorted(tuple(r) for r in golden.gains(golden.load(spark, str(path))).collect()) == want
     assert golden.compatible({"k": 3}, {"k": 5}) and golden.regressions({"metrics": {"recall": 0.5}}, {"metrics": {"recall": 0.8}}, {})
+
+
+def test_embed_execute_of_odd_texts_equals_sql(spark, tmp_path):
+    texts = ["\nno title", "", None, None, "a\nb", "x" * (2**24 + 2), "again", "again", "c"]
+    ids = [0, 2, 4, 5, 7, 9, 12, 12, 13]
+    d = str(tmp_path / "odd")
+    os.makedirs(d)
+    duckdb.connect().from_df(pd.DataFrame({"doc_id": ids, "text": texts, "lang": "en", "source": "src1", "n_chars": 1})).write_parquet(f"{d}/documents.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "lineitem", "orders", "customer", "supplier", "nation"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d if t == 'documents' else '/root/testdata/sf0.001'}/{t}.parquet'")
+    got, want = catalog.QUERIES["embed_execute"](spark, d).toPandas(), con.sql(catalog.ORACLE_SQL["embed_execute"]).df()
+    assert len(want) == 9 and rows(got) == rows(want)
