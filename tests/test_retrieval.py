@@ -408,3 +408,48 @@ def test_keyword_search_sends_on_k_rows_a_query_and_task(spark, monkeypatch, blo
     assert keyword.bm25(index, keyword.query_terms(q)).count() > 3 * 2 * 4 * len(asked)
     pre = spark.createDataFrame([(1, "w1"), (1, "w"), (1, "w1"), (2, "w11"), (2, "w1"), (3, "")], "query_id int, prefix string")
     assert sorted(map(tuple, keyword.prefix_terms(index, pre).collect())) == sorted([(1, w) for w in words] + [(2, w) for w in words if w.startswith("w1")])
+
+
+@pytest.mark.parametrize("depth,most", [(1, 1000), (2, 3), (3, 1000), (3, 2), (4, 4), (5, 1000)])
+def test_walks_with_restart_equal_plain_loops(spark, depth, most):
+    g = np.random.default_rng(depth + most)
+    kinds = ["implements", "links_to", "related", "tests"]
+    edges = sorted({(f"n{a}", f"n{b}", str(g.choice(kinds))) for a, b in g.integers(0, 15, (50, 2))})
+    hits = [(q, f"n{i}", float(s)) for q in range(3) for i, s in zip(g.choice(18, 6, replace=False), g.integers(1, 9, 6))]
+    fan = {}
+    for a, b, t in sorted(edges, key=lambda e: (-graph.TYPE_WEIGHTS[e[2]], e[1], e[2])):
+        if len(fan.setdefault(a, [])) < 3:
+            fan[a].append((b, t))
+    want = {}
+    for q in range(3):
+        own = sorted((x for x in hits if x[0] == q), key=lambda x: (-x[2], x[1]))[:4]
+        mass = {(x[1], x[1], None): x[2] / sum(y[2] for y in own) for x in own}
+        for _ in range(depth):
+            at = {}
+            for (_, here, _), m in mass.items():
+                at[here] = at.get(here, 0) + m
+            going = set(sorted((n for n in at if at[n] >= 0.02), key=lambda n: (-at[n], n))[:most])
+            new = {}
+            for (seed, here, first), m in mass.items():
+                for to, t in fan.get(here, []) if here in going else []:
+                    key = (seed, to, first or t)
+                    new[key] = new.get(key, 0) + m * 0.85 * graph.TYPE_WEIGHTS[t]
+            mass = new
+            for (seed, here, first), m in mass.items():
+                each = want.setdefault((q, here), {})
+                each[seed, first] = each.get((seed, first), 0) + m
+    e = spark.createDataFrame([(*x, 1.0) for x in edges], "src_key string, dst_key string, edge_type string, weight double")
+    h = spark.createDataFrame(hits, "query_id int, storage_key string, score double")
+    got = {(r["query_id"], r["storage_key"]): (r["score"], r["seed"], r["edge_type"]) for r in graph.pagerank(e, h, 4, 3, depth=depth, floor=0.02, max_nodes=most).collect()}
+    assert got == {k: (pytest.approx(sum(v.values()), abs=2e-9), *min(v, key=lambda x: (-round(v[x], 9), x))) for k, v in want.items()}
+
+
+def test_graph_walks_keep_no_table_of_steps(spark, sf, monkeypatch):
+    from seekspark.sources import corpus
+
+    plan = catalog.QUERIES["graph_pagerank"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.count("Exchange hashpartitioning") <= 12
+    kept, n = [], corpus.edges(spark, sf).count()
+    own = graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name: (kept.append(df.count()), own(df, name))[1])
+    assert catalog.QUERIES["graph_multi_hop"](spark, sf).count() > n and max(kept) <= n
