@@ -20,7 +20,25 @@ def metrics(results: DataFrame, gains: DataFrame, queries: DataFrame, k: int, di
     g = gains.select("query_id", "item", F.col("gain").cast("double").alias("gain"))
     ideal = g.withColumn("i", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("gain"), "item")))
     ideal = ideal.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("i") <= k, F.col("gain") / F.log2(F.col("i") + 1.0))).alias("idcg"))
-    hit = results.join(g, ["query_id", "item"]).withColumn("h", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+    return _metrics(results.join(g, ["query_id", "item"]), ideal, queries, k, digits)
+
+
+def class_metrics(results: DataFrame, classes: DataFrame, k: int, digits: int = 9) -> DataFrame:
+    """`metrics` where a query's relevant items are the others of its class, each with gain 1: classes (item, class), queries are items.
+
+    Pairs of one class are as the square of its items, so they are counted and never listed. An item without class has none.
+    """
+    c = classes.select("item", "class")
+    sizes = c.filter("class IS NOT NULL").groupBy("class").agg((F.count(F.lit(1)) - 1).alias("n")).filter("n > 0")
+    gain = F.aggregate(F.sequence(F.lit(1).cast("long"), F.least(F.col("n"), F.lit(k))), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0))
+    ideal = c.join(sizes, "class").select(F.col("item").alias("query_id"), "n", gain.alias("idcg"))
+    own = c.select(F.col("item").alias("query_id"), F.col("class").alias("own"))
+    hit = results.join(c, "item").join(own, "query_id").filter((F.col("class") == F.col("own")) & (F.col("item") != F.col("query_id"))).select(*results.columns, F.lit(1.0).alias("gain"))
+    return _metrics(hit, ideal, c.select(F.col("item").alias("query_id")), k, digits)
+
+
+def _metrics(hit: DataFrame, ideal: DataFrame, queries: DataFrame, k: int, digits: int) -> DataFrame:
+    hit = hit.withColumn("h", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
     first = F.col("rank") <= k
     per = hit.groupBy("query_id").agg(
         F.count_distinct(F.when(first, F.col("item"))).alias("found"), F.sum(F.when(first, F.col("gain") / F.log2(F.col("rank") + 1.0))).alias("dcg"),

@@ -453,3 +453,43 @@ def test_graph_walks_keep_no_table_of_steps(spark, sf, monkeypatch):
     own = graph.stored
     monkeypatch.setattr(graph, "stored", lambda df, name: (kept.append(df.count()), own(df, name))[1])
     assert catalog.QUERIES["graph_multi_hop"](spark, sf).count() > n and max(kept) <= n
+
+
+def test_grid_keeps_the_best_of_odd_vectors(spark, monkeypatch):
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    monkeypatch.setattr(vector, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(vector, "TASK_SCORES", 500)
+    g = np.random.default_rng(3)
+    v = [x.tolist() for x in g.normal(size=(60, 6))]
+    keys = [f"k{i:02d}" for i in range(60)]
+    v[5], v[6], v[7], v[8] = v[4], v[4], [0.0] * 6, [1.0, 2.0]  # ties, no direction, another length
+    rows_ = [*zip(keys, v), ("k04", v[4]), ("k04", v[9]), ("none", None)]
+    df = spark.createDataFrame(rows_, "k string, embedding array<float>")
+    got = {}
+    for r in vector.top_k(df, df.select(F.col("k").alias("query_id"), "embedding").filter("k <> 'k04'"), 5, "k", skip_self=True).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["k"], r["score"]))
+    real = [(k, np.array(x, np.float32).astype(float)) for k, x in rows_ if x]
+    cos = lambda a, b: 0.0 if len(a) != len(b) or not a.any() or not b.any() else round(float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)), 9)
+    for q, x in real:
+        if q != "k04":
+            want = sorted(((-cos(x, y), k) for k, y in real if k != q))[:5]
+            assert [(k, pytest.approx(s)) for _, k, s in sorted(got[q])] == [(k, -s) for s, k in want]
+    even = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(g.normal(size=(70, 6)))], "k long, embedding array<double>")
+    near = vector.approximate(even, even.select(F.col("k").alias("query_id"), "embedding"), 30, "k", 2, 0.2, True)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "CartesianProduct" not in plan  # a pair is never a row
+    unit = even.select("k", array_to_vector(F.transform("embedding", lambda x: x / vector.norm(F.col("embedding")))).alias("f"))
+    h = {r["k"]: ([int(x[0]) for x in r["h"]], np.array(r["f"])) for r in BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=0.2, numHashTables=2, seed=7).fit(unit).transform(unit).collect()}
+    want = {(i, j) for i in h for j in sorted((j for j in h if j != i and any(a == b for a, b in zip(h[i][0], h[j][0]))), key=lambda j: (-round(h[i][1] @ h[j][1], 9), j))[:30]}
+    assert {(r["query_id"], r["k"]) for r in near.collect()} == want and len(want) < 30 * 70
+
+
+def test_metrics_of_classes_equal_those_of_listed_gains(spark):
+    c = spark.createDataFrame([(i, None if i % 7 == 0 else i % 4 if i < 20 else i) for i in range(24)], "item long, class long")
+    res = spark.createDataFrame([(q, (q * 5 + j * 3) % 24, j) for q in range(24) for j in range(1, 9)], "query_id long, item long, rank int")
+    q = c.select(F.col("item").alias("query_id"), "class")
+    gains = q.join(c, "class").filter("query_id <> item").select("query_id", "item", F.lit(1.0).alias("gain"))
+    for k in (3, 10):
+        assert rows(evaluate.class_metrics(res, c, k).toPandas()) == rows(evaluate.metrics(res, gains, q, k).toPandas())
