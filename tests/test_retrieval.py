@@ -493,3 +493,33 @@ def test_metrics_of_classes_equal_those_of_listed_gains(spark):
     gains = q.join(c, "class").filter("query_id <> item").select("query_id", "item", F.lit(1.0).alias("gain"))
     for k in (3, 10):
         assert rows(evaluate.class_metrics(res, c, k).toPandas()) == rows(evaluate.metrics(res, gains, q, k).toPandas())
+
+
+def test_fuzzy_sends_on_k_rows_a_set_of_terms_and_task(spark, monkeypatch):
+    for name, value in (("CELLS", 300), ("FUZZY_BLOCK", 5), ("TASK_PAIRS", 200)):
+        monkeypatch.setattr(keyword, name, value, raising=False)
+    g = np.random.default_rng(4)
+    words = ["distributed", "distribute", "database", "databases", "garden", "gardens", "gardener", "whale", "whales", "flower", "flowers", "ledger", "dist", "data"]
+    bodies = [" ".join(g.choice(words, g.integers(1, 6))) for _ in range(90)]
+    r = spark.createDataFrame([(f"k{i:02d}", "", b, "", "") for i, b in enumerate(bodies)], "storage_key string, title string, body string, uri string, keywords string").repartition(3)
+    asked = ["distributde databse", "gardne whals", "flowrs gardenr", "legder database", "whale flower", "flower whale", "garden whale ledger", "xistributed database", "abc whale"] * 2
+    index, want = keyword.build(r), {}
+    for i, t in enumerate(asked):
+        terms = t.split()
+        scores = {}
+        for j, b in enumerate(bodies):
+            best = [keyword.fuzzy_score(x, b.split()) for x in terms]
+            if min(best) >= keyword.FUZZY_RATIO and min(map(len, terms)) >= 4 and any(x[:3] == y[:3] for x in terms for y in b.split()):
+                scores[f"k{j:02d}"] = round(sum(best), 9)
+        want[i] = sorted(((s, x) for x, s in scores.items()), key=lambda y: (-y[0], y[1]))
+    own, sent = keyword.ranked, []
+    monkeypatch.setattr(keyword, "ranked", lambda hits, *a, **b: (sent.append(hits.count()), own(hits, *a, **b))[1])
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id int, text string")
+    got = {}
+    for x in keyword.fuzzy(index, None, q, 2).orderBy("query_id", "rank").collect():
+        got.setdefault(x["query_id"], []).append((x["score"], x["storage_key"]))
+    assert got == {i: [(pytest.approx(s), x) for s, x in w[:2]] for i, w in want.items() if w} and len(got) > 9
+    assert max(sent) <= 3 * 7 * 2 < sum(map(len, want.values()))
+    allowed = r.filter("storage_key < 'k50'")
+    every = {(x["query_id"], x["storage_key"]) for x in keyword.fuzzy(index, None, q, None, allowed).collect()}
+    assert every == {(i, x) for i, w in want.items() for _, x in w if x < "k50"}
